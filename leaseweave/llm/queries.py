@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, pieces, secrets, tiff
+from . import languages, licenses, pieces, quality, secrets, simhash, tiff
 from .common import documents
 
 
@@ -16,6 +16,15 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return languages.identify(docs, languages.learn(docs))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(documents(spark, sf_dir))
 
@@ -28,6 +37,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir)).drop("span_starts", "span_ends")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.scored(docs, quality.learn(docs, documents(spark, sf_dir, "labels")))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
