@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, licenses, mixing, ordered, pieces, quality, secrets, simhash, tiff
+from . import languages, licenses, mixing, ordered, pieces, quality, secrets, simhash, suffixes, tiff
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir), keep_bytes=False)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(documents(spark, sf_dir))
 
