@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, JEONSE, MONTHLY, EngineConfig
 from ..functions.scalars import labelled_period, ratio
-from .history import history_at_offset
+from .history import history_at_offsets
 
 # The features of each kind and what may never be one.
 UNIT_FEATURES = (
@@ -83,20 +82,18 @@ def model_dataset(df: DataFrame, kind: str, cfg: EngineConfig = DEFAULT, feature
     return rows.select(*ids, *[c for c in features if c not in ids], F.col(target).alias(f"target_{target}"))
 
 
-def horizon_dataset(df: DataFrame, kind: str, cfg: EngineConfig = DEFAULT, unit: Sequence[str] | None = None, keep: Column | None = None) -> DataFrame:
+def horizon_dataset(df: DataFrame, kind: str, cfg: EngineConfig = DEFAULT, unit: Sequence[str] | None = None, keep: Column | None = None, features: Sequence[str] = HISTORY_FEATURES) -> DataFrame:
     """Target contracts by horizon: features known `horizon` days ahead, with the reporting lag on top.
 
-    Windows run over all contracts; the targets (`keep`, else the kind's rule) are taken afterwards.
+    Windows run over all contracts, once for all horizons; the targets (`keep`, else the kind's rule) are taken
+    afterwards.
     """
     target = KINDS[kind][1]
     unit = list(unit if unit is not None else [*UNIT_FEATURES, *(MONTHLY_UNIT if kind == "monthly" else ())])
-    keep = target_filter(kind, cfg) if keep is None else keep
-    deposits = ["dong_deposit_median_90d", "comp_deposit_median_90d"] if kind == "monthly" else []
-    parts = []
-    for h in cfg.horizons:
-        rows = history_at_offset(df, h + cfg.reporting_lag, cfg).where(keep)
-        more = [ratio(F.col("deposit_10k"), F.col("dong_deposit_median_90d")).alias("deposit_vs_dong_median")] if kind == "monthly" else []
-        parts.append(rows.select(
-            "tx_id", "contract_date", F.lit(h).alias("horizon_days"), F.date_sub("contract_date", h).alias("asof_date"), "property_id", *unit,
-            *HISTORY_FEATURES, *deposits, *more, F.col(target).alias("target"), labelled_period(F.col("contract_date"), cfg.model_splits).alias("split")))
-    return reduce(DataFrame.unionByName, parts)
+    deposits = [c for c in ("dong_deposit_median_90d", "comp_deposit_median_90d") if kind == "monthly"]
+    rows = df.withColumn("_keep", target_filter(kind, cfg) if keep is None else keep)
+    rows = history_at_offsets(rows, {h: h + cfg.reporting_lag for h in cfg.horizons}, cfg, [*features, *deposits]).where("_keep")
+    more = [ratio(F.col("deposit_10k"), F.col("dong_deposit_median_90d")).alias("deposit_vs_dong_median")] if kind == "monthly" else []
+    return rows.select(
+        "tx_id", "contract_date", "horizon_days", F.date_sub(F.col("contract_date"), F.col("horizon_days")).alias("asof_date"), "property_id", *unit,
+        *features, *deposits, *more, F.col(target).alias("target"), labelled_period(F.col("contract_date"), cfg.model_splits).alias("split"))

@@ -56,7 +56,7 @@ def past_windows(df: DataFrame, specs: Sequence[PastWindow], date: str = "contra
     day = F.unix_date(F.col(date))
     if slice_days is None:
         rows = df.withColumn("_day", day)
-        return rows.select(*names, *[c for s in specs for c in s.columns("_day")])
+        return rows.select(*[F.col(f"`{c}`") for c in names], *[c for s in specs for c in s.columns("_day")])
     reach = max(s.days + s.offset for s in specs)
     own = F.floor(F.col("_day") / slice_days).cast("int")
     last = F.floor((F.col("_day") + reach) / slice_days).cast("int")
@@ -75,61 +75,99 @@ def previous_event(df: DataFrame, keys: Sequence[str], value: str, offset_days:
 
     Of several on that day the one with the largest `tie` counts.
     """
-    frame = Window.partitionBy(*keys).orderBy("_day").rangeBetween(Window.unboundedPreceding, -1 - offset_days)
-    found = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col("_day").alias("d"), F.col(tie).alias("t"), F.col(value).alias("v"), F.col(date).alias("at")))).over(frame)
-    return df.withColumn("_day", F.unix_date(F.col(date))).withColumn("_prev", found).select(*df.columns, F.col("_prev.v").alias(names[0]), F.col("_prev.at").alias(names[1]))
+    return previous_events(df, keys, value, {offset_days: names}, date, tie)
 
 
-def _market_specs(offset: int, cfg: EngineConfig, price: str = "price_10k") -> list[PastWindow]:
-    """What the history features at an offset and at offset 0 have in common."""
-    short, mid, long = cfg.rolling_windows
-    n = cfg.min_count
+def previous_events(df: DataFrame, keys: Sequence[str], value: str, names: dict[int, tuple[str, str]], date: str = "contract_date", tie: str = "tx_id") -> DataFrame:
+    """previous_event at several offsets over one sort; `names` has the two columns of each offset."""
+    event = F.when(F.col(value).isNotNull(), F.struct(F.col("_day").alias("d"), F.col(tie).alias("t"), F.col(value).alias("v"), F.col(date).alias("at")))
+    by = Window.partitionBy(*keys).orderBy("_day")
+    found = [F.max(event).over(by.rangeBetween(Window.unboundedPreceding, -1 - offset)).alias(f"_prev{offset}") for offset in names]
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.withColumn("_day", F.unix_date(F.col(date))).select(*columns, *found)
+    return rows.select(*columns, *[F.col(f"_prev{o}.{part}").alias(n) for o, pair in names.items() for part, n in zip(("v", "at"), pair)])
+
+
+def _specs(offset: int, cfg: EngineConfig, tag: str = "", price: str = "price_10k") -> list[PastWindow]:
+    """All windows behind the history features at an offset; output names end with `tag`."""
+    n, t, mid = cfg.min_count, cfg.trend_days, cfg.rolling_windows[1]
+
+    def window(keys, value, days, outputs, shift=0, least=n):
+        return PastWindow(keys, value, days, {stat: name + tag for stat, name in outputs.items()}, offset + shift, least)
+
     specs = []
     for w in cfg.rolling_windows:
         more = {"mean": f"dong_price_mean_{w}d", "std": f"dong_price_std_{w}d"} if w == mid else {}
-        specs.append(PastWindow(cfg.dong_keys, price, w, {"count": f"dong_tx_count_{w}d", "median": f"dong_price_median_{w}d", **more}, offset, n))
         counted = {"count": f"comp_tx_count_{w}d"} if w == mid else {}
-        specs.append(PastWindow(cfg.comp_keys, price, w, {"median": f"comp_price_median_{w}d", **counted}, offset, n))
-    specs += [
-        PastWindow(cfg.dong_keys, "deposit_10k", mid, {"median": f"dong_deposit_median_{mid}d"}, offset, n),
-        PastWindow(cfg.comp_keys, "deposit_10k", mid, {"median": f"comp_deposit_median_{mid}d"}, offset, n),
-        PastWindow(cfg.property_keys, price, cfg.property_days, {"count": f"property_tx_count_{cfg.property_days}d", "median": f"property_price_median_{cfg.property_days}d"}, offset, 1),
-        PastWindow(cfg.dong_keys, price, cfg.trend_days, {"median": "_dong_before"}, offset + cfg.trend_days, n),
-        PastWindow(cfg.comp_keys, price, cfg.trend_days, {"median": "_comp_before"}, offset + cfg.trend_days, n),
+        specs.append(window(cfg.dong_keys, price, w, {"count": f"dong_tx_count_{w}d", "median": f"dong_price_median_{w}d", **more}))
+        specs.append(window(cfg.comp_keys, price, w, {"median": f"comp_price_median_{w}d", **counted}))
+    return [
+        *specs,
+        window(cfg.gu_keys, price, 90, {"count": "gu_tx_count_90d", "median": "gu_price_median_90d"}),
+        window(cfg.gu_keys, price, 90, {"median": "_gu_before"}, t), window(cfg.gu_keys, price, 90, {"median": "_gu_year"}, 365),
+        window(cfg.dong_keys, price, t, {"median": "_dong_before"}, t), window(cfg.comp_keys, price, t, {"median": "_comp_before"}, t),
+        window(cfg.dong_keys, "deposit_10k", mid, {"median": f"dong_deposit_median_{mid}d"}), window(cfg.comp_keys, "deposit_10k", mid, {"median": f"comp_deposit_median_{mid}d"}),
+        window(cfg.property_keys, price, cfg.property_days, {"count": f"property_tx_count_{cfg.property_days}d", "median": f"property_price_median_{cfg.property_days}d"}, least=1),
     ]
-    return specs
 
 
-def _finish(df: DataFrame, offset: int, trends: dict[str, tuple[str, str]]) -> DataFrame:
-    days = F.datediff(F.date_sub(F.col("contract_date"), offset), F.col("property_last_date")).cast("double")
-    df = df.withColumn("property_days_since_last_transaction", days)
-    for name, (now, before) in trends.items():
-        df = df.withColumn(name, ratio(F.col(now), F.col(before)))
-    has = {"has_property_history": "property_last_price", "has_comp_90d_history": "comp_price_median_90d", "has_dong_90d_history": "dong_price_median_90d"}
-    for name, of in has.items():
-        df = df.withColumn(name, F.col(of).isNotNull().cast("int"))
-    return df.drop("_dong_before", "_comp_before", "_gu_before", "_gu_year")
+#: Features made of windows' columns: trends of a median against an earlier one, and whether a value is known.
+TRENDS = {
+    "dong_price_trend_3m": ("dong_price_median_90d", "_dong_before"), "comp_price_trend_3m": ("comp_price_median_90d", "_comp_before"),
+    "gu_price_trend_3m": ("gu_price_median_90d", "_gu_before"), "gu_price_trend_12m": ("gu_price_median_90d", "_gu_year"),
+}
+KNOWN = {"has_property_history": "property_last_price", "has_comp_90d_history": "comp_price_median_90d", "has_dong_90d_history": "dong_price_median_90d"}
+
+
+def _derived(offset: int, tag: str = "") -> dict[str, Column]:
+    days = F.datediff(F.date_sub(F.col("contract_date"), offset), F.col(f"`property_last_date{tag}`")).cast("double")
+    out = {"property_days_since_last_transaction": days}
+    out |= {name: ratio(F.col(f"`{now}{tag}`"), F.col(f"`{before}{tag}`")) for name, (now, before) in TRENDS.items()}
+    return out | {name: F.col(f"`{of}{tag}`").isNotNull().cast("int") for name, of in KNOWN.items()}
+
+
+def history_at_offsets(df: DataFrame, offsets: dict[int, int], cfg: EngineConfig = DEFAULT, features: Sequence[str] | None = None, label: str = "horizon_days") -> DataFrame:
+    """One row per row of `df` and entry of `offsets` (label: offset), with `features` known that many days before.
+
+    All offsets share the exchanges and sorts of one pass over the rows; only the frames differ.
+    """
+    features = list(features or FEATURES)
+    wanted = {*features, *(x for f in features for x in (TRENDS.get(f, ()) or ((KNOWN[f],) if f in KNOWN else ())))}
+    if "property_days_since_last_transaction" in wanted:
+        wanted.add("property_last_price")
+    names, parts, specs = df.columns, [], []
+    rows = df
+    for value, offset in offsets.items():
+        tag = f"@{value}"
+        for s in _specs(offset, cfg, tag):
+            kept = {stat: name for stat, name in s.outputs.items() if name.removesuffix(tag) in wanted}
+            if kept:
+                specs.append(PastWindow(s.keys, s.value, s.days, kept, s.offset, s.min_count))
+    rows = past_windows(rows, specs)
+    if "property_last_price" in wanted:
+        rows = previous_events(rows, cfg.property_keys, "price_10k", {o: (f"property_last_price@{v}", f"property_last_date@{v}") for v, o in offsets.items()})
+    for value, offset in offsets.items():
+        tag = f"@{value}"
+        derived = _derived(offset, tag)
+        parts.append(F.struct(F.lit(value).alias(label), *[(derived[f] if f in derived else F.col(f"`{f}{tag}`")).alias(f) for f in features]))
+    return rows.select(*names, F.explode(F.array(*parts)).alias("_h")).select(*names, "_h.*")
+
+
+def history_at_offset(df: DataFrame, offset: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """History features known `offset` days before the contract; the district count is of priced rows."""
+    df = previous_event(past_windows(df, _specs(offset, cfg)), cfg.property_keys, "price_10k", offset, names=("property_last_price", "property_last_date"))
+    return df.withColumns(_derived(offset)).drop("property_last_date", "_dong_before", "_comp_before", "_gu_before", "_gu_year")
 
 
 def add_history(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """History features as of the contract day; the district count is of all rows, priced or not."""
-    specs = [*_market_specs(0, cfg), PastWindow(cfg.gu_keys, None, 90, {"count": "gu_tx_count_90d"}, 0, cfg.min_count)]
+    specs = [s for s in _specs(0, cfg) if s.keys != cfg.gu_keys] + [PastWindow(cfg.gu_keys, None, 90, {"count": "gu_tx_count_90d"}, 0, cfg.min_count)]
     df = previous_event(past_windows(df, specs), cfg.property_keys, "price_10k", names=("property_last_price", "property_last_date"))
-    return _finish(df, 0, {"dong_price_trend_3m": ("dong_price_median_90d", "_dong_before"), "comp_price_trend_3m": ("comp_price_median_90d", "_comp_before")})
+    derived = {name: c for name, c in _derived(0).items() if not name.startswith("gu_")}
+    return df.withColumns(derived).drop("_dong_before", "_comp_before")
 
 
-def history_at_offset(df: DataFrame, offset: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """History features known `offset` days before the contract; the district count is of priced rows."""
-    n, t = cfg.min_count, cfg.trend_days
-    specs = [
-        *_market_specs(offset, cfg),
-        PastWindow(cfg.gu_keys, "price_10k", 90, {"count": "gu_tx_count_90d", "median": "gu_price_median_90d"}, offset, n),
-        PastWindow(cfg.gu_keys, "price_10k", 90, {"median": "_gu_before"}, offset + t, n),
-        PastWindow(cfg.gu_keys, "price_10k", 90, {"median": "_gu_year"}, offset + 365, n),
-    ]
-    df = previous_event(past_windows(df, specs), cfg.property_keys, "price_10k", offset, names=("property_last_price", "property_last_date"))
-    df = _finish(df, offset, {
-        "dong_price_trend_3m": ("dong_price_median_90d", "_dong_before"), "comp_price_trend_3m": ("comp_price_median_90d", "_comp_before"),
-        "gu_price_trend_3m": ("gu_price_median_90d", "_gu_before"), "gu_price_trend_12m": ("gu_price_median_90d", "_gu_year"),
-    })
-    return df.drop("property_last_date")
+FEATURES = [
+    *[name for s in _specs(0, DEFAULT) for name in s.outputs.values() if not name.startswith("_")], "property_last_price",
+    "property_days_since_last_transaction", *TRENDS, *KNOWN,
+]

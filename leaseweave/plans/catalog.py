@@ -153,9 +153,9 @@ _HORIZON_SHOWN = ("dong_tx_count_90d", "dong_price_median_90d", "gu_price_median
 _SPLIT_SQL = "CASE WHEN {c} BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' THEN 'train' WHEN {c} BETWEEN DATE '1999-01-01' AND DATE '1999-06-30' THEN 'valid' WHEN {c} BETWEEN DATE '1999-07-01' AND DATE '1999-12-31' THEN 'calib' WHEN {c} BETWEEN DATE '2000-01-01' AND DATE '2001-12-31' THEN 'test' END"
 
 
-def _horizon(spark, d, cfg=CFG):
+def _horizon(spark, d, cfg=CFG, features=_HORIZON_SHOWN):
     df = contracts(spark, d)
-    return datasets.horizon_dataset(df, "jeonse", cfg, ("gu", "dong", "housing_category", "area_m2"), (F.col("rent_type") == "F") & (F.col("price_10k") > 0))
+    return datasets.horizon_dataset(df, "jeonse", cfg, ("gu", "dong", "housing_category", "area_m2"), (F.col("rent_type") == "F") & (F.col("price_10k") > 0), features)
 
 
 _HORIZON_SQL = " UNION ALL ".join(
@@ -523,8 +523,9 @@ _RANGE_SQL = f"{_BASE_SQL}, q AS (SELECT horizon_days, quantile_cont(ln(target)
 _CONF_SQL = f"{_RANGE_SQL}, e AS (SELECT horizon_days, greatest(ln(base_lo) - ln(target), ln(target) - ln(base_hi)) AS e FROM rg WHERE split = 'calib'), cf AS (SELECT horizon_days, count(*) AS n, list_sort(list(e)) AS s FROM e GROUP BY ALL), cp AS (SELECT horizon_days, n, s, least(1.0, 0.8 * (n + 1) / n) * (n - 1) AS place FROM cf), adj AS (SELECT horizon_days, n, s[CAST(floor(place) AS INT) + 1] + (s[CAST(least(floor(place) + 1, n - 1) AS INT) + 1] - s[CAST(floor(place) AS INT) + 1]) * (place - floor(place)) AS adjustment FROM cp)"
 
 
-def _base(spark, d):
-    return _horizon(spark, d).where("target > 0")
+def _base(spark, d, features=("comp_price_median_90d", "dong_price_median_90d", "gu_price_median_90d", "property_last_price")):
+    """The horizon table that several passes read; kept, as the training plan keeps it as a table."""
+    return _horizon(spark, d, CFG, features).where("target > 0").persist()
 
 
 @query(f"{_BASE_SQL} SELECT tx_id, horizon_days, {sql_close('base_point')} AS base_point FROM bp")
@@ -544,7 +545,7 @@ def baseline_quantiles(spark, d):
 @query(f"{_BASE_SQL}, an AS (SELECT *, greatest(1.0, coalesce(gu_price_median_90d, dong_price_median_90d, fallback)) AS anchor FROM bp) SELECT tx_id, horizon_days, {sql_close('ln(anchor)')} AS log_anchor, {sql_close('dong_price_median_90d / anchor')} AS rel_dong_price_median_90d, {sql_close('property_last_price / anchor')} AS rel_property_last_price FROM an")
 def anchor_relative(spark, d):
     df = _base(spark, d)
-    out, _ = model.apply_anchor(df, datasets.HISTORY_FEATURES, model.fallback_table(df, F.col("split") == "train"))
+    out, _ = model.apply_anchor(df, ("dong_price_median_90d", "property_last_price", "gu_price_median_90d"), model.fallback_table(df, F.col("split") == "train"))
     return out.select("tx_id", "horizon_days", *[close(F.col(c)).alias(c) for c in ("log_anchor", "rel_dong_price_median_90d", "rel_property_last_price")])
 
 
