@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import AREA_BINS, JEONSE, MISSING_TOKENS, MONTHLY, PYEONG_M2
 
@@ -19,7 +20,7 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
