@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Terms whose votes fit 16-bit lanes at the largest weight.
-BLOCK_TERMS = 20_000
+#: Terms whose votes at the largest weight fit signed 16-bit lanes.
+BLOCK_TERMS = 10_000
 LANES = "281479271743489L"  # 0x0001000100010001
 SEED = 0x51ED27
 
