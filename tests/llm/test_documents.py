@@ -268,6 +268,26 @@ def test_near_duplicates(spark, monkeypatch, few):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(first.values()) and kept.columns == docs(spark, []).columns
 
 
+def test_residual_pairs_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "PAIRS_UP_TO", 2)
+    r = random.Random(21)
+    base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(90)]
+    keys = {}
+    for i in range(30):
+        words = list(base)
+        for _ in range(i % 6):
+            words[r.randrange(90)] = f"w{r.random()}"
+        keys[i] = ordered.sketch(ordered.word_hashes(" ".join(words)))
+    root = {i: 0 for i in range(0, 30, 6)}
+    members = spark.createDataFrame([(k, i) for i in keys for k in keys[i]], "key long, id long")
+    roots = spark.createDataFrame(list(root.items()), "id long, root long")
+    distinct = spark.createDataFrame(list(keys.items()), "id long, keys array<long>")
+    found = {(x["a"], x["b"]) for x in ordered.residual_pairs(members, roots, distinct).collect()}
+    agree = {(a, b): sum(x == y for x, y in zip(keys[a], keys[b])) for a in keys for b in keys if a < b and root.get(a, a) != root.get(b, b)}
+    assert {p for p, n in agree.items() if n >= ordered.AGREE} <= found <= {p for p, n in agree.items() if n}
+    assert 50 < sum(n >= ordered.AGREE for n in agree.values()) < len(agree)
+
+
 def test_components_of_a_long_path(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 103), (103, 101)]
     roots = {r["id"]: r["root"] for r in ordered.components(spark.createDataFrame(path, "a long, b long")).collect()}
