@@ -5,15 +5,16 @@ six smallest under one hash and keeps them in text order; two documents share it
 order. 48 sketches find a pair whose k-mers are 0.8 alike with a probability of 1 - 5e-7. Candidates are compared word
 by word in a band; a link is an edit similarity of 0.8 or more. Classes are the connected components of the links.
 
-No group is expanded into all pairs. Copies are collapsed first. Members of a bucket are compared to its smallest
-member; only buckets that then still hold several components give further pairs, and members of those of more than
-PAIRS_UP_TO are first put into finer buckets, each by two of the sketches. A pair 0.8 alike shares four sketches, which
-is always enough, with a probability of 1 - 4e-4.
+Copies are collapsed first. Members of a bucket are compared to its smallest member. In buckets that then still hold
+several components, whatever their size, all pairs of different components are compared, by blocks of members: rows
+are made for pairs of blocks, not of members, and pairs already connected or too unlike in length or word counts are
+not aligned.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import BATCH_ROWS, arrow_schema, checkpointed, ddl, map_columns
 
 WORDS, SKETCHES, MINIMA, SIMILAR = 5, 48, 6, 0.8
-#: Members of a bucket that are compared directly; classes of sketch numbers that finer buckets pair; and sketches that
-#: pairs of one large finer bucket share.
-PAIRS_UP_TO, PARTS, AGREE = 24, 3, 4
+#: Members of a block of a bucket; a component's members in a larger bucket above which it has blocks of its own; shared
+#: sketches of the pairs that are aligned first; and bins of the word counts. None of them changes the classes.
+BLOCK, PAIRS_UP_TO, AGREE, BINS = 128, 24, 4, 512
 #: Ids broadcast to the documents at most; more are joined by key.
 BROADCAST_IDS = 1_000_000
 NO_ID = -(1 << 63)
@@ -234,32 +235,115 @@ def still_apart(rows: DataFrame) -> DataFrame:
     return checkpointed(rows.join(split.select("key", "n"), "key"))
 
 
-def bucket_pairs(rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components; with `keys` only those that share AGREE sketches."""
-    if keys is not None:
-        rows = rows.join(keys, "id")
-    a, b = (rows.select("key", F.col("id").alias(x), F.col("root").alias(f"r{x}"), *([F.col("keys").alias(f"k{x}")] if keys is not None else [])) for x in "ab")
-    on = (a["key"] == b["key"]) & F.expr("a < b AND ra <> rb")
-    if keys is not None:
-        on &= F.expr(f"size(filter(sequence(0, {SKETCHES - 1}), i -> ka[i] = kb[i])) >= {AGREE}")
-    return a.join(b, on).select("a", "b")
+def blocked(rows: DataFrame) -> DataFrame:
+    """`rows` (key, id, root, n, cls, ...) dealt to groups (key, x, y) with `side`, so that each pair of one bucket in
+    different components meets in a group: of a block with itself, or of two blocks, one on each side.
+
+    A bucket of up to BLOCK members is one block. In larger ones a component of more than PAIRS_UP_TO members has
+    blocks of its own, which are not compared to each other; blocks whose `cls` are more than 1 apart don't meet.
+    """
+    big = F.col("n") > BLOCK
+    per = rows.groupBy("key", "root").agg(F.count("*").alias("_m"))
+    rows = rows.join(per, ["key", "root"]).withColumn("_own", F.when(big & (F.col("_m") > PAIRS_UP_TO), F.col("root"))).withColumn("_cls", F.when(big, F.col("cls")).otherwise(0))
+    sizes = rows.groupBy(F.col("key").alias("_k"), F.col("_cls").alias("_c"), F.col("_own").alias("_o")).agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
+    block = F.struct(F.col("_cls").alias("c"), F.col("_own").alias("o"), F.pmod(F.xxhash64("id"), "_parts").alias("p"))
+    rows = rows.join(sizes, F.expr("key = _k AND _cls = _c AND _own <=> _o")).withColumn("block", block)
+    rows = checkpointed(rows.drop("_k", "_c", "_o", "_parts", "_m", "_own", "_cls", "n", "cls"))
+    blocks = rows.select("key", "block").distinct()
+    x, y = blocks.select("key", F.col("block").alias("x")), blocks.select("key", F.col("block").alias("y"))
+    pairs = x.join(y, "key").where("x <= y AND abs(x.c - y.c) <= 1 AND coalesce(x.o <> y.o, true)")
+    sides = F.expr("IF(x = y, array(struct(0 AS side, x AS block)), array(struct(0 AS side, x AS block), struct(1 AS side, y AS block)))")
+    pairs = pairs.select("key", F.xxhash64("x").alias("x"), F.xxhash64("y").alias("y"), F.explode(sides).alias("_s")).select("key", "x", "y", "_s.side", "_s.block")
+    return rows.join(pairs, ["key", "block"]).drop("block").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def candidates(rows: list[dict], words: list | None = None):
+    """Yield (shared sketches, i, j) for the rows of a group in different components whose first shared sketch is the
+    group's; with `words` only where the words' numbers, counted in BINS, allow the edit similarity."""
+    key, roots = rows[0]["key"], np.array([r["root"] for r in rows])
+    sides, sets = np.array([r["side"] for r in rows]), [frozenset(r["keys"]) for r in rows]
+    if words is not None:
+        size = np.array([w.size for w in words])
+        bins = np.array([np.bincount(w % BINS, minlength=BINS) for w in words], np.int32)
+    for i in range(len(rows)):
+        fit = roots != roots[i]
+        if sides.any():  # two blocks
+            fit &= (sides == 1) & (sides[i] == 0)
+        else:
+            fit[: i + 1] = False
+        js = np.flatnonzero(fit)
+        if words is not None and js.size:
+            more = np.maximum(bins[js] - bins[i], 0).sum(axis=1)
+            least = np.maximum(more, more - size[js] + size[i])
+            js = js[least <= (1 - SIMILAR) * np.maximum(size[js], size[i]) + 1e-9]
+        for j in js.tolist():
+            shared = sets[i] & sets[j]
+            if shared and min(shared) == key:
+                yield len(shared), i, j
+
+
+def group_links(rows: list[dict]) -> list[tuple[int, int]]:
+    """Links of a group that join different components: pairs sharing AGREE sketches are aligned first, and a pair
+    that links found before have connected is not aligned."""
+    words = [np.frombuffer(r["words"], np.uint32) for r in rows]
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    found, todo = [], sorted(((n < AGREE, -n, i, j) for n, i, j in candidates(rows, words)), reverse=True)
+    while todo:
+        some = []
+        while todo and len(some) < 64:
+            *_, i, j = todo.pop()
+            if find(rows[i]["root"]) != find(rows[j]["root"]):
+                some.append((i, j))
+        for (i, j), good in zip(some, align([(words[i], words[j]) for i, j in some])):
+            a, b = find(rows[i]["root"]), find(rows[j]["root"])
+            if good and a != b:
+                parent[max(a, b)] = min(a, b)
+                found.append((i, j))
+    return found
+
+
+def over_groups(rows: DataFrame, fn) -> DataFrame:
+    """(a, b) with a < b: the ids of the index pairs that `fn` gives for the rows of each group of `blocked`."""
+    schema = [("a", "long"), ("b", "long")]
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches):
+        each = (row for batch in batches for row in batch.to_pylist())
+        for _, group in groupby(each, lambda r: (r["key"], r["x"], r["y"])):
+            group = list(group)
+            pairs = [sorted((group[i]["id"], group[j]["id"])) for i, j in fn(group)]
+            if pairs:
+                yield pa.RecordBatch.from_pydict({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, schema=arrow_schema(schema))
+
+    return blocked(rows).mapInArrow(run, ddl(schema))
+
+
+def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return still_apart(members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
 
 
 def residual_pairs(members: DataFrame, roots: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components, each once.
+    """All pairs (a, b) of one bucket in different components, each once; `members` is (key, id), `keys` has each
+    id's sketches."""
+    rows = apart(members, roots).join(keys.select("id", "keys"), "id").withColumn("cls", F.lit(0))
+    return over_groups(rows, lambda group: [(i, j) for _, i, j in candidates(group)])
+
+
+def residual_links(members: DataFrame, roots: DataFrame, keys: DataFrame, words: DataFrame) -> DataFrame:
+    """Similar pairs among `residual_pairs`, as many as connect what all of these connect.
 
-    `members` is (key, id), `keys` has each id's sketches. The members of buckets of more than PAIRS_UP_TO, each once
-    however many such buckets it is in, are put into finer buckets, by pairs of sketches: those whose numbers agree
-    modulo PARTS. So two documents that share more than PARTS sketches have a pair of sketches in common. Finer buckets
-    that are still that large give the pairs that share AGREE sketches.
+    Lengths of similar texts differ by a factor of 1.25 at most, so by one power of 1.26 at most.
     """
-    rows = still_apart(members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-    found = bucket_pairs(rows.where(F.col("n") <= PAIRS_UP_TO))
-    both = f"filter(sequence(0, {SKETCHES * SKETCHES - 1}), c -> c div {SKETCHES} < c % {SKETCHES} AND (c % {SKETCHES} - c div {SKETCHES}) % {PARTS} = 0)"
-    finer = F.expr(f"explode(transform({both}, c -> xxhash64(c, keys[int(c div {SKETCHES})], keys[int(c % {SKETCHES})])))")
-    many = checkpointed(rows.where(F.col("n") > PAIRS_UP_TO).select("id", "root").distinct().join(keys.select("id", "keys"), "id"))
-    rows = still_apart(many.select(finer.alias("key"), "id", "root"))
-    return found.union(bucket_pairs(rows.where(F.col("n") <= PAIRS_UP_TO))).union(bucket_pairs(rows.where(F.col("n") > PAIRS_UP_TO), keys.select("id", "keys"))).distinct()
+    cls = F.floor(F.log(F.greatest(F.octet_length("words") / 4, F.lit(1.0))) / F.log(F.lit(1.26))).cast("int")
+    rows = apart(members, roots).join(keys.select("id", "keys"), "id").join(words.select("id", "words"), "id").withColumn("cls", cls)
+    return over_groups(rows, group_links)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,8 +371,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = members.select(F.col("first").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
     links = checkpointed(verified(stars, words))
     roots = components(links)
-    more = residual_pairs(members.select("key", "id"), roots, distinct)
-    more = checkpointed(verified(more.join(stars, ["a", "b"], "left_anti"), words))
+    more = checkpointed(residual_links(members.select("key", "id"), roots, distinct, words))
     if more.limit(1).count():
         roots = components(links.union(more))
     classes = of.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("class"))

@@ -288,6 +288,36 @@ def test_residual_pairs_against_all_pairs(spark, monkeypatch):
     assert 50 < sum(n >= ordered.AGREE for n in agree.values()) < len(agree)
 
 
+@pytest.mark.parametrize("block, few", [(2, 2), (7, 3), (128, 24)])
+def test_residual_pairs_at_every_bucket_size(spark, monkeypatch, block, few):
+    monkeypatch.setattr(ordered, "PAIRS_UP_TO", few)
+    monkeypatch.setattr(ordered, "BLOCK", block, raising=False)
+    r = random.Random(22)
+    keys = {i: [k * 1000 + (0 if r.random() < 0.04 else r.randint(1, 400)) for k in range(48)] for i in range(60)}
+    root = {i: 0 if i < 20 else 20 for i in range(30)}
+    members = spark.createDataFrame([(k, i) for i in keys for k in keys[i]], "key long, id long")
+    roots = spark.createDataFrame(list(root.items()), "id long, root long")
+    distinct = spark.createDataFrame(list(keys.items()), "id long, keys array<long>")
+    found = [(x["a"], x["b"]) for x in ordered.residual_pairs(members, roots, distinct).collect()]
+    agree = {(a, b) for a in keys for b in keys if a < b and root.get(a, a) != root.get(b, b) and set(keys[a]) & set(keys[b])}
+    assert sorted(found) == sorted(agree) and len(agree) > 100
+    # Of texts in such buckets, the links found connect what all similar pairs connect.
+    words = {i: np.array([r.randint(0, 3) if r.random() < 0.05 else (i % 7) * 100 + x for x in range(20 + i % 3)], np.uint32) for i in keys}
+    table = spark.createDataFrame([(i, bytearray(w.tobytes())) for i, w in words.items()], "id long, words binary")
+    links = [(x["a"], x["b"]) for x in ordered.residual_links(members, roots, distinct, table).collect()]
+    alike = [p for p in agree if ordered.align([(words[p[0]], words[p[1]])])[0]]
+
+    def classes(pairs):
+        of = {i: root.get(i, i) for i in keys}
+        for _ in keys:
+            for a, b in pairs:
+                low = min(of[a], of[b])
+                of = {i: low if x in (of[a], of[b]) else x for i, x in of.items()}
+        return of
+
+    assert set(links) <= set(alike) and len(set(classes(alike).values())) < 40 and classes(links) == classes(alike)
+
+
 def test_components_of_a_long_path(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 103), (103, 101)]
     roots = {r["id"]: r["root"] for r in ordered.components(spark.createDataFrame(path, "a long, b long")).collect()}
