@@ -219,6 +219,21 @@ def test_secrets_in_layers(spark):
     assert masked[1]["text"] is None and packed not in masked[0]["text"] and inner[30:] not in masked[0]["text"] and "hunter" not in masked[0]["text"] and masked[0]["n_chars"] == len(masked[0]["text"])
 
 
+def masked_and_kinds(text):
+    *_, spans, _, starts, ends = secrets.scan(text)
+    hidden = {x for s, e in zip(starts, ends) for x in range(s, e)}
+    return "".join("*" if i in hidden else c for i, c in enumerate(text)), [x.rsplit(":", 2)[0] for x in spans.split(",") if x]
+
+
+def test_a_layer_that_occurs_twice():
+    one = base64.b64encode(b"my password=hunter2222 ok").decode()
+    url = "my%20password%3Dhunter2222 ok"
+    text = f"{one} and {one} and {url} and {url}"
+    masked, kinds = masked_and_kinds(text)
+    assert kinds.count("base64/assign") == 2 and kinds.count("url/assign") == 2
+    assert all(x not in masked for x in (one[6:24], "hunter"))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
