@@ -234,6 +234,15 @@ def test_a_layer_that_occurs_twice():
     assert all(x not in masked for x in (one[6:24], "hunter"))
 
 
+def test_escapes_within_plain_text():
+    for text, kind in (
+        ("password\\u003dhunter2222", "unicode"), ("\\u0070assword=zzzzzzz", "unicode"), ('password%3D"hunter2222"', "url"),
+        ("password%3A hunter2222", "url"), ("pass\\u0077ord%3Dhunter2222", "url/unicode"),
+    ):
+        masked, kinds = masked_and_kinds(f"é {text} end")
+        assert kinds == [f"{kind}/assign"] and "hunter" not in masked and "zzz" not in masked and masked.startswith("é ") and masked.endswith(" end")
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
