@@ -243,6 +243,28 @@ def test_escapes_within_plain_text():
         assert kinds == [f"{kind}/assign"] and "hunter" not in masked and "zzz" not in masked and masked.startswith("é ") and masked.endswith(" end")
 
 
+def test_damaged_wrapped_and_large_layers(monkeypatch):
+    encode = lambda data: base64.b64encode(data).decode()
+    wrapped = lambda x: "\n".join(x[i : i + 76] for i in range(0, len(x), 76))
+    r = random.Random(30)
+    noise = bytes(r.choice(b"abc xyz,.") for _ in range(600))
+    secret = b" token=abcabcabc "
+    whole = gzip.compress(noise + secret + noise)
+    cases = {
+        "control": encode(gzip.compress(b"a\x00b \xe9\x1b[0m" + secret)), "latin": encode(b"caf\xe9 \x00" + secret), "url": "a=%00%E9&token%3Dabcabcabc",
+        "shifted": "path/" + encode(secret * 2), "shifted stream": "path/" + encode(gzip.compress(secret)), "lines": wrapped(encode(noise[:50] + secret + noise)),
+        "stream over lines": wrapped(encode(whole)), "second member": encode(gzip.compress(noise) + gzip.compress(secret)), "over members": encode(gzip.compress(b"token=abc") + gzip.compress(b"abcabc")),
+        "truncated": encode(whole[:-200]) if b"token" in zlib.decompressobj(47).decompress(whole[:-200]) else encode(gzip.compress(secret + noise)[:-200]),
+    }
+    for name, text in cases.items():
+        masked, kinds = masked_and_kinds(f"x {text} y")
+        assert any(k.endswith("assign") for k in kinds), name
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 3000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    _, kinds = masked_and_kinds(encode(zlib.compress(noise * 9 + secret + noise * 9)))
+    assert {"compressed/oversize", "compressed/assign"} <= set(kinds)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
