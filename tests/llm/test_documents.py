@@ -287,6 +287,39 @@ def test_alignment_is_exact():
     assert ordered.align(pairs).tolist() == expected and 20 < sum(expected) < 130
 
 
+def test_links_of_short_and_much_edited_texts(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts, group = [], []
+    for n in range(4, 13):
+        for place in range(n):
+            base = [word() for _ in range(n)]
+            texts += [base, base[:place] + [word()] + base[place + 1 :]]
+            group += [len(texts)] * 2
+        base = [word() for _ in range(n)]
+        texts += [base, [*base, word()]]
+        group += [len(texts)] * 2
+    for share in (0.05, 0.1, 0.15):
+        for _ in range(25):
+            base = [word() for _ in range(r.randint(90, 250))]
+            at = set(r.sample(range(len(base)), int(share * len(base))))
+            texts += [base, [word() if i in at else w for i, w in enumerate(base)]]
+            group += [len(texts)] * 2
+    out = by_id(ordered.near_duplicates(docs(spark, [" ".join(t) for t in texts])))
+    alike = {i: 1 - distance(texts[i], texts[i + 1]) / max(len(texts[i]), len(texts[i + 1])) >= 0.8 - 1e-12 for i in range(0, len(texts), 2)}
+    assert {i: out[i + 1]["class_id"] == i for i in alike} == alike and 100 < sum(alike.values()) < len(alike)
+    for n in range(4, 65):  # every pair with as many edits as allowed shares a key
+        for _ in range(20):
+            a = np.array([r.randint(0, 9) for _ in range(n)], np.uint64)
+            b = a.tolist()
+            for _ in range(n // 5):
+                at, kind = r.randrange(len(b)), r.randrange(3)
+                b[at : at + (kind < 2)] = [r.randint(0, 9)] * (kind > 0)
+            b = np.array(b, np.uint64)
+            if ordered.align([(a.astype(np.uint32), b.astype(np.uint32))])[0] and not np.array_equal(a, b):
+                assert set(ordered.short_keys(a)) & set(ordered.short_keys(b))
+
+
 @pytest.mark.parametrize("few", [24, 3])
 def test_near_duplicates(spark, monkeypatch, few):
     monkeypatch.setattr(ordered, "PAIRS_UP_TO", few)  # 3: buckets are split by further sketches
