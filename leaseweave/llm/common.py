@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -14,8 +16,18 @@ ARROW_TYPES = {
     "binary": pa.binary(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()),
     "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
 }
-#: Rows of an Arrow batch: long texts stay small in a Python worker.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch: long texts stay small in a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the Arrow batches of the plans that follow, by rows and by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -36,7 +48,7 @@ def map_columns(df: DataFrame, columns: list, fn: Callable, schema: list[tuple[s
 
     Nothing but the named columns reaches Python, so clashing or extra columns don't matter.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(df.sparkSession)
     out = arrow_schema(schema)
 
     def run(batches):
@@ -52,15 +64,33 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; only where none is named, as in tests, take a local one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir or the context's checkpoint folder.
+
+    Only a local session may do without, as in tests; on a cluster a machine's own folder would lose what is written.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leaseweave-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder: what follows depends neither on shuffle files of lost executors nor on the
+    plan so far, and Spark knows its true size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: later jobs don't depend on lost shuffle files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of `stored` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, ddl, held_out
+from .common import arrow_schema, bounded_batches, ddl, held_out
 from .grams import counts, groups, trigrams
 
 BITS = 15
@@ -32,7 +32,7 @@ def folded(text: str | None) -> bytes:
 
 def trigram_counts(df: DataFrame, text: Column, lang: Column) -> DataFrame:
     """(lang, code, n) over all rows with a text and a language; each task adds up its partition first."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(df.sparkSession)
     schema = [("lang", "string"), ("code", "long"), ("n", "long")]
 
     def run(batches):
@@ -127,7 +127,7 @@ def identify(df: DataFrame, model: Mixtures, id_col: str = "doc_id", text_col: s
     `und` with score 0 if the text is null or has no letter, or if nothing was learned. Ties go to the first
     language by name. Only the text decides.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

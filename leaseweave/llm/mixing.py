@@ -7,16 +7,20 @@ expected tokens meet the budget; a document is kept if a hash of its id, as a un
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import forget, stored
 
 MARGINS = ("source", "lang", "topic")
 #: Up to so many cells are raked in one task, without shuffles, and broadcast to the documents; more are dealt and joined by key.
 FEW_CELLS = 10_000
-#: Share of all tokens to keep, power by which margins are tempered, raking rounds at most and the error they stop at.
-KEEP, TEMPER, ROUNDS, CLOSE = 0.6, 0.7, 20, 1e-6
+#: Share of all tokens to keep, power by which margins are tempered, raking rounds at most, the error they stop at, and
+#: rounds of one job.
+KEEP, TEMPER, ROUNDS, CLOSE, STEP = 0.6, 0.7, 200, 1e-6, 10
 SEED = 20_240_229
 
 
@@ -45,46 +49,79 @@ def margin_targets(cells: DataFrame, name: str, given: dict | None = None, tempe
     return share.select(name, (F.col("w") / F.lit(float(total))).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
-    """`cells` with `weight`, the fitted share of each cell; cells without tokens keep weight 0.
+def margin_error(state: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest difference between a margin's share and its target."""
+    gaps = [state.groupBy(name).agg(F.sum("weight").alias("_now")).join(target, name).agg(F.max(F.abs(F.col("_now") - F.col("target"))).alias("gap")) for name, target in targets.items()]
+    return reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0] or 0.0
+
+
+def scaled(state: DataFrame, targets: dict[str, DataFrame], few: bool) -> DataFrame:
+    """`state` with its weights scaled to every margin in turn: a window per margin over a few cells, which are in one
+    task; else sums per value, joined back, which don't gather the cells of a value."""
+    for name, target in targets.items():
+        if few:
+            factor = F.sum("weight").over(Window.partitionBy(name))
+            state = state.withColumn("weight", F.when(factor > 0, F.col("weight") * F.col(f"_{name}_target") / factor).otherwise(0.0))
+        else:
+            now = state.groupBy(name).agg(F.sum("weight").alias("_now"))
+            state = state.join(now, name).withColumn("weight", F.when(F.col("_now") > 0, F.col("weight") * F.col(f"_{name}_target") / F.col("_now")).otherwise(0.0)).drop("_now")
+    return state
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, close: float = CLOSE) -> tuple[DataFrame, float]:
+    """`cells` with `weight`, the fitted share of each cell, as a stored table, and the margin error that is left.
 
-    Each round scales the weights to every margin in turn. The driver sees one number a round, the largest error of
-    the first margins after the last was fitted; the state is cut from its history in the shared folder every round.
+    It ends when all margins are met to within `close`, when the error stands still (targets that no weights of the
+    cells present can meet together), or after `rounds`. Cells without tokens keep weight 0. The driver sees one
+    number a job of STEP rounds (one round where there are many cells); the weights are then written to the shared
+    folder, so plans don't grow.
     """
-    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
-    state = cells.withColumn("weight", F.col("tokens") / F.lit(total))
-    for turn in range(rounds):
-        for name, target in targets.items():
-            # Cells of one value are summed in each task first; a margin's table has one row a value.
-            factor = state.groupBy(name).agg(F.sum("weight").alias("_now")).join(target, name).select(name, F.when(F.col("_now") > 0, F.col("target") / F.col("_now")).otherwise(0.0).alias("_f"))
-            state = state.join(factor, name).withColumn("weight", F.col("weight") * F.col("_f")).drop("_f")
-        state = checkpointed(state.select(*cells.columns, "weight"))
-        if turn % 2 == 0:
-            continue
-        worst = 0.0
-        for name, target in list(targets.items())[:-1]:
-            now = state.groupBy(name).agg(F.sum("weight").alias("_now")).join(target, name)
-            worst = max(worst, now.agg(F.max(F.abs(F.col("_now") - F.col("target")))).first()[0] or 0.0)
-        if worst <= close:
+    total, n = cells.agg(F.sum("tokens").cast("double"), F.count("*")).first()
+    few = n <= FEW_CELLS
+    state = cells.withColumn("weight", F.col("tokens") / F.lit(total or 1.0))
+    for name, target in targets.items():
+        state = state.join(target.withColumnRenamed("target", f"_{name}_target"), name)
+    def kept(state):
+        """The stored state and its margin error."""
+        if not few:
+            state = stored(state)
+            return state, margin_error(state, targets)
+        gaps = [F.abs(F.sum("weight").over(Window.partitionBy(name)) - F.col(f"_{name}_target")) for name in targets]
+        state = stored(state.withColumn("_gap", F.greatest(*gaps) if len(gaps) > 1 else gaps[0]))
+        return state, state.agg(F.max("_gap")).first()[0] or 0.0
+
+    (state, error), step = kept(state.coalesce(1) if few else state), STEP if few else 1
+    for turn in range(0, rounds, step):
+        if error <= close:
             break
-    return state
+        fitted, before, old = state.drop("_gap").coalesce(1) if few else state, error, state
+        for _ in range(min(step, rounds - turn)):
+            fitted = scaled(fitted, targets, few)
+        state, error = kept(fitted)
+        forget(old)
+        if abs(error - before) <= close / 100:
+            break
+    return state, error
 
 
 def calibrated(state: DataFrame, keep: float = KEEP) -> DataFrame:
     """`state` with `ratio`, the inclusion probability of each cell: min(1, c * fitted / present) with c so that the
-    expected tokens are `keep` of all. c is found by three passes over the cells, each trying 64 values."""
+    expected tokens are `keep` of all, or as many as cells with a weight have. c is found by passes over the cells that
+    each try 64 values, evenly in its logarithm, then between the two nearest, where the tokens go in a straight line."""
     rel = state.withColumn("_r", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    bounds = rel.agg(F.sum("tokens").cast("double").alias("n"), F.max("_r").alias("hi"), F.min(F.when(F.col("_r") > 0, F.col("_r"))).alias("lo")).first()
-    if not bounds["hi"]:
+    some = F.col("_r") > 0
+    bounds = rel.agg(F.sum("tokens").cast("double").alias("n"), F.sum(F.when(some, F.col("tokens"))).cast("double").alias("most"), F.min(F.when(some, F.col("_r"))).alias("lo"), F.sum("weight").alias("w")).first()
+    if not bounds["lo"]:
         return rel.withColumn("ratio", F.lit(0.0)).drop("_r")
-    goal = keep * bounds["n"]
-    low, high = 0.0, 1.0 / bounds["lo"]
-    for _ in range(3):
-        tries = [low + (high - low) * i / 64 for i in range(65)]
+    goal = min(keep * bounds["n"], bounds["most"])
+    low, high = goal / bounds["w"] / 2, 2 / bounds["lo"]
+    for _ in range(4):
+        tries = [low * (high / low) ** (i / 64) for i in range(65)]
         got = rel.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("_r"))).alias(f"c{i}") for i, c in enumerate(tries)]).first()
-        at = max((i for i in range(65) if got[i] <= goal), default=0)
-        low, high = tries[at], tries[min(64, at + 1)]
-    return rel.withColumn("ratio", F.least(F.lit(1.0), F.lit(low) * F.col("_r"))).drop("_r")
+        at = min(63, max((i for i in range(65) if got[i] <= goal), default=0))
+        low, high, below, above = tries[at], tries[at + 1], got[at], got[at + 1]
+    c = low + (high - low) * min(1.0, max(0.0, (goal - below) / (above - below))) if above > below else high
+    return rel.withColumn("ratio", F.least(F.lit(1.0), F.lit(c) * F.col("_r"))).drop("_r")
 
 
 def uniform(*columns) -> Column:
@@ -92,33 +129,36 @@ def uniform(*columns) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(SEED)), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def mixed(df: DataFrame, given: dict[str, dict] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of `df` with `_tokens`, `_topic`, `_weight` (fitted over present share), `_probability`, `_selected`.
+def mixed(df: DataFrame, given: dict[str, dict] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
+    """Every row of `df` with `_tokens`, `_topic`, `_weight` (fitted over present share), `_probability`, `_selected`
+    and `_margin_error`, by how much the worst margin misses its target.
 
-    Null sources and languages are a value of their own. Rows with equal id are kept or dropped together within a
-    cell. An empty table gives an empty result; texts without tokens are kept with their cell's probability.
+    `given` has target shares by margin and value; a margin not given is tempered. `topic_of` is any expression over
+    the columns of `df`; without it, the kind of text. Null sources and languages are a value of their own. Rows with
+    equal id are kept or dropped together within a cell. An empty table gives an empty result; texts without tokens
+    are kept with their cell's probability.
     """
     given = given or {}
+    kind = topic(F.col(text_col)) if topic_of is None else F.coalesce(topic_of.cast("string"), F.lit("(none)"))
     keys = [F.coalesce(F.col(name).cast("string"), F.lit("(none)")).alias(f"_{name}") for name in ("source", "lang")]
-    facts = df.select(F.col(id_col), *keys, topic(F.col(text_col)).alias("_topic"), tokens(F.col(text_col)).alias("_tokens"))
-    cells = facts.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
-    cells = checkpointed(cells.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.greatest("tokens", F.lit(1).cast("long")).alias("tokens")))
+    own = [*keys, kind.alias("_topic"), tokens(F.col(text_col)).alias("_tokens")]
+    cells = df.select(*own).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
+    cells = stored(cells.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.greatest("tokens", F.lit(1).cast("long")).alias("tokens")))
     few = cells.count() <= FEW_CELLS
-    if few:
-        cells = checkpointed(cells.coalesce(1))
-    targets = {name: checkpointed(margin_targets(cells, name, given.get(name))) for name in MARGINS}
-    fitted = calibrated(rake(cells, targets), keep)
+    targets = {name: stored(margin_targets(cells, name, given.get(name))) for name in MARGINS}
+    state, error = rake(cells, targets)
     total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 1))
-    fitted = checkpointed(fitted.select(*[F.col(x).alias(f"_{x}") for x in MARGINS], (F.col("weight") * total / F.col("tokens")).alias("_weight"), F.col("ratio").alias("_probability")))
-    rows = df.select("*", *keys, topic(F.col(text_col)).alias("_topic"), tokens(F.col(text_col)).alias("_tokens"))
-    joined = rows.join(F.broadcast(fitted) if few else fitted, ["_source", "_lang", "_topic"])
-    return joined.withColumn("_selected", uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("(none)"))) < F.col("_probability"))
+    fitted = stored(calibrated(state, keep).select(*[F.col(x).alias(f"_{x}") for x in MARGINS], (F.col("weight") * total / F.col("tokens")).alias("_weight"), F.col("ratio").alias("_probability")))
+    forget(cells, state, *targets.values())
+    joined = df.select("*", *own).join(F.broadcast(fitted) if few else fitted, ["_source", "_lang", "_topic"])
+    chance = uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("(none)")))
+    return joined.select("*", F.lit(error).alias("_margin_error"), (chance < F.col("_probability")).alias("_selected"))
 
 
 def mix_documents(df: DataFrame, **options) -> DataFrame:
-    """One row per document: cell, tokens, weight, probability and whether it is in the sample."""
+    """One row per document: cell, tokens, weight, probability, whether it is in the sample, and the margin error."""
     rows = mixed(df.select("doc_id", "text", "source", "lang"), **options)
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_selected").alias("selected"))
+    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_selected").alias("selected"), F.col("_margin_error").alias("margin_error"))
 
 
 def sample_mixture(df: DataFrame, **options) -> DataFrame:

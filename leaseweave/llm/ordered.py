@@ -1,36 +1,43 @@
 """Near-duplicates by Order MinHash: sketches sensitive to edit similarity, candidates verified by banded alignment.
 
-The k-mers of a document are its pairs of words, each labelled with its occurrence number. A sketch takes the three
+The k-mers of a document are its runs of five words, each labelled with its occurrence number. A sketch takes the two
 smallest under one hash and keeps them in text order; two documents share it only if these agree in content and order.
-Candidates are compared word by word in a band; a link is an edit similarity of 0.8 or more. With evenly changed words
-48 sketches find a pair of edit similarity 0.9 with a probability of 1 - 2e-8, 0.85 with 0.9999 and 0.8 with 0.995;
-texts of up to SHORT words have further keys that find all links of theirs. Classes are the connected components.
-
-Copies are collapsed first. Members of a bucket are compared to its smallest member. In buckets that then still hold
-several components, whatever their size, all pairs of different components are compared, by blocks of members: rows
-are made for pairs of blocks, not of members, and pairs already connected or too unlike in length or word counts are
-not aligned.
+Documents that share a sketch are candidates, compared word by word in a band; a link is an edit similarity of 0.8 or
+more. With a share e of the words changed at random, two sketches agree with probability J * J, J = q / (2 - q),
+q = (1 - e) ** 5, so 64 sketches find a pair with 10 % changed with probability 1 - 4e-6, with 15 % 0.995, with 19 %
+0.94 and with 20 % 0.92. Texts of up to SHORT words, which have few k-mers, are found without fail. Classes are the
+connected components.
+
+How a large group stays linear:
+
+1. Copies (texts of equal words) are collapsed.
+2. Each bucket has a medoid, its member that meets most others over all its buckets; members are compared to medoids.
+3. Buckets that then still hold several components: in those of up to BLOCK members all pairs of different components
+   are looked at. The members of larger ones, and short texts, are looked up by an exact filter instead: texts with an
+   edit similarity of 0.8 have one of their rarest fifth of words in common. A rare word has a small bucket, so a
+   passage that many documents share makes no pairs of them. Every pair that shares a sketch or is short is thus
+   compared or ruled out by a bound on its edit distance; nothing depends on the size of a bucket but the way taken.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BATCH_ROWS, arrow_schema, checkpointed, ddl, map_columns
+from .common import arrow_schema, bounded_batches, ddl, forget, map_columns, partitions, stored
 
-WORDS, SKETCHES, MINIMA, SIMILAR = 5, 48, 6, 0.8
-#: Words of a run and minima of a sketch that find links; texts up to which similar ones are found without fail.
-LINK_WORDS, LINK_MINIMA, SHORT = 2, 3, 64
-#: Members of a block of a bucket; a component's members in a larger bucket above which it has blocks of its own; shared
-#: sketches of the pairs that are aligned first; and bins of the word counts. None of them changes the classes.
-BLOCK, PAIRS_UP_TO, AGREE, BINS = 128, 24, 4, 512
-#: Ids broadcast to the documents at most; more are joined by key.
+WORDS, SKETCHES, MINIMA, SIMILAR = 5, 64, 2, 0.8
+#: Texts of up to so many words are found without fail; members of a block; bins of the word counts. The last two don't
+#: change the classes.
+SHORT, BLOCK, BINS = 64, 128, 256
+#: Ids broadcast to the documents at most (12 MB); more are joined by key.
 BROADCAST_IDS = 1_000_000
 NO_ID = -(1 << 63)
 
@@ -85,26 +92,6 @@ def kmers(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     return h
 
 
-def short_keys(words: np.ndarray) -> list[int]:
-    """Keys of a text of up to SHORT / SIMILAR words: two texts, one of up to SHORT words, that are similar share one.
-
-    Texts of at most m words with d edits share m - 1 - 2d of their pairs of words at least. So the smallest hashes of
-    each, as many as it has pairs less those that must be shared, plus one, have one in common.
-    """
-    n = words.size
-    if n < 4 or n > int(SHORT / SIMILAR + 1e-9):
-        return []
-    longer = range(n, int(n / SIMILAR + 1e-9) + 1)
-    take = max(n - m + 2 * int((1 - SIMILAR) * m + 1e-9) + 1 for m in longer)
-    with np.errstate(over="ignore"):
-        return mixed(np.sort(kmers(words, LINK_WORDS))[:take] + ODD).view(np.int64).tolist()
-
-
-def bucket_keys(words: np.ndarray) -> list[int]:
-    """All bucket keys of a document."""
-    return sketch(words, LINK_WORDS, LINK_MINIMA) + short_keys(words)
-
-
 def sketch(words: np.ndarray, width: int = WORDS, minima: int = MINIMA) -> list[int]:
     """SKETCHES keys of a document, each of the `minima` smallest hashes of its runs of `width` words."""
     h = kmers(words, width)
@@ -123,26 +110,95 @@ def sketch(words: np.ndarray, width: int = WORDS, minima: int = MINIMA) -> list[
     return keys.view(np.int64).tolist()
 
 
+def digest(words: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(hashlib.blake2b(words.tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
+def identified(df: DataFrame, id_col: str, text_col: str) -> list:
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("t")]
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, c1, c2, keys): c1 and c2 are a digest of the words, so copies agree in them."""
+    """(id, c1, c2, n, keys): c1 and c2 are a digest of the words, so copies agree in them; n counts the words."""
     def rows(batch):
-        out = {"id": batch["k"], "c1": [], "c2": [], "keys": []}
+        out = {"id": batch["id"], "c1": [], "c2": [], "n": [], "keys": []}
         for text in batch["t"]:
             words = word_hashes(text)
-            c1, c2 = np.frombuffer(hashlib.blake2b(words.tobytes(), digest_size=16).digest(), np.int64).tolist()
-            out["c1"].append(c1)
-            out["c2"].append(c2)
-            out["keys"].append(bucket_keys(words))
+            for name, value in zip(("c1", "c2", "n", "keys"), (*digest(words), words.size, sorted(set(sketch(words))))):
+                out[name].append(value)
         return out
 
-    return map_columns(df, [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).cast("string").alias("t")], rows, [("id", "long"), ("c1", "long"), ("c2", "long"), ("keys", "array<long>")])
+    return map_columns(df, identified(df, id_col, text_col), rows, [("id", "long"), ("c1", "long"), ("c2", "long"), ("n", "long"), ("keys", "array<long>")])
+
+
+def counted(words: np.ndarray) -> np.ndarray:
+    """How many words fall in each of BINS bins, up to 255; differences of these are differences of the texts at least."""
+    return np.minimum(np.bincount(words % BINS, minlength=BINS), 255).astype(np.uint8)
+
+
+def word_table(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """(id, n, words, bins) of the documents with the `ids`; words are their hashes as 32-bit numbers."""
+    def rows(batch):
+        words = [(word_hashes(t) >> np.uint64(32)).astype(np.uint32) for t in batch["t"]]
+        return {"id": batch["id"], "n": [w.size for w in words], "words": [w.tobytes() for w in words], "bins": [counted(w).tobytes() for w in words]}
+
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = df.select(*identified(df, id_col, text_col)).join(wanted, "id", "left_semi")
+    return map_columns(texts, ["id", "t"], rows, [("id", "long"), ("n", "long"), ("words", "binary"), ("bins", "binary")])
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sequences have in common, as often as both have them."""
+    va, na = np.unique(a, return_counts=True)
+    vb, nb = np.unique(b, return_counts=True)
+    _, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    return int(np.minimum(na[ia], nb[ib]).sum())
+
+
+def runs_of(a: np.ndarray, k: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return sum(mixed(a[i : a.size - k + 1 + i].astype(np.uint64) * PLACE[i]) for i in range(k))
+
+
+def anchored(a: np.ndarray, b: np.ndarray) -> int:
+    """The edits of one alignment, so no fewer than the distance: words that begin a run of three which stands once in
+    either text are matched where their order agrees; gaps of equal length are compared word by word."""
+    (ha, ia, na), (hb, ib, nb) = (np.unique(runs_of(x, 3), return_index=True, return_counts=True) for x in (a, b))
+    _, x, y = np.intersect1d(ha[na == 1], hb[nb == 1], assume_unique=True, return_indices=True)
+    left, right = ia[na == 1][x], ib[nb == 1][y]
+    order = np.argsort(left)
+    left, right = left[order], right[order]
+    ends: list[int] = []
+    at, before = [], np.full(left.size, -1)  # the longest sequence of matches whose places rise in both texts
+    for i, r in enumerate(right.tolist()):
+        k = bisect_left(ends, r)
+        before[i] = at[k - 1] if k else -1
+        if k == len(ends):
+            ends.append(r)
+            at.append(i)
+        else:
+            ends[k], at[k] = r, i
+    chain, i = [], at[-1] if at else -1
+    while i >= 0:
+        chain.append(i)
+        i = before[i]
+    chain = np.array(chain[::-1], np.int64)
+    left, right = np.r_[-1, left[chain], a.size], np.r_[-1, right[chain], b.size]
+    wide, high = np.diff(left) - 1, np.diff(right) - 1
+    same = (wide == high) & (wide > 0)
+    cost = np.maximum(wide, high)[~same].sum()
+    n = wide[same]
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return int(cost + (a[np.repeat(left[:-1][same] + 1, n) + inner] != b[np.repeat(right[:-1][same] + 1, n) + inner]).sum())
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILAR) -> np.ndarray:
     """Whether each pair of word sequences has an edit similarity of at least `least`.
 
-    1 - distance / longer length, by dynamic programming in a diagonal band over many pairs at once; the band is
-    widened until the distance found fits in it, which makes it exact, or until it exceeds what `least` allows.
+    1 - distance / longer length. Bounds decide most pairs: the words and pairs of words without a partner from below,
+    an alignment by common runs from above. The rest are aligned by dynamic programming in a diagonal band over many
+    pairs at once; the band is widened until the distance found fits in it, which makes it exact, or until it exceeds
+    what `least` allows.
     """
     out = np.zeros(len(pairs), bool)
     todo: dict[int, tuple] = {}
@@ -163,10 +219,12 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILAR) ->
             continue
         if a.size < b.size:
             a, b = b, a
-        va, na = np.unique(a, return_counts=True)
-        vb, nb = np.unique(b, return_counts=True)
-        _, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-        if a.size - np.minimum(na[ia], nb[ib]).sum() > most:  # so many words have no partner at all
+        if a.size - shared(a, b) > most:  # so many words have no partner at all
+            continue
+        if a.size > 64 and b.size > 1 and a.size - 1 - shared(runs_of(a, 2), runs_of(b, 2)) > 2 * most:
+            continue  # an edit breaks two pairs of words
+        if a.size > 256 and b.size > 2 and anchored(a, b) <= most:
+            out[i] = True
             continue
         todo[i] = (a, b, most)
     width = 8
@@ -218,9 +276,11 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The rows (a, b) of `pairs` that are similar; `words` has the word hashes of each id as 32-bit numbers."""
-    df = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """The rows (a, b) of `pairs` that are similar; `words` is a `word_table` with both ids."""
+    n = partitions(pairs.sparkSession)  # a given number, since the work is in the alignment, not in the bytes
+    left = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    df = left.repartition(n, "b").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")).repartition(n, "b"), "b")
+    bounded_batches(df.sparkSession)
     schema = [("a", "long"), ("b", "long")]
 
     def run(batches):
@@ -233,7 +293,7 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root): the smallest id of the connected component, for each id in `links` (a, b).
+    """(id, root): the smallest id of the connected component, for each id in `links` (a, b); a stored table.
 
     Every round takes the smallest root among the neighbours and then the root of that root; the number of rounds
     grows with the logarithm of the longest path. The driver sees one count a round.
@@ -242,173 +302,168 @@ def components(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
     lowest = down.groupBy(F.col("b").alias("_b")).agg(F.min("a").alias("_low"))
     moved = down.join(lowest, F.col("b") == F.col("_b")).select(F.col("_low").alias("a"), F.when(F.col("a") == F.col("_low"), F.col("b")).otherwise(F.col("a")).alias("b"))
-    links = checkpointed(moved.distinct())
-    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    roots = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("root"))
-    roots = checkpointed(roots)
+    both = stored(moved.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
+    roots = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("root"), F.lit(True).alias("moved")))
     while True:
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         lower = roots.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         # A root that is itself an id with a lower root is followed at once.
-        jump = lower.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        lower = checkpointed(lower.join(jump, "root", "left").select("id", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
-        roots = lower.select("id", "root")
-        if not lower.where("old <> root").limit(1).count():
+        jump = roots.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        root = F.least("root", F.coalesce("next", "root"))
+        lower = stored(lower.join(jump, "root", "left").select("id", root.alias("root"), (F.col("old") != root).alias("moved")))
+        forget(roots)
+        roots = lower
+        if not roots.where("moved").limit(1).count():
+            forget(both)
             return roots
 
 
-def still_apart(rows: DataFrame) -> DataFrame:
-    """The rows (key, id, root) of the buckets that hold several components, with the bucket's size n; written down."""
-    split = rows.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("n")).where("_low <> _high")
-    return checkpointed(rows.join(split.select("key", "n"), "key"))
+def alike(n: np.ndarray, bins: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """Those of `js` whose lengths and counted words allow the edit similarity with `i`."""
+    js = js[np.minimum(n[js], n[i]) >= SIMILAR * np.maximum(n[js], n[i]) - 1e-9]
+    step = bins[js] - bins[i]
+    more = np.maximum(step, 0).sum(axis=1)
+    return js[np.maximum(more, more - step.sum(axis=1)) <= (1 - SIMILAR) * np.maximum(n[js], n[i]) + 1e-9]
 
 
-def blocked(rows: DataFrame) -> DataFrame:
-    """`rows` (key, id, root, n, cls, ...) dealt to groups (key, x, y) with `side`, so that each pair of one bucket in
-    different components meets in a group: of a block with itself, or of two blocks, one on each side.
+def group_pairs(root: np.ndarray, part: np.ndarray, n: np.ndarray, bins: np.ndarray):
+    """Yield the index pairs of a group that are in different components and `alike`; a group of two blocks has pairs
+    across them only."""
+    across = bool((part != part[0]).any())
+    for i in range(root.size - 1):
+        js = np.arange(i + 1, root.size)
+        js = js[(root[js] != root[i]) & ((part[js] != part[i]) | (not across))]
+        if js.size:
+            for j in alike(n, bins, i, js).tolist():
+                yield i, j
 
-    A bucket of up to BLOCK members is one block. In larger ones a component of more than PAIRS_UP_TO members has
-    blocks of its own, which are not compared to each other; blocks whose `cls` are more than 1 apart don't meet.
-    """
-    big = F.col("n") > BLOCK
-    per = rows.groupBy("key", "root").agg(F.count("*").alias("_m"))
-    rows = rows.join(per, ["key", "root"]).withColumn("_own", F.when(big & (F.col("_m") > PAIRS_UP_TO), F.col("root"))).withColumn("_cls", F.when(big, F.col("cls")).otherwise(0))
-    sizes = rows.groupBy(F.col("key").alias("_k"), F.col("_cls").alias("_c"), F.col("_own").alias("_o")).agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
-    block = F.struct(F.col("_cls").alias("c"), F.col("_own").alias("o"), F.pmod(F.xxhash64("id"), "_parts").alias("p"))
-    rows = rows.join(sizes, F.expr("key = _k AND _cls = _c AND _own <=> _o")).withColumn("block", block)
-    rows = checkpointed(rows.drop("_k", "_c", "_o", "_parts", "_m", "_own", "_cls", "n", "cls"))
-    blocks = rows.select("key", "block").distinct()
-    x, y = blocks.select("key", F.col("block").alias("x")), blocks.select("key", F.col("block").alias("y"))
-    pairs = x.join(y, "key").where("x <= y AND abs(x.c - y.c) <= 1 AND coalesce(x.o <> y.o, true)")
-    sides = F.expr("IF(x = y, array(struct(0 AS side, x AS block)), array(struct(0 AS side, x AS block), struct(1 AS side, y AS block)))")
-    pairs = pairs.select("key", F.xxhash64("x").alias("x"), F.xxhash64("y").alias("y"), F.explode(sides).alias("_s")).select("key", "x", "y", "_s.side", "_s.block")
-    return rows.join(pairs, ["key", "block"]).drop("block").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-
-
-def candidates(rows: list[dict], words: list | None = None):
-    """Yield (shared sketches, i, j) for the rows of a group in different components whose first shared sketch is the
-    group's; with `words` only where the words' numbers, counted in BINS, allow the edit similarity."""
-    key, roots = rows[0]["key"], np.array([r["root"] for r in rows])
-    sides, sets = np.array([r["side"] for r in rows]), [frozenset(r["keys"]) for r in rows]
-    if words is not None:
-        size = np.array([w.size for w in words])
-        bins = np.array([np.bincount(w % BINS, minlength=BINS) for w in words], np.int32)
-    for i in range(len(rows)):
-        fit = roots != roots[i]
-        if sides.any():  # two blocks
-            fit &= (sides == 1) & (sides[i] == 0)
-        else:
-            fit[: i + 1] = False
-        js = np.flatnonzero(fit)
-        if words is not None and js.size:
-            more = np.maximum(bins[js] - bins[i], 0).sum(axis=1)
-            least = np.maximum(more, more - size[js] + size[i])
-            js = js[least <= (1 - SIMILAR) * np.maximum(size[js], size[i]) + 1e-9]
-        for j in js.tolist():
-            shared = sets[i] & sets[j]
-            if shared and min(shared) == key:
-                yield len(shared), i, j
-
-
-def group_links(rows: list[dict]) -> list[tuple[int, int]]:
-    """Links of a group that join different components: pairs sharing AGREE sketches are aligned first, and a pair
-    that links found before have connected is not aligned."""
-    words = [np.frombuffer(r["words"], np.uint32) for r in rows]
-    parent: dict[int, int] = {}
-
-    def find(x):
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    found, todo = [], sorted(((n < AGREE, -n, i, j) for n, i, j in candidates(rows, words)), reverse=True)
-    while todo:
-        some = []
-        while todo and len(some) < 64:
-            *_, i, j = todo.pop()
-            if find(rows[i]["root"]) != find(rows[j]["root"]):
-                some.append((i, j))
-        for (i, j), good in zip(some, align([(words[i], words[j]) for i, j in some])):
-            a, b = find(rows[i]["root"]), find(rows[j]["root"])
-            if good and a != b:
-                parent[max(a, b)] = min(a, b)
-                found.append((i, j))
-    return found
 
+def bucket_pairs(entries: DataFrame, words: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of one bucket in different components, as far as `alike` allows, each once.
 
-def over_groups(rows: DataFrame, fn) -> DataFrame:
-    """(a, b) with a < b: the ids of the index pairs that `fn` gives for the rows of each group of `blocked`."""
+    `entries` is (key, id, root, m), m the members of the bucket. A bucket of more than BLOCK members is dealt in
+    blocks, each pair of which is a group of its own; all groups are of bounded size.
+    """
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = entries.join(words.select("id", "n", "bins"), "id").select("*", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.explode(F.expr(f"sequence(0, cast(ceil(m / {BLOCK}) AS int) - 1)")).alias("_other"))
+    rows = rows.select("key", F.least("part", "_other").alias("x"), F.greatest("part", "_other").alias("y"), "part", "id", "root", "n", "bins")
+    rows = rows.repartition(partitions(rows.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+    bounded_batches(rows.sparkSession)
     schema = [("a", "long"), ("b", "long")]
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):
-        each = (row for batch in batches for row in batch.to_pylist())
-        for _, group in groupby(each, lambda r: (r["key"], r["x"], r["y"])):
-            group = list(group)
-            pairs = [sorted((group[i]["id"], group[j]["id"])) for i, j in fn(group)]
+        def each():
+            for batch in batches:
+                columns = batch.to_pydict()
+                yield from zip(*(columns[k] for k in ("key", "x", "y", "part", "id", "root", "n", "bins")))
+
+        for _, group in groupby(each(), lambda r: r[:3]):
+            *_, part, ids, root, n, bins = zip(*group)
+            if len(set(root)) < 2:
+                continue
+            part, ids, root, n = (np.array(v, np.int64) for v in (part, ids, root, n))
+            bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS).astype(np.int32)
+            pairs = list(group_pairs(root, part, n, bins))
             if pairs:
-                yield pa.RecordBatch.from_pydict({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, schema=arrow_schema(schema))
+                i, j = np.array(pairs).T
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}, schema=arrow_schema(schema))
+
+    return rows.mapInArrow(run, ddl(schema)).distinct()
+
+
+def rare_words(some: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, id, root, m): buckets of the ids of `some` (id, root) such that all texts with the edit similarity meet.
 
-    return blocked(rows).mapInArrow(run, ddl(schema))
+    Of two such texts the longer one has a share of SIMILAR of its words, counted as often as they stand, in common
+    with the other. So their rarest words, as many as are more than the rest, have one in common. Lengths differ by
+    one power of 1 / SIMILAR at most, so a text is put under its own power and the next.
+    """
+    schema = [("id", "long"), ("word", "long"), ("size", "int")]
+
+    def run(batches):
+        for batch in batches:
+            for key, data in zip(batch["id"].to_pylist(), batch["words"].to_pylist()):
+                h = np.sort(np.frombuffer(data, np.uint32))
+                new = np.r_[True, h[1:] != h[:-1]][: h.size]
+                first = np.maximum.accumulate(np.where(new, np.arange(h.size), 0))
+                with np.errstate(over="ignore"):
+                    label = mixed(h.astype(np.uint64) + (np.arange(h.size) - first).astype(np.uint64) * ODD).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"id": np.full(h.size, key), "word": label, "size": np.full(h.size, h.size, np.int32)}, schema=arrow_schema(schema))
 
+    each = words.join(some.select("id"), "id", "left_semi").select("id", "words").mapInArrow(run, ddl(schema))
+    each = each.withColumn("df", F.count("*").over(Window.partitionBy("word")))
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "word")))
+    each = each.where(F.expr(f"df > 1 AND rank <= size - ceil({SIMILAR} * size - 1e-9) + 1"))
+    power = F.floor(F.log("size") / F.lit(-np.log(SIMILAR)) + 1e-9).cast("int")
+    each = each.select("id", F.explode(F.array(F.xxhash64("word", power), F.xxhash64("word", power + 1))).alias("key"))
+    return split_buckets(each.join(some, "id"))
 
-def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return still_apart(members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
 
+def split_buckets(entries: DataFrame) -> DataFrame:
+    """The rows (key, id, root) of the buckets that hold several components, with the bucket's members m."""
+    split = entries.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("m")).where("_low <> _high")
+    return entries.join(split.select("key", "m"), "key").select("key", "id", "root", "m")
 
-def residual_pairs(members: DataFrame, roots: DataFrame, keys: DataFrame) -> DataFrame:
-    """All pairs (a, b) of one bucket in different components, each once; `members` is (key, id), `keys` has each
-    id's sketches."""
-    rows = apart(members, roots).join(keys.select("id", "keys"), "id").withColumn("cls", F.lit(0))
-    return over_groups(rows, lambda group: [(i, j) for _, i, j in candidates(group)])
 
+def sketch_buckets(copies: DataFrame) -> DataFrame:
+    """(key, id, m): the members of all buckets of several documents; `copies` is (id, keys)."""
+    entries = copies.select("id", F.explode("keys").alias("key"))
+    return entries.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
 
-def residual_links(members: DataFrame, roots: DataFrame, keys: DataFrame, words: DataFrame) -> DataFrame:
-    """Similar pairs among `residual_pairs`, as many as connect what all of these connect.
 
-    Lengths of similar texts differ by a factor of 1.25 at most, so by one power of 1.26 at most.
-    """
-    cls = F.floor(F.log(F.greatest(F.octet_length("words") / 4, F.lit(1.0))) / F.log(F.lit(1.26))).cast("int")
-    rows = apart(members, roots).join(keys.select("id", "keys"), "id").join(words.select("id", "words"), "id").withColumn("cls", cls)
-    return over_groups(rows, group_links)
+def medoid_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member b of a bucket with the bucket's medoid a, each pair once."""
+    weight = members.groupBy("id").agg(F.sum("m").alias("w"))
+    medoid = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", F.bitwise_not("id"))).alias("a"))
+    return members.join(medoid, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
+def residual_pairs(members: DataFrame, short: DataFrame, roots: DataFrame, words: DataFrame) -> DataFrame:
+    """(a, b), each once: all pairs in different components that share a bucket of `members` or are `short`, but for
+    those that a bound rules out."""
+    def with_root(rows):
+        return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    split = stored(split_buckets(with_root(members.select("key", "id"))))
+    exact = stored(with_root(split.where(f"m > {BLOCK}").select("id").union(short).distinct()))
+    pairs = stored(bucket_pairs(split.where(f"m <= {BLOCK}"), words).union(bucket_pairs(rare_words(exact, words), words)).distinct())
+    forget(split, exact)
+    return pairs
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `df`: doc_id and class_id, the smallest doc_id among its near-duplicates (itself if none).
 
-    A null text counts as empty, and all texts without words are copies of each other. A lone word
-    is one k-mer. Rows that repeat an id are one document. Null ids form class null.
+    A null text counts as empty, and all texts without words are copies of each other. Rows that repeat an id are one
+    document. Null ids form class null. Columns besides these two are not read. A text of any length is aligned in
+    time by its length where common runs decide; only pairs near the limit need the band, a fifth of the length wide.
     """
-    rows = checkpointed(sketches(df, id_col, text_col))
-    copies = rows.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-    own = rows.join(copies, ["c1", "c2"]).select("id", "rep", "keys")
-    distinct = checkpointed(own.where("id = rep").select("id", "keys").dropDuplicates(["id"]))
-    of = checkpointed(own.select("id", "rep"))
-    entries = distinct.select("id", F.explode("keys").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    members = checkpointed(entries.join(buckets.select("key", "first"), "key"))
-    ids = checkpointed(members.select("id").distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    def as_words(batch):
-        return {"id": batch["id"], "words": [(word_hashes(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch["t"]]}
-
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("t")).join(wanted, "id")
-    words = checkpointed(map_columns(texts, ["id", "t"], as_words, [("id", "long"), ("words", "binary")]))
-    stars = members.select(F.col("first").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-    links = checkpointed(verified(stars, words))
+    rows = stored(sketches(df, id_col, text_col))
+    copies = rows.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.first("n").alias("n"))
+    copies = stored(copies.groupBy(F.col("rep").alias("id")).agg(F.first("keys").alias("keys"), F.min("n").alias("n")))
+    of = stored(rows.select("id", "c1", "c2").join(rows.groupBy("c1", "c2").agg(F.min("id").alias("rep")), ["c1", "c2"]).select("id", "rep"))
+    forget(rows)
+    members = stored(sketch_buckets(copies))
+    short = stored(copies.where(F.col("n").between(1, int(SHORT / SIMILAR + 1e-9))).select("id"))
+    ids = stored(members.select("id").union(short).distinct())
+    words = stored(word_table(df, id_col, text_col, ids))
+    links = stored(verified(medoid_pairs(members), words))
     roots = components(links)
-    more = checkpointed(residual_links(members.select("key", "id"), roots, distinct, words))
-    if more.limit(1).count():
-        roots = components(links.union(more))
-    classes = of.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("class"))
-    return classes.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("class", F.lit(NO_ID)).alias("class_id"))
+    pairs = residual_pairs(members, short, roots.select("id", "root"), words)
+    more = stored(verified(pairs, words))
+    forget(copies, ids, short, members, pairs, words, links)
+    # The further links join components, each of which is now its root.
+    root_of = roots.select(F.col("id").alias("_id"), "root")
+    joined = more.join(root_of.select(F.col("_id").alias("a"), F.col("root").alias("_a")), "a", "left").join(root_of.select(F.col("_id").alias("b"), F.col("root").alias("_b")), "b", "left")
+    tops = components(joined.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    forget(more)
+    classes = of.join(root_of.withColumnRenamed("_id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).join(tops, "root", "left")
+    return classes.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif(F.coalesce("top", "root"), F.lit(NO_ID)).alias("class_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` that stand for their class, with all columns of `df`."""
     kept = near_duplicates(df, id_col, text_col).where("doc_id <=> class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = checkpointed(kept)
+    kept = stored(kept)
     few = kept.count() <= BROADCAST_IDS
     return df.join(F.broadcast(kept) if few else kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")

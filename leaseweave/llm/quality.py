@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, ddl, held_out
+from .common import arrow_schema, bounded_batches, ddl, held_out
 from .grams import counts
 
 BITS, RANK, NEIGHBOURS = 10, 48, 15
@@ -110,7 +110,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(df: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: score and decision. Null texts are scored as empty ones; equal texts score equally."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -126,7 +126,7 @@ def scored(df: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col: s
 
 def keep_good(df: DataFrame, model: Neighbours, text_col: str = "text") -> DataFrame:
     """The rows of `df` whose text is accepted, with all their columns."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(df.sparkSession)
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def run(batches):

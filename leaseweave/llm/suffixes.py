@@ -15,7 +15,6 @@ A byte goes if a string of 100 bytes that covers it starts earlier: in a documen
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, ddl, shared_folder
+from .common import arrow_schema, bounded_batches, ddl, stored
 from .grams import groups
 
 LENGTH, GRAM = 100, 32
@@ -38,15 +37,6 @@ BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np
 RUNS = [("anchor", "long"), ("copy", "long"), ("id", "long"), ("span", "long")]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: what follows doesn't depend on shuffle files of lost executors."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def grams(raw: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place."""
     with np.errstate(over="ignore"):
@@ -373,7 +363,7 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     """(texts, ranges): (id, t) of the rows of `df`, and (id, span) of the starts of all repeated strings."""
     spark = df.sparkSession
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("t"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    bounded_batches(spark, 2048)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = find_runs(texts).repartition(n, "anchor").sortWithinPartitions("anchor", "copy", "id", "span")
     found = stored(tell_apart(found))
