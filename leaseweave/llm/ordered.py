@@ -12,11 +12,13 @@ How a large group stays linear:
 
 1. Copies (texts of equal words) are collapsed.
 2. Each bucket has a medoid, its member that meets most others over all its buckets; members are compared to medoids.
-3. Buckets that then still hold several components: in those of up to BLOCK members all pairs of different components
+3. Buckets that then still hold several components: in those of up to FEW members all pairs of different components
    are looked at. The members of larger ones, and short texts, are looked up by an exact filter instead: texts with an
-   edit similarity of 0.8 have one of their rarest fifth of words in common. A rare word has a small bucket, so a
-   passage that many documents share makes no pairs of them. Every pair that shares a sketch or is short is thus
-   compared or ruled out by a bound on its edit distance; nothing depends on the size of a bucket but the way taken.
+   edit similarity of 0.8 have one of their rarest words in common (a fifth of the words is enough; short texts go by
+   pairs of words). A rare word has a small bucket, so a passage that many documents share makes no pairs of them. Every pair that shares a
+   sketch or is short is thus compared, or ruled out by a bound on its edit distance, whatever the size of a bucket.
+   Only texts that mostly consist of passages which very many components share are still compared each with each, by
+   blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ from pyspark.sql.window import Window
 from .common import arrow_schema, bounded_batches, ddl, forget, map_columns, partitions, stored
 
 WORDS, SKETCHES, MINIMA, SIMILAR = 5, 64, 2, 0.8
-#: Texts of up to so many words are found without fail; members of a block; bins of the word counts. The last two don't
-#: change the classes.
-SHORT, BLOCK, BINS = 64, 128, 256
+#: Texts of up to so many words are found without fail; members of a bucket whose pairs are all looked at; members of a
+#: block; bins of the word counts. The last three don't change the classes but for links that no sketch stands for.
+SHORT, FEW, BLOCK, BINS = 64, 256, 1024, 256
 #: Ids broadcast to the documents at most (12 MB); more are joined by key.
 BROADCAST_IDS = 1_000_000
 NO_ID = -(1 << 63)
@@ -338,15 +340,35 @@ def group_pairs(root: np.ndarray, part: np.ndarray, n: np.ndarray, bins: np.ndar
                 yield i, j
 
 
+def blocked(entries: DataFrame) -> DataFrame:
+    """The rows of buckets of more than BLOCK members dealt to groups (key, x, y) of two blocks, or of one, in which all
+    pairs of different components meet; `part` is a row's block.
+
+    A component with many members in a bucket has blocks of its own, which don't meet each other: one such component
+    and a few others make about as many rows as the bucket has members.
+    """
+    own = F.col("_c") > BLOCK // 2
+    rows = entries.withColumn("_c", F.count("*").over(Window.partitionBy("key", "root")))
+    rows = rows.withColumn("_rest", F.sum(F.when(own, 0).otherwise(1)).over(Window.partitionBy("key")))
+    alone = F.xxhash64("root", F.pmod(F.xxhash64("id"), F.ceil(F.col("_c") / BLOCK)))
+    shared_ = F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("_rest") / BLOCK))))
+    rows = rows.select("key", "id", "root", F.when(own, alone).otherwise(shared_).alias("part"), F.when(own, F.col("root")).alias("owner"))
+    blocks = rows.select("key", "part", "owner").distinct()
+    x, y = (blocks.select("key", F.col("part").alias(n), F.col("owner").alias(f"_{n}")) for n in "xy")
+    pairs = x.join(y, "key").where("x <= y AND coalesce(_x <> _y, true)")
+    pairs = pairs.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
+    return rows.drop("owner").join(pairs, ["key", "part"])
+
+
 def bucket_pairs(entries: DataFrame, words: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of one bucket in different components, as far as `alike` allows, each once.
 
-    `entries` is (key, id, root, m), m the members of the bucket. A bucket of more than BLOCK members is dealt in
-    blocks, each pair of which is a group of its own; all groups are of bounded size.
+    `entries` is (key, id, root, m), m the members of the bucket. All groups of rows are of bounded size.
     """
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = entries.join(words.select("id", "n", "bins"), "id").select("*", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.explode(F.expr(f"sequence(0, cast(ceil(m / {BLOCK}) AS int) - 1)")).alias("_other"))
-    rows = rows.select("key", F.least("part", "_other").alias("x"), F.greatest("part", "_other").alias("y"), "part", "id", "root", "n", "bins")
+    columns = ("key", "x", "y", "part", "id", "root")
+    zero = F.lit(0).cast("long")
+    few = entries.where(f"m <= {BLOCK}").select("key", zero.alias("x"), zero.alias("y"), zero.alias("part"), "id", "root")
+    rows = few.union(blocked(entries.where(f"m > {BLOCK}")).select(*columns)).join(words.select("id", "n", "bins"), "id")
     rows = rows.repartition(partitions(rows.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
     bounded_batches(rows.sparkSession)
     schema = [("a", "long"), ("b", "long")]
@@ -354,49 +376,55 @@ def bucket_pairs(entries: DataFrame, words: DataFrame) -> DataFrame:
     def run(batches):
         def each():
             for batch in batches:
-                columns = batch.to_pydict()
-                yield from zip(*(columns[k] for k in ("key", "x", "y", "part", "id", "root", "n", "bins")))
+                names = batch.to_pydict()
+                yield from zip(*(names[k] for k in (*columns, "n", "bins")))
 
         for _, group in groupby(each(), lambda r: r[:3]):
             *_, part, ids, root, n, bins = zip(*group)
             if len(set(root)) < 2:
                 continue
             part, ids, root, n = (np.array(v, np.int64) for v in (part, ids, root, n))
-            bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS).astype(np.int32)
+            bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS).astype(np.int16)
             pairs = list(group_pairs(root, part, n, bins))
             if pairs:
                 i, j = np.array(pairs).T
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}, schema=arrow_schema(schema))
 
-    return rows.mapInArrow(run, ddl(schema)).distinct()
+    return rows.select(*columns, "n", "bins").mapInArrow(run, ddl(schema)).distinct()
 
 
-def rare_words(some: DataFrame, words: DataFrame) -> DataFrame:
-    """(key, id, root, m): buckets of the ids of `some` (id, root) such that all texts with the edit similarity meet.
+def must_look_up(n: int, width: int) -> int:
+    """Of how many of its rarest runs of `width` words a text of n words shares one with every similar text.
 
-    Of two such texts the longer one has a share of SIMILAR of its words, counted as often as they stand, in common
-    with the other. So their rarest words, as many as are more than the rest, have one in common. Lengths differ by
-    one power of 1 / SIMILAR at most, so a text is put under its own power and the next.
+    Texts of up to m words with d edits have m - width + 1 - width * d of the longer one's runs in common, and a text
+    of n words has n - width + 1, so as many as it need not share, and one more.
     """
-    schema = [("id", "long"), ("word", "long"), ("size", "int")]
+    longer = range(n, int(n / SIMILAR + 1e-9) + 1)
+    return max(n - m + 1 + width * int((1 - SIMILAR) * m + 1e-9) for m in longer)
+
+
+def rare_runs(some: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, id, root, m): buckets of the ids of `some` (id, root) in which all texts of that edit similarity meet.
+
+    A key is a word, for short texts a pair of words, with its occurrence number. Each text is entered under as many of
+    its keys as `must_look_up` says, those first that the fewest components have; keys of one component make no bucket.
+    Texts of lengths in between have both kinds, so texts of similar length have one kind in common.
+    """
+    schema = [("id", "long"), ("root", "long"), ("key", "long"), ("width", "int"), ("take", "int")]
 
     def run(batches):
         for batch in batches:
-            for key, data in zip(batch["id"].to_pylist(), batch["words"].to_pylist()):
-                h = np.sort(np.frombuffer(data, np.uint32))
-                new = np.r_[True, h[1:] != h[:-1]][: h.size]
-                first = np.maximum.accumulate(np.where(new, np.arange(h.size), 0))
-                with np.errstate(over="ignore"):
-                    label = mixed(h.astype(np.uint64) + (np.arange(h.size) - first).astype(np.uint64) * ODD).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"id": np.full(h.size, key), "word": label, "size": np.full(h.size, h.size, np.int32)}, schema=arrow_schema(schema))
-
-    each = words.join(some.select("id"), "id", "left_semi").select("id", "words").mapInArrow(run, ddl(schema))
-    each = each.withColumn("df", F.count("*").over(Window.partitionBy("word")))
-    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "word")))
-    each = each.where(F.expr(f"df > 1 AND rank <= size - ceil({SIMILAR} * size - 1e-9) + 1"))
-    power = F.floor(F.log("size") / F.lit(-np.log(SIMILAR)) + 1e-9).cast("int")
-    each = each.select("id", F.explode(F.array(F.xxhash64("word", power), F.xxhash64("word", power + 1))).alias("key"))
-    return split_buckets(each.join(some, "id"))
+            for key, root, data in zip(*(batch[k].to_pylist() for k in ("id", "root", "words"))):
+                w = np.frombuffer(data, np.uint32).astype(np.uint64)
+                for width in ((2,) if w.size <= SHORT else (1, 2) if w.size <= SHORT / SIMILAR + 1e-9 else (1,)):
+                    h, take = kmers(w, width), must_look_up(w.size, width)
+                    yield pa.RecordBatch.from_pydict({"id": np.full(h.size, key), "root": np.full(h.size, root), "key": h.view(np.int64), "width": np.full(h.size, width, np.int32), "take": np.full(h.size, take, np.int32)}, schema=arrow_schema(schema))
+
+    each = words.select("id", "words").join(some, "id").select("id", "root", "words").mapInArrow(run, ddl(schema))
+    each = each.withColumn("_nth", F.dense_rank().over(Window.partitionBy("key").orderBy("root")))
+    each = each.withColumn("_df", F.max("_nth").over(Window.partitionBy("key")))
+    each = each.withColumn("_rank", F.row_number().over(Window.partitionBy("id", "width").orderBy("_df", "key")))
+    return split_buckets(each.where("_df > 1 AND _rank <= take").select("key", "id", "root"))
 
 
 def split_buckets(entries: DataFrame) -> DataFrame:
@@ -425,8 +453,8 @@ def residual_pairs(members: DataFrame, short: DataFrame, roots: DataFrame, words
         return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     split = stored(split_buckets(with_root(members.select("key", "id"))))
-    exact = stored(with_root(split.where(f"m > {BLOCK}").select("id").union(short).distinct()))
-    pairs = stored(bucket_pairs(split.where(f"m <= {BLOCK}"), words).union(bucket_pairs(rare_words(exact, words), words)).distinct())
+    exact = stored(with_root(split.where(f"m > {FEW}").select("id").union(short).distinct()))
+    pairs = stored(bucket_pairs(split.where(f"m <= {FEW}").union(rare_runs(exact, words)), words))
     forget(split, exact)
     return pairs
 

@@ -35,7 +35,7 @@ def every(spark):
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    model = languages.Mixtures([{"lang": "en", "code": 1, "n": 5}])
+    model = languages.Mixtures(["en"], np.array([1]), np.array([5]))
     voted = quality.Neighbours(quality.term_vectors(["a b", "%%% $$$"]), np.array([1.0, 0.0]))
     return {
         "suffixes": suffixes.remove_repeats, "simhash": simhash.edited_fingerprints, "prints": simhash.fingerprints, "languages": lambda df: languages.identify(df, model), "media": tiff.text_media,
@@ -157,6 +157,59 @@ def test_languages_and_mixtures(spark):
     assert lang == "en" and 0.6 < share < 0.9 and "de:" in langs and [x[0] for x in rest[:3]] == ["und"] * 3
 
 
+def test_mixture_is_the_most_likely_one():
+    r = np.random.default_rng(12)
+    langs, codes = ["a"] * 40 + ["b"] * 40 + ["c"] * 40, np.tile(np.arange(40), 3)
+    model = languages.Mixtures(langs, codes, r.integers(1, 900, 120))
+    n = r.integers(1, 30, 40).astype(np.float32)
+    p = model.p[:40]
+    for allowed in ([1, 1, 1], [1, 1, 0], [0, 1, 1]):
+        own = np.repeat([0, 1], 40)  # two texts, the second with the counts the other way round
+        share, value = model.blend(own, np.array([0, 40]), np.r_[p, p], np.r_[n, n[::-1]], np.array([n.sum(), n.sum()]), np.array([allowed] * 2, np.float32))
+        for k, count in enumerate((n, n[::-1])):
+            best, grid = -np.inf, np.linspace(0, 1, 101)
+            for x in grid:
+                for y in grid[grid <= 1 - x + 1e-9]:
+                    s = np.array([x, y, max(0, 1 - x - y)])
+                    if not (s[np.array(allowed) == 0] > 0).any():
+                        best = max(best, (count * np.log(p @ s + 1e-30)).sum())
+            assert value[k] >= best - 0.2 and abs(share[k].sum() - 1) < 1e-5
+    assert [x[0] for x in model.predict(["½ ² ³", "Ⅷ", "1", "é"])][:3] == ["und"] * 3 and model.predict(["é"])[0][0] != "und"
+
+
+def test_neighbours_equal_a_plain_loop():
+    r = random.Random(50)
+    texts = ["".join(r.choice("ab cd.X1$") for _ in range(r.randint(0, 200))) for _ in range(90)]
+    labels = np.array([r.randint(0, 1) for _ in texts[:60]], float)
+    model = quality.Neighbours(quality.term_vectors(texts[:60]), labels)
+    latent = [model.project(quality.term_vectors([t]))[0] for t in texts]
+    for t, got in zip(texts, model.score(texts)):
+        v = model.project(quality.term_vectors([t]))[0]
+        near = sorted(((float(v @ w), i) for i, w in enumerate(latent[:60])), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(0, c) ** 4 + 1e-6 for c, _ in near]
+        assert got == pytest.approx(sum(w * labels[i] for w, (_, i) in zip(weight, near)) / sum(weight), abs=1e-3)
+
+
+def test_tiff_bytes_made_by_hand(spark):
+    """Examples of the format's and of PackBits' descriptions, and files that lie about their size."""
+    assert tiff.packbits_decode(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]  # of the bytes 7 7 7 8 8 7 7 6 6, nine bits each
+    bits = "".join(f"{c:09b}" for c in codes)
+    assert tiff.lzw_decode(int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big"), 99) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+    def big_endian(width, height, strip, compression=1, **more):
+        fields = {256: width, 257: height, 258: 8, 259: compression, 273: 8, 277: 1, 278: height, 279: len(strip)} | {int(k[1:]): v for k, v in more.items()}
+        out = b"MM\0*" + (8 + len(strip)).to_bytes(4, "big") + strip + len(fields).to_bytes(2, "big")
+        return out + b"".join(t.to_bytes(2, "big") + b"\0\4\0\0\0\1" + v.to_bytes(4, "big") for t, v in sorted(fields.items())) + b"\0" * 4
+
+    files = [big_endian(3, 2, bytes(range(6))), big_endian(4, 2, bytes([3, 1, 1, 1, 250, 255, 0, 9]), t317=2), big_endian(5, 2, bytes.fromhex("FD01 00 02 FC 03".replace(" ", "")), 32773)]
+    bad = [big_endian(3, 2, b"abc"), big_endian(1 << 30, 1 << 30, b"abc"), big_endian(60_000, 60_000, zlib.compress(b"a"), 8), big_endian(3, 2, bytes(6), t322=0, t323=0, t324=8, t325=6), big_endian(0, 2, b""), big_endian(3, 2, bytes(6), t278=0), None]
+    rows = {r["doc_id"]: r for r in tiff.tiff_pages(spark.createDataFrame([(i, x and bytearray(x)) for i, x in enumerate(files + bad)], "doc_id long, data binary")).collect()}
+    assert [bytes(rows[i]["pixels"]) for i in range(3)] == [bytes(range(6)), bytes([3, 4, 5, 6, 250, 249, 249, 2]), bytes([1, 1, 1, 1, 2, 3, 3, 3, 3, 3])]
+    assert all(rows[3 + i]["page"] == -1 and rows[3 + i]["error"] for i in range(len(bad)))
+    assert tiff.tiff_pages(spark.createDataFrame([], "doc_id long, data binary")).count() == 0
+
+
 def test_tiff_round_trips(spark):
     g = np.random.default_rng(0)
     pages = [g.integers(0, k, (37, 29, s)).astype(np.uint8) for k, s in ((2, 1), (256, 1), (4, 3))] + [np.zeros((300, 200), np.uint8), g.integers(0, 256, (100, 99)).astype(np.uint8)]
@@ -182,6 +235,10 @@ def test_texts_as_media(spark):
         assert out[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and out[i]["n_bytes"] == len(data)
         assert out[i]["tail_crc32"] == zlib.crc32(payload[-64:]) and out[i]["payload_bytes"] == len(payload)
     assert list(out[0])[1:] == list(out[5])[1:]
+    many = [f"{i} " * (200 + 40_000 * (i == 7)) for i in range(12)]
+    back = by_id(tiff.text_media(docs(spark, many)))
+    assert len({(r["compression"], r["tiled"]) for r in back.values()}) > 2 and back[7]["pages"] == 1 and max(r["pages"] for r in by_id(tiff.text_media(docs(spark, ["long " * 90_000]))).values()) == 2
+    assert all(r["payload_sha256"] == hashlib.sha256((d := many[i].encode()) + b"\0" * (-len(d) % 64)).hexdigest() for i, r in back.items())
 
 
 def test_pieces_equal_the_library(spark):
@@ -366,7 +423,8 @@ def test_recall_in_groups_of_any_size(spark, size):
 
 @pytest.mark.parametrize("block", [3, 128])
 def test_near_duplicates(spark, monkeypatch, block):
-    monkeypatch.setattr(ordered, "BLOCK", block)  # 3: members of most buckets are looked up by their rare words
+    monkeypatch.setattr(ordered, "FEW", block)  # 3: members of most buckets are looked up by their rare words
+    monkeypatch.setattr(ordered, "BLOCK", block)
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     passage = [word() for _ in range(40)]
@@ -397,6 +455,7 @@ def test_near_duplicates(spark, monkeypatch, block):
 @pytest.mark.parametrize("block", [2, 7, 128])
 def test_pairs_of_buckets_of_every_size(spark, monkeypatch, block):
     monkeypatch.setattr(ordered, "BLOCK", block)
+    monkeypatch.setattr(ordered, "FEW", block)
     r = random.Random(22)
     texts = {i: [f"c{x}" for x in range(60)] + [f"{i}-{x}" if r.random() < 0.5 else f"o{x}" for x in range(r.randint(0, 40))] for i in range(60)}
     root = {i: 0 if i < 20 else 20 for i in range(30)}
@@ -503,5 +562,13 @@ def test_licences(spark):
         starts = [n for n, _ in places]
         assert (out[i]["n_words"], out[i]["n_base"], out[i]["first_word"], out[i]["last_word"]) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
         assert out[i]["base_labels"] == ",".join(sorted({x for _, x in places}))
-    assert "gpl-2.0 with classpath-exception-2.0" in out[4]["labels"] and out[4]["score"] == 1.0 and out[5]["expressions"] == ""
+    for text, labels, score in (
+        ("CC BY-SA 4.0", "cc-by-sa", 0.5), ("CC BY-NC-ND", "cc-by-nc,cc-by-nc-nd", 0.0), ("GNU General Public License, version 3", "gpl-3", 0.2), ("GNU General Public License", "gpl", 0.2),
+        ("SPDX-License-Identifier: CC-BY-NC-4.0 OR MIT", "cc-by-nc,cc-by-nc-4.0,mit", 1.0), ("x\nSPDX-License-Identifier: CC-BY-4.0\nand the MIT License", "cc-by-4.0,mit", 1.0),
+        ("SPDX-License-Identifier: GPL-2.0 AND MIT", "gpl-2.0,mit", 0.2), ("Creative Commons Attribution-NonCommercial", "cc-by-nc", 0.0), ("", "", 0.0), ("apache license", "apache-2", 1.0),
+    ):
+        assert licenses.scan(text)[5:7] == (labels, score), text
+    long = licenses.scan("under the mit license, " * 400_000)
+    assert long[:4] == (1_600_000, 400_000, 0, 1_599_996)
+    assert "gpl-2.0 with classpath-exception-2.0" in out[4]["labels"] and out[4]["score"] == 0.2 and out[5]["expressions"] == ""
     assert licenses.parse("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
