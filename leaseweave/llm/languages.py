@@ -6,8 +6,6 @@ proportions of a document, then grows its language set while the likelihood gain
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,9 +15,9 @@ from .common import arrow_schema, bounded_batches, ddl, held_out
 from .grams import counts, groups, trigrams
 
 BITS = 15
-#: Expectation-maximisation steps, and the likelihood (nats per log of the trigram count) a further language must gain.
-STEPS, PENALTY = 8, 5.0
-LETTER = re.compile(r"[^\W\d_]")
+#: Change of a proportion at which expectation-maximisation ends, steps at most, and the likelihood (nats per log of the
+#: trigram count) a further language must gain.
+CLOSE, STEPS, PENALTY = 1e-4, 1000, 5.0
 #: Letters stay; other ASCII bytes are one separator.
 TABLE = np.array([c if 97 <= c <= 122 or c > 127 else 32 for c in range(256)], np.uint8)
 
@@ -59,27 +57,38 @@ def trigram_counts(df: DataFrame, text: Column, lang: Column) -> DataFrame:
 class Mixtures:
     """Language names and P(code | language); 2^BITS rows by languages, whatever the corpus holds."""
 
-    def __init__(self, rows):
-        self.langs = sorted({r["lang"] for r in rows})
-        n = np.zeros((1 << BITS, len(self.langs)))
-        for r in rows:
-            n[r["code"], self.langs.index(r["lang"])] = r["n"]
-        n += 0.5
+    def __init__(self, langs: list[str], codes: np.ndarray, counts: np.ndarray):
+        self.langs = sorted(set(langs))
+        number = {x: i for i, x in enumerate(self.langs)}
+        n = np.full((1 << BITS, len(self.langs)), 0.5)
+        n[codes, [number[x] for x in langs]] += counts
         self.p = (n / n.sum(axis=0)).astype(np.float32)
 
     def blend(self, owner, starts, p, n, total, allowed):
         """Proportions of each text over its `allowed` languages, and the log likelihood."""
         share = allowed / allowed.sum(axis=1, keepdims=True)
-        for _ in range(STEPS):
-            w = p * share[owner]
-            w *= (n / w.sum(axis=1))[:, None]
-            share = np.add.reduceat(w, starts, axis=0) / total[:, None]
+        size = np.diff(np.r_[starts, owner.size])
+        going = np.flatnonzero(allowed.sum(axis=1) > 1)  # texts whose proportions still change
+        for step in range(STEPS):
+            if not going.size:
+                break
+            if step % 4 == 0:  # their rows; texts are dropped as they come to rest
+                first = np.r_[0, np.cumsum(size[going])[:-1]]
+                rows = np.repeat(starts[going] - first, size[going]) + np.arange(size[going].sum())
+                own, some, count = np.repeat(np.arange(going.size), size[going]), p[rows], n[rows]
+            w = some * share[going][own]
+            w *= (count / w.sum(axis=1))[:, None]
+            new = np.add.reduceat(w, first, axis=0) / total[going, None]
+            moved = np.abs(new - share[going]).max(axis=1) > CLOSE
+            share[going] = new
+            if step % 4 == 3:
+                going = going[moved]
         return share, np.add.reduceat(n * np.log((p * share[owner]).sum(axis=1)), starts)
 
     def predict(self, texts: list[str | None]):
         """(language or und, its share, all languages with shares) of each text."""
         out = [("und", 0.0, "")] * len(texts)
-        use = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
+        use = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.langs else []
         for at, owner, code, n in counts([folded(texts[i]) for i in use], TABLE, 8, BITS):
             p, n = self.p[code], n.astype(np.float32)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -117,15 +126,18 @@ class Mixtures:
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Mixtures:
-    """Learn from every labelled document that is not held out; the driver gets counts of fixed size only."""
-    return Mixtures(trigram_counts(df.where(~held_out(id_col)), F.col(text_col), F.col(lang_col)).collect())
+    """Learn from every labelled document that is not held out; the driver gets 2^BITS counts a language, however large
+    the corpus, and so do the executors."""
+    found = trigram_counts(df.where(~held_out(id_col)), F.col(text_col), F.col(lang_col)).toArrow()
+    return Mixtures(found["lang"].to_pylist(), found["code"].to_numpy().astype(np.int64), found["n"].to_numpy())
 
 
 def identify(df: DataFrame, model: Mixtures, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the main language, its share, and the language set.
 
-    `und` with score 0 if the text is null or has no letter, or if nothing was learned. Ties go to the first
-    language by name. Only the text decides.
+    `und` with score 0 if the text is null or has no letter (a character of a Unicode letter category), or if nothing
+    was learned. Ties go to the first language by name. Only the text decides; repeated rows give repeated results, an
+    empty table none. A long text is counted in parts, so memory is bounded.
     """
     bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)

@@ -24,6 +24,11 @@ NOTICES = {
     "gnu general public license": "gpl", "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl",
     "mozilla public license": "mpl", "redistribution and use in source and binary forms": "bsd", "bsd license": "bsd",
     "eclipse public license": "epl", "creative commons attribution": "cc-by", "cc by sa": "cc-by-sa", "cc by": "cc-by",
+    "cc by nc": "cc-by-nc", "cc by nc sa": "cc-by-nc-sa", "cc by nc nd": "cc-by-nc-nd", "cc by nd": "cc-by-nd",
+    "creative commons attribution sharealike": "cc-by-sa", "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc", "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa", "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "creative commons attribution noderivatives": "cc-by-nd", "gpl version 2": "gpl-2", "gpl version 3": "gpl-3",
     "cc0": "cc0", "public domain": "public-domain", "all rights reserved": "proprietary", "isc license": "isc", "the unlicense": "unlicense",
 }
 TAG = "spdx license identifier"
@@ -43,7 +48,7 @@ SCHEMA = [
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for phrase in {**NOTICES, **BASE, TAG: ""}:
-        found.add_word(f" {phrase} ", phrase)
+        found.add_word(f" {phrase} ", (phrase, phrase.count(" ") + 1))
     found.make_automaton()
     return found
 
@@ -84,7 +89,7 @@ def parse(expression: str):
 
 def rating(licence: str) -> float:
     """How freely one licence lets text be used: 1 permissive, 0.5 weak copyleft, 0.2 strong copyleft, 0 unknown."""
-    for value, heads in ((0.5, ("lgpl", "mpl", "epl", "cc-by-sa")), (0.2, ("gpl", "agpl")), (0.0, ("cc-by-n",)), (1.0, ("mit", "apache", "bsd", "isc", "cc0", "cc-by", "unlicense", "zlib"))):
+    for value, heads in ((0.5, ("lgpl", "mpl", "epl", "cc-by-sa")), (0.2, ("gpl", "agpl")), (0.0, ("cc-by-n",)), (1.0, ("mit", "apache", "bsd", "isc", "cc0", "cc-by", "unlicense", "zlib", "public-domain"))):
         if licence.startswith(heads):
             return value
     return 0.0
@@ -108,38 +113,71 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
     return stack[0] if stack else None
 
 
+def tag_words(raw: bytes, plain: bytes) -> list[tuple[int, int]]:
+    """First word and end of the words of each tag's expression."""
+    at, inside, n = 0, False, 0
+    out = []
+    for m in TAG_TEXT.finditer(raw):
+        edges = []
+        for until in (m.start(1), m.end(1)):
+            part = plain[at:until]
+            n += len(part.split()) - (inside and part[:1] not in (b"", b" "))
+            inside, at = part[-1:] != b" " if part else inside, until
+            edges.append(n)
+        out.append(tuple(edges))
+    return out
+
+
+def notices(places: list[tuple[int, int, str]], tags: list[tuple[int, int]]) -> set[str]:
+    """Labels of the notices (first word, end, phrase) that no longer one holds and that aren't part of a tag."""
+    labels, reach, k = set(), -1, 0
+    for first, end, phrase in sorted(places, key=lambda x: (x[0], -x[1])):
+        while k < len(tags) and tags[k][1] <= first:
+            k += 1
+        if end > reach and not (k < len(tags) and tags[k][0] <= first):
+            labels.add(NOTICES.get(phrase) or BASE[phrase])
+        reach = max(reach, end)
+    return labels
+
+
 def scan(text: str) -> tuple:
     raw = text.encode()
     plain = raw.translate(KEEP)
     words = plain.split()
     line = (b" " + b" ".join(words) + b" ").decode()
-    base, labels, starts, tagged = set(), set(), [], False
-    for end, phrase in automaton().iter(line):
+    base, starts, places, tagged, at, n = set(), [], [], False, 0, -1
+    for end, (phrase, size) in automaton().iter(line):
+        n, at = n + line.count(" ", at, end + 1), end + 1  # words so far
+        if phrase == TAG:
+            tagged = True
+            continue
+        places.append((n - size, n, phrase))
         if phrase in BASE:
-            starts.append(line.count(" ", 0, end - len(phrase)) - 1)
+            starts.append(n - size)
             base.add(BASE[phrase])
-        elif phrase == TAG:
-            tagged = True
-        else:
-            labels.add(NOTICES[phrase])
-    expressions = []
+    labels = notices(places, tag_words(raw, plain) if tagged else [])
+    expressions, values = [], []
     if tagged:
         for m in TAG_TEXT.finditer(raw):
             if value := evaluate(m[1].decode()):
                 expressions.append(f"{'+'.join(sorted(value[0]))}={value[1]:g}")
+                values.append(value[1])
                 labels |= value[0]
-    score = 1.0 if expressions else 0.9 if base else 0.6 if labels else 0.0
+    labels |= base
+    score = min(values or map(rating, labels), default=0.0)
     return (
         len(words), len(starts), min(starts, default=None), max(starts, default=None),
-        ",".join(sorted(base)), ",".join(sorted(base | labels)), score, "; ".join(expressions),
+        ",".join(sorted(base)), ",".join(sorted(labels)), score, "; ".join(expressions),
     )
 
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: words, base phrase places, labels, licence expressions, and a confidence `score`.
+    """One row per document: words, base phrase places, labels, licence expressions, and `score`.
 
-    score: 1 with a well-formed tag, 0.9 with a base phrase, 0.6 with another notice, else 0. A null text
-    counts as empty (no words, null places, empty labels). A malformed expression adds no label.
+    score says how freely the text may be used by what it states: the least value of its tags' expressions, else of
+    its labels; 0 where nothing is stated. Of notices of which one holds the other the longer counts. A null text
+    counts as empty (no words, null places, empty labels). A malformed expression adds no label. Repeated rows give
+    repeated results, an empty table none; time goes by the length of the text.
     """
     def rows(batch):
         out = [(k, *scan(t or "")) for k, t in zip(batch["k"], batch["t"])]

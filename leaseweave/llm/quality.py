@@ -25,13 +25,13 @@ CLASS = np.array([
     1 if 97 <= c <= 122 or c > 127 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in (9, 10, 13, 32) else 5 + c % 27
     for c in range(256)
 ], np.uint8)
-TERMS = (1 << BITS) + 4
+TERMS = (1 << BITS) + 3
 
 SCHEMA = [("doc_id", "long"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
 
 
 def repeats(text: str) -> list[int]:
-    """Words, those equal to the word before, to the second before, and seen before anywhere (all whole texts)."""
+    """Words equal to the word before, to the second before, seen before anywhere, and all words, of the whole text."""
     words = text.split()
     return [sum(map(str.__eq__, words[k:], words)) for k in (1, 2)] + [len(words) - len(set(words)), len(words)]
 
@@ -48,7 +48,7 @@ def term_vectors(texts: list[str | None]) -> np.ndarray:
         if t:
             one, two, seen, words = repeats(t)
             if words:
-                out[i, -4:] = np.array([one, two, max(0, seen - words // 2), 0]) * (REPEAT_WEIGHT / words)
+                out[i, -3:] = np.array([one, two, max(0, seen - words // 2)]) * (REPEAT_WEIGHT / words)
     np.sqrt(out, out=out)
     return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
 
@@ -109,7 +109,8 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(df: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: score and decision. Null texts are scored as empty ones; equal texts score equally."""
+    """One row per document: score and decision. Null texts are scored as empty ones; equal texts score equally, repeated
+    rows are repeated, an empty table gives none. Time and memory go by the length of a text, which is read whole."""
     bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 

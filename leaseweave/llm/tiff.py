@@ -11,9 +11,10 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_columns
+from .common import BATCH_BYTES, arrow_schema, bounded_batches, ddl, map_columns
 
 # Fixed values of the TIFF 6.0 format.
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
@@ -21,6 +22,8 @@ WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
 FIELD = {1: "B", 3: "H", 4: "I"}
+#: Bytes to which one stored byte can grow: 128 of two, 1032 by the deflate format, at most 4096 of nine bits.
+EXPANDS = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 3641}
 
 PAGE_SCHEMA = [
     ("doc_id", "long"), ("page", "int"), ("width", "int"), ("height", "int"), ("samples", "int"),
@@ -218,12 +221,21 @@ def decode(data: bytes):
         compression, predictor = tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
         if any(b != 8 for b in tags.get(BITS, (1,))) or tags.get(PLANAR, (1,))[0] != 1 or predictor not in (1, 2):
             raise ValueError("only 8-bit chunky samples with predictor 1 or 2")
+        if not rows or not columns or not samples:
+            raise ValueError("an image without pixels")
         tiled = TILE_OFFSETS in tags
         high = tags[TILE_LENGTH][0] if tiled else min(rows, tags.get(ROWS_PER_STRIP, (rows,))[0])
         wide = tags[TILE_WIDTH][0] if tiled else columns
         offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
-        cube = np.zeros((rows, columns, samples), np.uint8)
+        if not high or not wide:
+            raise ValueError("strips or tiles without pixels")
         across = -(-columns // wide)
+        if min(len(offsets), len(counts)) < across * -(-rows // high):
+            raise ValueError("strips or tiles are missing")
+        # No data can decode to more than this, so a forged size is found before room is made for it.
+        if max(rows * columns, high * wide) * samples > EXPANDS.get(compression, 1) * sum(min(c, len(data)) for c in counts):
+            raise ValueError("more pixels than the data can hold")
+        cube = np.zeros((rows, columns, samples), np.uint8)
         for k, (offset, count) in enumerate(zip(offsets, counts)):
             top, left = k // across * high, k % across * wide
             tall = high if tiled else min(high, rows - top)
@@ -239,36 +251,52 @@ def decode(data: bytes):
 def tiff_pages(df: DataFrame, id_col: str = "doc_id", data_col: str = "data") -> DataFrame:
     """One row per page of every TIFF in `data_col`.
 
-    A null, empty or broken file gives one row with page -1 and its `error`; an image of many pages gives
-    as many rows, in directory order; repeated ids give repeated pages.
+    A null, empty or broken file gives one row with page -1 and its `error`, after the pages before the damage; an
+    image of many pages gives as many rows, in directory order; repeated ids give repeated pages. An empty table gives
+    none. Rows leave a task as soon as they hold BATCH_BYTES, so a file of very many pages needs no more room.
     """
-    def pages(batch):
-        out = {name: [] for name, _ in PAGE_SCHEMA}
-        for key, data in zip(batch["k"], batch["d"]):
-            found = []
-            try:
-                for page, (cube, compression, predictor) in enumerate(decode(data or b"")):
-                    found.append((key, page, cube.shape[1], cube.shape[0], cube.shape[2], compression, predictor, cube.tobytes(), None))
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                found.append((key, -1, None, None, None, None, None, None, str(e)))
-            for row in found:
-                for (name, _), value in zip(PAGE_SCHEMA, row):
-                    out[name].append(value)
-        return out
+    schema = arrow_schema(PAGE_SCHEMA)
+
+    def rows(batches):
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    for page, (cube, compression, predictor) in enumerate(decode(data or b"")):
+                        yield key, page, cube.shape[1], cube.shape[0], cube.shape[2], compression, predictor, cube.tobytes(), None
+                except (ValueError, KeyError, IndexError, OverflowError, struct.error, zlib.error) as e:
+                    yield key, -1, None, None, None, None, None, None, str(e)
+
+    def run(batches):
+        held, size = [], 0
+
+        def full():
+            return pa.RecordBatch.from_pydict({name: list(c) for (name, _), c in zip(PAGE_SCHEMA, zip(*held))}, schema=schema)
+
+        for row in rows(batches):
+            held.append(row)
+            size += len(row[7] or b"") + 64
+            if size > BATCH_BYTES:
+                yield full()
+                held, size = [], 0
+        if held:
+            yield full()
 
-    return map_columns(df, [df[id_col].cast("long").alias("k"), df[data_col].alias("d")], pages, PAGE_SCHEMA)
+    bounded_batches(df.sparkSession)
+    return df.select(df[id_col].cast("long").alias("k"), df[data_col].cast("binary").alias("d")).mapInArrow(run, ddl(PAGE_SCHEMA))
 
 
 MEDIA_SCHEMA = [
     ("doc_id", "long"), ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"),
-    ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("page", "int"), ("width", "int"), ("height", "int"),
+    ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("pages", "int"), ("compression", "int"), ("tiled", "boolean"),
 ]
-#: Payload columns of a page; the payload of a text is a multiple of it.
-COLUMNS = 64
+#: Payload columns of a page, of which the payload of a text is a multiple; rows of a page at most.
+COLUMNS, PAGE_ROWS = 64, 4096
+#: The forms a text is stored in, one of them by its digest: compression, predictor and tile size (0: strips).
+FORMS = [(DEFLATE, 2, 0), (DEFLATE, 1, 64), (LZW, 2, 0), (PACKBITS, 1, 64)]
 
 
 def page_feature(pixels: np.ndarray) -> str:
-    """Whole-number statistics of a page: mean and variance (both x 1000), edges, and a 64-bit column hash."""
+    """Whole-number statistics of an image: mean and variance (both x 1000), edges, and a 64-bit column hash."""
     flat, n = pixels.astype(np.int64), pixels.size
     total = int(flat.sum())
     columns = flat.sum(axis=0)
@@ -278,24 +306,29 @@ def page_feature(pixels: np.ndarray) -> str:
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text as a one-page TIFF (64 columns, deflate strips, horizontal predictor), read it back, describe it.
+    """Store each text as a TIFF of pages of 64 columns, read all its pages back, and describe them.
 
-    A null text counts as empty and is stored as 64 zero bytes. Equal texts give equal values.
+    The digest of the text decides its form: deflate, LZW or PackBits, strips or tiles, with or without predictor. A
+    null text counts as empty and is stored as 64 zero bytes. Equal texts give equal values. A text of any length has
+    as many pages as it needs; repeated rows give repeated results, an empty table none.
     """
     def rows(batch):
         out = {name: [] for name, _ in MEDIA_SCHEMA}
         for key, text in zip(batch["k"], batch["t"]):
             data = (text or "").encode()
             payload = data + b"\0" * (COLUMNS - len(data) if not data else -len(data) % COLUMNS)
-            media = encode([np.frombuffer(payload, np.uint8).reshape(-1, COLUMNS)])
-            for page, (cube, _, _) in enumerate(decode(media)):
-                back = cube.tobytes()
-                row = (
-                    key, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media),
-                    hashlib.sha256(media).hexdigest(), page_feature(cube[:, :, 0]), page, cube.shape[1], cube.shape[0],
-                )
-                for (name, _), value in zip(MEDIA_SCHEMA, row):
-                    out[name].append(value)
+            compression, predictor, tile = FORMS[zlib.crc32(payload) % len(FORMS)]
+            image = np.frombuffer(payload, np.uint8).reshape(-1, COLUMNS)
+            media = encode([image[i : i + PAGE_ROWS] for i in range(0, len(image), PAGE_ROWS)], compression, predictor, tile=tile)
+            pages = [cube[:, :, 0] for cube, _, _ in decode(media)]
+            pixels = np.concatenate(pages)
+            back = pixels.tobytes()
+            row = (
+                key, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media),
+                hashlib.sha256(media).hexdigest(), page_feature(pixels), len(pages), compression, tile > 0,
+            )
+            for (name, _), value in zip(MEDIA_SCHEMA, row):
+                out[name].append(value)
         return out
 
     return map_columns(df, [df[id_col].cast("long").alias("k"), df[text_col].cast("string").alias("t")], rows, MEDIA_SCHEMA)
