@@ -429,8 +429,9 @@ def rare_runs(some: DataFrame, words: DataFrame) -> DataFrame:
 
 def split_buckets(entries: DataFrame) -> DataFrame:
     """The rows (key, id, root) of the buckets that hold several components, with the bucket's members m."""
-    split = entries.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("m")).where("_low <> _high")
-    return entries.join(split.select("key", "m"), "key").select("key", "id", "root", "m")
+    bucket = Window.partitionBy("key")
+    whole = entries.select("key", "id", "root", F.count("*").over(bucket).alias("m"), F.min("root").over(bucket).alias("_low"), F.max("root").over(bucket).alias("_high"))
+    return whole.where("_low <> _high").select("key", "id", "root", "m")
 
 
 def sketch_buckets(copies: DataFrame) -> DataFrame:
@@ -441,9 +442,9 @@ def sketch_buckets(copies: DataFrame) -> DataFrame:
 
 def medoid_pairs(members: DataFrame) -> DataFrame:
     """(a, b): each member b of a bucket with the bucket's medoid a, each pair once."""
-    weight = members.groupBy("id").agg(F.sum("m").alias("w"))
-    medoid = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", F.bitwise_not("id"))).alias("a"))
-    return members.join(medoid, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    rows = members.withColumn("w", F.sum("m").over(Window.partitionBy("id")))
+    medoid = F.max_by("id", F.struct("w", F.bitwise_not("id"))).over(Window.partitionBy("key"))
+    return rows.select(medoid.alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
 
 
 def residual_pairs(members: DataFrame, short: DataFrame, roots: DataFrame, words: DataFrame) -> DataFrame:
@@ -468,18 +469,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = stored(sketches(df, id_col, text_col))
     copies = rows.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.first("n").alias("n"))
-    copies = stored(copies.groupBy(F.col("rep").alias("id")).agg(F.first("keys").alias("keys"), F.min("n").alias("n")))
+    copies = stored(copies.select(F.col("rep").alias("id"), "keys", "n"))
     of = stored(rows.select("id", "c1", "c2").join(rows.groupBy("c1", "c2").agg(F.min("id").alias("rep")), ["c1", "c2"]).select("id", "rep"))
     forget(rows)
     members = stored(sketch_buckets(copies))
-    short = stored(copies.where(F.col("n").between(1, int(SHORT / SIMILAR + 1e-9))).select("id"))
+    short = copies.where(F.col("n").between(1, int(SHORT / SIMILAR + 1e-9))).select("id")
     ids = stored(members.select("id").union(short).distinct())
     words = stored(word_table(df, id_col, text_col, ids))
     links = stored(verified(medoid_pairs(members), words))
     roots = components(links)
     pairs = residual_pairs(members, short, roots.select("id", "root"), words)
     more = stored(verified(pairs, words))
-    forget(copies, ids, short, members, pairs, words, links)
+    forget(copies, ids, members, pairs, words, links)
     # The further links join components, each of which is now its root.
     root_of = roots.select(F.col("id").alias("_id"), "root")
     joined = more.join(root_of.select(F.col("_id").alias("a"), F.col("root").alias("_a")), "a", "left").join(root_of.select(F.col("_id").alias("b"), F.col("root").alias("_b")), "b", "left")
