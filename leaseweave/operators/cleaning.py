@@ -40,6 +40,20 @@ def parse_location(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return df.where(F.col("gu").isin(*cfg.valid_gu)) if cfg.drop_invalid_gu else df
 
 
+def parsing_checks(df: DataFrame, cfg: EngineConfig = DEFAULT) -> dict[str, tuple]:
+    """Conditions to count over rows that are renamed and normalised but not yet parsed: missing cells, numbers and
+    days that don't parse, days outside the period, and districts that are unknown or differ from the export's."""
+    low, high = F.lit(cfg.start_date).cast("date"), F.lit(cfg.end_date).cast("date")
+    day, gu = parse_day(F.col("contract_ym"), F.col("contract_day")), location_part(F.col("sigungu"), 1)
+    out = {f"{c} missing": (F.col(c).isNull(), "left empty") for c in COLUMN_MAP.values() if c in df.columns}
+    out |= {f"{c} not a number": (F.col(c).isNotNull() & parse_number(F.col(c)).isNull(), "left empty") for c in NUMERIC_COLUMNS if c in df.columns}
+    out |= {"no contract day": (day.isNull(), "removed"), "before the period": (day < low, "removed"), "after the period": (day > high, "removed"),
+            "district outside the list": (~F.coalesce(gu.isin(*cfg.valid_gu), F.lit(False)), "removed" if cfg.drop_invalid_gu else "kept")}
+    if "source_cond_gu" in df.columns:
+        out["district differs from the export's"] = (F.col("source_cond_gu").isNotNull() & ~F.coalesce(F.col("source_cond_gu").contains(gu), F.lit(False)), "kept")
+    return out
+
+
 def remove_duplicates(df: DataFrame, keys: Sequence[str] = EXACT_KEYS, table: str = "source_table_id", order: Sequence[str] = ("_seq",), candidates: Sequence[str] | None = CANDIDATE_KEYS) -> DataFrame:
     """Each row is kept as often as the table that holds it most often does; NULL keys are equal.
 
@@ -98,7 +112,12 @@ def with_dense_id(df: DataFrame, order: Sequence, name: str = "tx_id", ranges: i
 
 def clean(raw: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Source columns (their names, text) with metadata and `_seq` to contracts with tx_id."""
-    df = parse_location(parse_dates(parse_numeric(normalize_strings(rename_columns(raw))), cfg), cfg)
+    return clean_normalized(normalize_strings(rename_columns(raw)), cfg)
+
+
+def clean_normalized(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """`clean` from rows that are renamed and normalised."""
+    df = parse_location(parse_dates(parse_numeric(df), cfg), cfg)
     df = clean_contract_fields(apply_validity(remove_duplicates(df)))
     df = df.withColumn("row_no", F.col("row_no").try_cast("double").try_cast("long"))
     return with_dense_id(df, ["contract_date", "source_table_id", "row_no", "_seq"]).drop("_seq")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import DEFAULT, EngineConfig
+from .ranks import exact_quantiles, order_statistics, small
 
 # Price features that are taken relative to the anchor, and categorical features.
 RELATIVE = (
@@ -28,9 +32,9 @@ def fallback_table(df: DataFrame, mask: Column, target: str = "target") -> DataF
 
 
 def with_fallback(df: DataFrame, fallback: DataFrame) -> DataFrame:
-    """One row per district and category: a table that doesn't grow with the contracts, sent to all tasks."""
+    """One row per district and category: a table that doesn't grow with the contracts, sent to all tasks if small."""
     names = {k: f"_{k}" for k in FALLBACK_KEYS}
-    return df.join(F.broadcast(fallback.withColumnsRenamed(names)), [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()], "left").drop(*names.values())
+    return df.join(small(fallback.withColumnsRenamed(names)), [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()], "left").drop(*names.values())
 
 
 def baseline_point(df: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -41,15 +45,14 @@ def baseline_point(df: DataFrame, fallback: DataFrame) -> DataFrame:
 
 def baseline_quantiles(df: DataFrame, mask: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Quantiles of log(target / base_point) per horizon over the rows in `mask`."""
-    r = F.log("target") - F.log("base_point")
-    q = df.where(mask).groupBy("horizon_days").agg(F.percentile(r, F.array(*map(F.lit, cfg.quantiles))).alias("q"))
+    q = exact_quantiles(df.where(mask), F.log("target") - F.log("base_point"), cfg.quantiles, ["horizon_days"])
     return q.select("horizon_days", *[F.get("q", F.lit(i)).alias(f"q_{n}") for i, n in enumerate(("lo", "mid", "hi"))])
 
 
 def run_baseline(df: DataFrame, mask: Column | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     mask = F.col("split") == "train" if mask is None else mask
     df = baseline_point(df, fallback_table(df, mask))
-    df = df.join(F.broadcast(baseline_quantiles(df, mask, cfg)), "horizon_days", "left")  # one row per horizon
+    df = df.join(small(baseline_quantiles(df, mask, cfg)), "horizon_days", "left")  # one row per horizon
     for n in ("lo", "mid", "hi"):
         df = df.withColumn(f"base_{n}", F.col("base_point") * F.exp(f"q_{n}"))
     return df.drop("q_lo", "q_mid", "q_hi")
@@ -71,20 +74,30 @@ def ordered_range(lo: Column, mid: Column, hi: Column) -> list[Column]:
     return [F.get(s, F.lit(i)) for i in range(3)]
 
 
+def category_levels(df: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """(feature, value, level): the values of each categorical feature, numbered by name; missing is a value."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value")) for c in columns])).alias("e")).select("e.*").distinct()
+    return values.withColumn("level", F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1)
+
+
+MISSING = "(none)"
+
+
 class QuantileForest:
     """Quantile regression forest on Spark ML: a forest gives leaves, training targets in a row's leaves give quantiles.
 
-    Features are imputed by -1 with categories indexed by name; an unseen category is a level of its own. The leaf
-    table holds weighted distinct targets per tree and leaf, rounded to `step` so that it stays bounded by the leaves.
+    Features are imputed by -1 with categories indexed by name; an unseen category is a level of its own. Each leaf
+    keeps `points` evenly spaced quantiles of its training targets, so the leaf table is bounded by trees, depth and
+    points, whatever the number of rows. It is sent to all tasks as one row, and a row's leaves are merged in the row.
     """
 
-    def __init__(self, features: Sequence[str], target: str = "_y", trees: int = 20, depth: int = 8, seed: int = 42, step: float = 0.005, quantiles=DEFAULT.quantiles):
-        self.features, self.target, self.quantiles, self.step = list(features), target, quantiles, step
+    def __init__(self, features: Sequence[str], target: str = "_y", trees: int = 20, depth: int = 8, seed: int = 42, points: int = 32, quantiles=DEFAULT.quantiles):
+        self.features, self.target, self.quantiles, self.points = list(features), target, quantiles, points
         self.trees, self.depth, self.seed = trees, depth, seed
 
     def _ready(self, df: DataFrame) -> DataFrame:
         kinds = dict(df.dtypes)
-        return df.withColumns({f: F.coalesce(F.col(f).cast("string"), F.lit("(none)")) if kinds[f] == "string" else F.coalesce(F.col(f).cast("double"), F.lit(-1.0)) for f in self.features})
+        return df.withColumns({f: F.coalesce(F.col(f).cast("string"), F.lit(MISSING)) if kinds[f] == "string" else F.coalesce(F.col(f).cast("double"), F.lit(-1.0)) for f in self.features})
 
     def fit(self, df: DataFrame) -> QuantileForest:
         kinds = dict(df.dtypes)
@@ -97,28 +110,40 @@ class QuantileForest:
             minInstancesPerNode=20, maxBins=max(32, levels + 2), seed=self.seed)]
         ready = self._ready(df)
         self.model = Pipeline(stages=stages).fit(ready)
-        placed = self._leaves(self.model.transform(ready))
-        y = F.round(F.col(self.target) / self.step) * self.step
-        sizes = placed.groupBy("_tree", "_node").agg(F.count("*").alias("_size"))
-        self.table = placed.groupBy("_tree", "_node", y.alias("_v")).agg(F.count("*").alias("_n")).join(sizes, ["_tree", "_node"]).select("_tree", "_node", "_v", (F.col("_n") / F.col("_size")).alias("_w"))
+        at = F.array(*[F.lit((i + 0.5) / self.points) for i in range(self.points)])
+        leaves = self._leaves(self.model.transform(ready)).groupBy("_tree", "_node").agg(F.percentile(self.target, at).alias("_q"))
+        leaves = leaves.select("_tree", F.struct("_node", "_q").alias("_leaf")).groupBy("_tree").agg(F.map_from_entries(F.collect_list("_leaf")).alias("_of"))
+        rows = {r["_tree"]: r["_of"] for r in leaves.collect()}  # trees x leaves x points numbers
+        wide = max(int(k) for of in rows.values() for k in of) + 1
+        self.table = df.sparkSession.createDataFrame([([[rows[t].get(float(k)) for k in range(wide)] for t in range(self.trees)],)], "_table array<array<array<double>>>")
         return self
 
     @staticmethod
     def _leaves(df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
         return df.select("*", F.posexplode(vector_to_array("_leaf")).alias("_tree", "_node"))
 
-    def predict(self, df: DataFrame, key: Sequence[str]) -> DataFrame:
-        """`df` with q_lo, q_mid, q_hi of the target; `key` identifies a row."""
-        rows = self._leaves(self.model.transform(self._ready(df))).select(*key, "_tree", "_node")
-        weights = rows.join(self.table, ["_tree", "_node"]).groupBy(*key, "_v").agg(F.sum("_w").alias("_w"))
-        lists = weights.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_v", "_w"))).alias("_l"), F.sum("_w").alias("_t"))
-        # The smallest value at which the summed weight reaches the quantile's share.
-        at = lambda q: F.aggregate("_l", F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("v")), lambda a, x: F.struct(
-            (a["s"] + x["_w"]).alias("s"), F.when(a["v"].isNull() & (a["s"] + x["_w"] >= q * F.col("_t") - 1e-9), x["_v"]).otherwise(a["v"]).alias("v")))["v"]
-        found = lists.select(*key, *[at(q).alias(f"q_{n}") for q, n in zip(self.quantiles, ("lo", "mid", "hi"))])
-        return df.join(found, list(key), "left")
+    def predict(self, df: DataFrame) -> DataFrame:
+        """`df` with q_lo, q_mid, q_hi of the target; nothing is shuffled."""
+        rows = self.model.transform(self._ready(df.withColumn("_row", F.struct(*self.features))))
+        rows = rows.withColumns({f: F.col(f"_row.`{f}`") for f in self.features}).withColumn("_leaf", vector_to_array("_leaf"))
+        merged = F.array_sort(F.flatten(F.transform("_leaf", lambda node, tree: F.get(F.get(F.col("_table"), tree), node.cast("int")))))
+        rows = rows.crossJoin(F.broadcast(self.table)).withColumn("_all", merged)  # one row
+        place = lambda q: F.get("_all", F.greatest(F.ceil(F.lit(q) * F.size("_all")), F.lit(1)).cast("int") - 1)
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns], *[place(q).alias(f"q_{n}") for q, n in zip(self.quantiles, ("lo", "mid", "hi"))])
+
+    def save(self, path: str) -> None:
+        """The fitted pipeline, with the levels of its categories, the leaf table and the parameters."""
+        self.model.write().overwrite().save(f"{path}/pipeline")
+        facts = {"features": self.features, "quantiles": list(self.quantiles), "points": self.points, "trees": self.trees, "depth": self.depth, "seed": self.seed}
+        self.table.withColumn("facts", F.lit(json.dumps(facts))).coalesce(1).write.mode("overwrite").parquet(f"{path}/leaves")
+
+    @classmethod
+    def load(cls, spark, path: str) -> QuantileForest:
+        row = spark.read.parquet(f"{path}/leaves")
+        facts = json.loads(row.select("facts").first()[0])
+        out = cls(facts["features"], trees=facts["trees"], depth=facts["depth"], seed=facts["seed"], points=facts["points"], quantiles=tuple(facts["quantiles"]))
+        out.model, out.table = PipelineModel.load(f"{path}/pipeline"), row.select("_table")
+        return out
 
     def importances(self, spark) -> DataFrame:
         """(feature, gain_share), the largest first."""
@@ -127,19 +152,16 @@ class QuantileForest:
 
 
 def conformal_adjustment(df: DataFrame, prefix: str = "model", cfg: EngineConfig = DEFAULT, by: str = "horizon_days") -> DataFrame:
-    """Per horizon, by how much (in logs) a range must widen on both sides to hold the target's coverage."""
+    """Per horizon, by how much (in logs) a range must widen on both sides to hold the target's coverage: an order
+    statistic of the errors, found without gathering them."""
     y = F.log("target")
     e = F.greatest(F.log(f"{prefix}_lo") - y, y - F.log(f"{prefix}_hi"))
-    found = df.select(by, e.alias("e")).where("e IS NOT NULL").groupBy(by).agg(F.sort_array(F.collect_list("e")).alias("s"))
-    n = F.size("s")
-    place = F.least(F.lit(1.0), F.lit(cfg.target_coverage) * (n + 1) / n) * (n - 1)
-    low = F.floor(place).cast("int")
-    a, b = F.get("s", low), F.get("s", F.least(low + 1, n - 1))
-    return found.select(by, n.alias("n"), (a + (b - a) * (place - low)).alias("adjustment"))
+    found = order_statistics(df, e, lambda n: [F.least(F.lit(1.0), F.lit(cfg.target_coverage) * (n + 1) / n) * (n - 1)], [by])
+    return found.select(by, "n", F.get("q", F.lit(0)).alias("adjustment"))
 
 
 def apply_conformal(df: DataFrame, adjustment: DataFrame, prefix: str = "model", by: str = "horizon_days") -> DataFrame:
-    out = df.join(F.broadcast(adjustment.select(by, "adjustment")), by, "left")  # one row per horizon
+    out = df.join(small(adjustment.select(by, "adjustment")), by, "left")  # one row per horizon
     return out.withColumns({f"{prefix}_lo": F.col(f"{prefix}_lo") * F.exp(-F.col("adjustment")), f"{prefix}_hi": F.col(f"{prefix}_hi") * F.exp("adjustment")}).drop("adjustment")
 
 
@@ -163,19 +185,33 @@ def metrics_rollup(df: DataFrame, prefix: str = "model", by: str = "horizon_days
     return df.groupingSets([[], [F.col(by)]], F.col(by)).agg(*metric_columns(prefix))
 
 
-def train_and_evaluate(df: DataFrame, features: Sequence[str], key: Sequence[str] = ("tx_id", "horizon_days"), cfg: EngineConfig = DEFAULT, mode: str = "anchor", **forest) -> dict:
+def train_and_evaluate(df: DataFrame, features: Sequence[str], cfg: EngineConfig = DEFAULT, mode: str = "anchor", **forest) -> dict:
     """Fit on `train`, calibrate on `calib`, measure on `test`: baseline and forest."""
     df = df.where(F.col("split").isNotNull())
     train = F.col("split") == "train"
-    df, used = apply_anchor(df, features, fallback_table(df, train), mode)
+    fallback = fallback_table(df, train)
+    df, used = apply_anchor(df, features, fallback, mode)
     df = run_baseline(df, train, cfg).withColumn("_y", F.log("target") - F.col("log_anchor")).cache()
     model = QuantileForest(used, quantiles=cfg.quantiles, **forest).fit(df.where(train))
-    done = model.predict(df.where(F.col("split").isin("calib", "test")), key)
-    lo, mid, hi = ordered_range(*[F.exp(F.col(f"q_{n}") + F.col("log_anchor")) for n in ("lo", "mid", "hi")])
-    done = done.withColumns({"model_lo": lo, "model_mid": mid, "model_hi": hi})
-    out = {"features": used, "forest": model}
+    done = priced(model, df.where(F.col("split").isin("calib", "test")))
+    out = {"features": used, "forest": model, "fallback": fallback, "mode": mode, "cached": df}
     for prefix in ("base", "model"):
         adjustment = conformal_adjustment(done.where("split = 'calib'"), prefix, cfg)
         test = apply_conformal(done.where("split = 'test'"), adjustment, prefix)
         out[prefix] = {"adjustment": adjustment, "test": test, "by_horizon": metrics_rollup(test, prefix), "by_gu": metrics(test, prefix, FALLBACK_KEYS)}
     return out
+
+
+def priced(model: QuantileForest, df: DataFrame) -> DataFrame:
+    """`df` (with log_anchor) with model_lo, model_mid, model_hi in ascending order."""
+    lo, mid, hi = ordered_range(*[F.exp(F.col(f"q_{n}") + F.col("log_anchor")) for n in ("lo", "mid", "hi")])
+    return model.predict(df).withColumns({"model_lo": lo, "model_mid": mid, "model_hi": hi}).drop("q_lo", "q_mid", "q_hi")
+
+
+def refit_all(df: DataFrame, features: Sequence[str], cfg: EngineConfig = DEFAULT, mode: str = "anchor", **forest) -> dict:
+    """The model that serves: fitted again on the rows of all splits, to be used with the calibration of the evaluation."""
+    df = df.where(F.col("split").isNotNull())
+    fallback = fallback_table(df, F.lit(True))
+    ready, used = apply_anchor(df, features, fallback, mode)
+    ready = ready.withColumn("_y", F.log("target") - F.col("log_anchor"))
+    return {"features": used, "fallback": fallback, "forest": QuantileForest(used, quantiles=cfg.quantiles, **forest).fit(ready)}

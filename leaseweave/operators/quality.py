@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, JEONSE, MONTHLY, EngineConfig
 from ..functions.scalars import flag
+from .ranks import small
 
 
 class Report:
@@ -33,14 +34,9 @@ class Report:
 
 
 def validate_clean(df: DataFrame, cfg: EngineConfig = DEFAULT) -> dict[str, int]:
-    """Raise if a required rule is broken; one pass. Returns the numbers looked at."""
-    low, high = F.lit(cfg.start_date).cast("date"), F.lit(cfg.end_date).cast("date")
-    r = df.agg(
-        F.count("*").alias("n"), F.count_distinct("tx_id").alias("ids"),
-        F.count_if(~F.col("contract_date").between(low, high)).alias("dates"), F.count_if(F.col("area_m2") <= 0).alias("areas"),
-        F.count_if((F.col("deposit_10k") < 0) | (F.col("monthly_rent_10k") < 0)).alias("money"),
-        F.count_if(~F.col("gu").isin(*cfg.valid_gu)).alias("outside")).first().asDict()
-    broken = {k: v for k, v in r.items() if k in ("dates", "areas", "money") and v}
+    """Raise if a required rule is broken. Returns the numbers looked at."""
+    r = clean_counts(df, cfg).first().asDict()
+    broken = {k: v for k, v in r.items() if k in ("dates", "areas", "money", "order") and v}
     if r["ids"] != r["n"]:
         broken["ids"] = r["n"] - r["ids"]
     if cfg.drop_invalid_gu and r["outside"]:
@@ -50,6 +46,23 @@ def validate_clean(df: DataFrame, cfg: EngineConfig = DEFAULT) -> dict[str, int]
     return r
 
 
+def clean_counts(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """One row: contracts, distinct ids, and those against a rule. `order`: ids whose day is before that of a smaller
+    one, compared between ranges of ids and within them."""
+    low, high = F.lit(cfg.start_date).cast("date"), F.lit(cfg.end_date).cast("date")
+    piece = F.expr("tx_id div 100000")
+    within = Window.partitionBy("_p").orderBy("tx_id")
+    rows = df.withColumn("_p", piece)
+    late = rows.select("_p", "contract_date", F.max("contract_date").over(within.rowsBetween(Window.unboundedPreceding, -1)).alias("_before")).groupBy("_p").agg(F.count_if(F.col("contract_date") < F.col("_before")).alias("_late"), F.min("contract_date").alias("_min"), F.max("contract_date").alias("_max"))
+    turned = F.col("_min") < F.max("_max").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # a row per 100,000 contracts
+    order = late.select("_late", turned.alias("_t")).agg((F.coalesce(F.sum("_late"), F.lit(0)) + F.count_if("_t")).alias("order"))
+    return df.agg(
+        F.count("*").alias("n"), F.count_distinct("tx_id").alias("ids"),
+        F.count_if(~F.col("contract_date").between(low, high)).alias("dates"), F.count_if(F.col("area_m2") <= 0).alias("areas"),
+        F.count_if((F.col("deposit_10k") < 0) | (F.col("monthly_rent_10k") < 0)).alias("money"),
+        F.count_if(~F.col("gu").isin(*cfg.valid_gu)).alias("outside")).crossJoin(order)
+
+
 def source_distribution(df: DataFrame, cfg: EngineConfig = DEFAULT, jeonse: str = JEONSE) -> DataFrame:
     """Per district and category: size, share of `jeonse`, deposit maximum and 99th percentile, two suspicions."""
     known = df.where(F.col("gu").isNotNull() & F.col("housing_category").isNotNull())
@@ -113,7 +126,7 @@ def add_coverage_gap_flag(df: DataFrame, lookback_days: int = 180, cfg: EngineCo
     to = (last - month_index(start)).cast("int")
     upto = lambda i: F.coalesce(F.get(F.col("_gone"), i)["gone_to"], F.lit(0))
     gap = F.when((to >= at) & (to >= 0) & (last <= month_index(end)), upto(to) - F.when(at > 0, upto(at - 1)).otherwise(0) > 0)
-    return df.join(F.broadcast(lists), keys, "left").withColumn("history_window_has_data_gap", flag(gap)).drop("_gone")
+    return df.join(small(lists), keys, "left").withColumn("history_window_has_data_gap", flag(gap)).drop("_gone")
 
 
 def coverage_gaps(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -125,26 +138,34 @@ def coverage_gaps(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return months.join(rows.select(*keys, F.trunc("contract_date", "month").alias("month")).distinct(), [*keys, "month"], "left_anti")
 
 
-def outlier_flag(value: Column, keys: Sequence[str], fallback: Sequence[str], k: float, min_group: int) -> Column:
-    """1 if log(1 + value) is beyond k interquartile ranges of its group, or of the fallback where that is small."""
+def with_outlier_flag(df: DataFrame, value: Column, keys: Sequence[str], fallback: Sequence[str], name: str, k: float, min_group: int) -> DataFrame:
+    """`df` with `name`: 1 if log(1 + value) is beyond k interquartile ranges of its group, or of the fallback where
+    that is small. Fences are aggregated per group, with partial sums in each task, and joined back."""
     lv = F.when(value >= 0, F.log1p(value))
-    def fences(by):
-        w = Window.partitionBy(*by)
-        q1, q3 = (F.percentile(lv, F.lit(p)).over(w) for p in (0.25, 0.75))
-        return q1 - k * (q3 - q1), q3 + k * (q3 - q1), F.count(lv).over(w)
-    low, high, _ = fences(fallback)
-    fine_low, fine_high, n = fences(keys)
-    return flag((lv < F.when(n >= min_group, fine_low).otherwise(low)) | (lv > F.when(n >= min_group, fine_high).otherwise(high)))
+    out = df.withColumn("_lv", lv)
+
+    def fenced(rows, by, tag):
+        names = {c: f"_{tag}{i}" for i, c in enumerate(by)}
+        q = F.percentile("_lv", F.array(F.lit(0.25), F.lit(0.75)))
+        fences = out.groupBy(*by).agg(q.alias("_q"), F.count("_lv").alias(f"_n{tag}"))
+        low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+        fences = fences.select(*[F.col(c).alias(n) for c, n in names.items()], (low - k * (high - low)).alias(f"_low{tag}"), (high + k * (high - low)).alias(f"_high{tag}"), f"_n{tag}")
+        return rows.join(small(fences), [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left").drop(*names.values())
+
+    rows = fenced(fenced(out, keys, "f"), fallback, "c")
+    large = F.col("_nf") >= min_group
+    beyond = (F.col("_lv") < F.when(large, F.col("_lowf")).otherwise(F.col("_lowc"))) | (F.col("_lv") > F.when(large, F.col("_highf")).otherwise(F.col("_highc")))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], flag(beyond).alias(name))
 
 
 def add_outlier_flags(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Deposit, rent and price outliers of the whole period; for review only, never features."""
     kind = F.col("rent_type")
     fallback = [c for c in cfg.outlier_keys if c != "area_bin"]
-    both = kind.isin(JEONSE, MONTHLY)
-    df = df.withColumn("_d", F.when(both, F.col("deposit_10k"))).withColumn("_r", F.when((kind == MONTHLY) & (F.col("monthly_rent_10k") > 0), F.col("monthly_rent_10k")))
-    df = df.withColumns({name: outlier_flag(F.col(c), cfg.outlier_keys, fallback, cfg.outlier_k, cfg.outlier_min_group) for name, c in (("deposit_outlier_candidate", "_d"), ("monthly_rent_outlier_candidate", "_r"))})
-    return df.withColumn("is_price_outlier_candidate", F.when(kind == JEONSE, F.col("deposit_outlier_candidate")).otherwise(F.col("monthly_rent_outlier_candidate"))).drop("_d", "_r")
+    rent = F.when((kind == MONTHLY) & (F.col("monthly_rent_10k") > 0), F.col("monthly_rent_10k"))
+    for name, value in (("deposit_outlier_candidate", F.when(kind.isin(JEONSE, MONTHLY), F.col("deposit_10k"))), ("monthly_rent_outlier_candidate", rent)):
+        df = with_outlier_flag(df, value, cfg.outlier_keys, fallback, name, cfg.outlier_k, cfg.outlier_min_group)
+    return df.withColumn("is_price_outlier_candidate", F.when(kind == JEONSE, F.col("deposit_outlier_candidate")).otherwise(F.col("monthly_rent_outlier_candidate")))
 
 
 def recheck_windows(df: DataFrame, keys: Sequence[str], days: int, count_col: str, median_col: str, min_count: int, sample: int = 400, value: str = "price_10k", seed: int = 42) -> DataFrame:
@@ -160,6 +181,20 @@ def recheck_windows(df: DataFrame, keys: Sequence[str], days: int, count_col: st
     return again.agg(F.count("*").alias("n_checked"), F.count_if(wrong).alias("n_mismatches"))
 
 
+def recheck_previous(df: DataFrame, keys: Sequence[str], last_col: str, days_col: str, sample: int = 400, value: str = "price_10k", seed: int = 42) -> DataFrame:
+    """One row: how many of `sample` rows disagree with the latest earlier contract found by plain filtering, in its
+    price or in the days since."""
+    some = df.orderBy(F.xxhash64("tx_id", F.lit(seed)), "tx_id").limit(sample).select(F.col("tx_id").alias("_id"), *[F.col(k).alias(f"_{k}") for k in keys], F.col("contract_date").alias("_t"), F.col(last_col).alias("_last"), F.col(days_col).cast("double").alias("_days"))
+    on = (F.col("contract_date") < F.col("_t")) & F.col(value).isNotNull()
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    past = df.select(*keys, "contract_date", "tx_id", value)
+    again = F.broadcast(some).join(past, on, "left").groupBy("_id", "_t", "_last", "_days").agg(F.max(F.when(F.col("tx_id").isNotNull(), F.struct("contract_date", "tx_id", value))).alias("m"))
+    days = F.datediff("_t", F.col("m.contract_date")).cast("double")
+    wrong = ~(F.col(f"m.{value}").eqNullSafe(F.col("_last")) & days.eqNullSafe(F.col("_days")))
+    return again.agg(F.count("*").alias("n_checked"), F.count_if(wrong).alias("n_mismatches"))
+
+
 def explain_window(df: DataFrame, tx_id: int, keys: Sequence[str], days: int = 90, value: str = "price_10k") -> DataFrame:
     """One row on how the window of a contract came about: bounds, what is in it and what is left out."""
     row = df.where(F.col("tx_id") == tx_id).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("contract_date").alias("_t"), F.col(value).alias("_v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,12 +169,23 @@ def horizon_dataset(spark, d):
     return _horizon(spark, d).select("tx_id", "horizon_days", "asof_date", "target", "split", *shown(_HORIZON_SHOWN))
 
 
-@query(f"WITH {CONTRACTS_SQL}, h AS ({history_sql(30)}) SELECT tx_id + 1000000000 AS tx_id, {sql_shown(('dong_tx_count_90d', 'dong_price_median_90d', 'gu_price_median_90d', 'property_last_price', 'property_price_median_365d'))} FROM h WHERE tx_id % 10 = 3")
+_MONTHLY_SQL = " UNION ALL ".join(f"SELECT tx_id, {h} AS horizon_days, price_10k AS target, dong_deposit_median_90d, comp_deposit_median_90d, {sql_ratio('deposit_10k', 'dong_deposit_median_90d')} AS deposit_vs_dong_median, dong_price_median_90d FROM ({history_sql(h + 30)}) WHERE rent_type = 'O' AND price_10k > 0" for h in (0, 90))
+
+
+@query(f"WITH {CONTRACTS_SQL} SELECT tx_id, horizon_days, target, {', '.join(f'{sql_close(c)} AS {c}' for c in ('dong_deposit_median_90d', 'comp_deposit_median_90d', 'deposit_vs_dong_median', 'dong_price_median_90d'))} FROM ({_MONTHLY_SQL})")
+def horizon_dataset_monthly(spark, d):
+    cfg = EngineConfig(**{**{f: getattr(CFG, f) for f in CFG.__dataclass_fields__}, "horizons": (0, 90)})
+    df = contracts(spark, d).withColumn("monthly_rent_10k", F.col("price_10k"))
+    out = datasets.horizon_dataset(df, "monthly", cfg, (), (F.col("rent_type") == "O") & (F.col("price_10k") > 0), ("dong_price_median_90d",))
+    return out.select("tx_id", "horizon_days", "target", *[close(F.col(c)).alias(c) for c in ("dong_deposit_median_90d", "comp_deposit_median_90d", "deposit_vs_dong_median", "dong_price_median_90d")])
+
+
+@query(f"WITH {CONTRACTS_SQL}, h AS ({history_sql(30)}) SELECT -1 - tx_id AS tx_id, {sql_shown(('dong_tx_count_90d', 'dong_price_median_90d', 'gu_price_median_90d', 'property_last_price', 'property_price_median_365d'))} FROM h WHERE tx_id % 10 = 3")
 def synthetic_rows_match(spark, d):
     """Copies without a price get the features of their originals."""
     df = contracts(spark, d)
-    copies = df.where("tx_id % 10 = 3").withColumns({"tx_id": F.col("tx_id") + serving.SYNTHETIC_ID, "price_10k": F.lit(None).cast("double"), "deposit_10k": F.lit(None).cast("double")})
-    out = history.history_at_offset(df.unionByName(copies), 30, CFG).where(F.col("tx_id") >= serving.SYNTHETIC_ID)
+    copies = df.where("tx_id % 10 = 3").withColumns({"tx_id": -1 - F.col("tx_id"), "price_10k": F.lit(None).cast("double"), "deposit_10k": F.lit(None).cast("double")})
+    out = history.history_at_offset(df.unionByName(copies), 30, CFG).where("tx_id < 0")
     return out.select("tx_id", *shown(("dong_tx_count_90d", "dong_price_median_90d", "gu_price_median_90d", "property_last_price", "property_price_median_365d")))
 
 
@@ -196,7 +208,35 @@ def coverage_gap(spark, d):
  SELECT p_partkey, CAST(lv < (CASE WHEN n >= 30 THEN f1 - 3 * (f3 - f1) ELSE c1 - 3 * (c3 - c1) END) OR lv > (CASE WHEN n >= 30 THEN f3 + 3 * (f3 - f1) ELSE c3 + 3 * (c3 - c1) END) AS INT) AS is_outlier FROM q""")
 def iqr_outlier_flags(spark, d):
     value = F.col("p_retailprice") * (1 + (F.col("p_partkey") % 7 == 0).cast("int") * 50)
-    return table(spark, d, "part").select("p_partkey", quality.outlier_flag(value, ("p_brand", "p_type"), ("p_brand",), 3.0, 30).alias("is_outlier"))
+    return quality.with_outlier_flag(table(spark, d, "part"), value, ("p_brand", "p_type"), ("p_brand",), "is_outlier", 3.0, 30).select("p_partkey", "is_outlier")
+
+
+def _leases(spark, d):
+    """Contracts of both rent types: every third one monthly, with a rent; some rents are far out."""
+    k = F.col("tx_id")
+    rent = F.when(k % 3 == 0, F.col("price_10k") / 100 * (1 + (k % 200 == 0).cast("int") * 400)).otherwise(0.0)
+    return contracts(spark, d).withColumns({"rent_type": F.when(k % 3 == 0, "월세").otherwise("전세"), "monthly_rent_10k": rent, "deposit_10k": F.col("price_10k") * (1 + (k % 300 == 1).cast("int") * 900)})
+
+
+_LEASES_SQL = f"{CONTRACTS_SQL}, ls AS (SELECT * REPLACE (CASE WHEN tx_id % 3 = 0 THEN '월세' ELSE '전세' END AS rent_type, price_10k * (1 + CAST(tx_id % 300 = 1 AS INT) * 900) AS deposit_10k), CASE WHEN tx_id % 3 = 0 THEN price_10k / 100 * (1 + CAST(tx_id % 200 = 0 AS INT) * 400) ELSE 0 END AS monthly_rent_10k FROM tx)"
+
+
+def _fence_sql(value: str, name: str, keys=("gu", "rent_type", "housing_category")) -> str:
+    fine, coarse = ", ".join((*keys, "area_bin")), ", ".join(keys)
+    q = ", ".join(f"quantile_cont({value}, {p}) OVER (PARTITION BY {by}) AS {name}_{tag}{n}" for by, tag in ((fine, "f"), (coarse, "c")) for p, n in ((0.25, 1), (0.75, 3)))
+    return f"{value} AS {name}, {q}, count({value}) OVER (PARTITION BY {fine}) AS {name}_n"
+
+
+def _flag_sql(name: str) -> str:
+    low, high = (f"CASE WHEN {name}_n >= 30 THEN {name}_f{n} {op} 3 * ({name}_f3 - {name}_f1) ELSE {name}_c{n} {op} 3 * ({name}_c3 - {name}_c1) END" for n, op in ((1, "-"), (3, "+")))
+    return f"CAST(coalesce({name} < {low} OR {name} > {high}, false) AS INT)"
+
+
+@query(f"""WITH {_LEASES_SQL}, v AS (SELECT *, ln(1 + deposit_10k) AS vd, CASE WHEN rent_type = '월세' AND monthly_rent_10k > 0 THEN ln(1 + monthly_rent_10k) END AS vr FROM ls), q AS (SELECT tx_id, rent_type, {_fence_sql('vd', 'dep')}, {_fence_sql('vr', 'rent')} FROM v)
+ SELECT tx_id, {_flag_sql('dep')} AS deposit_outlier_candidate, {_flag_sql('rent')} AS monthly_rent_outlier_candidate, CASE WHEN rent_type = '전세' THEN {_flag_sql('dep')} ELSE {_flag_sql('rent')} END AS is_price_outlier_candidate FROM q""")
+def outlier_flags_of_leases(spark, d):
+    names = ("deposit_outlier_candidate", "monthly_rent_outlier_candidate", "is_price_outlier_candidate")
+    return quality.add_outlier_flags(_leases(spark, d), CFG).select("tx_id", *names)
 
 
 # ---- duplicates, counts, summaries
@@ -257,10 +297,20 @@ def value_counts(spark, d):
     return quality.value_counts(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE l_quantity <= 2) AS low, count(*) FILTER (WHERE l_discount > 0.05) AS discounted, count(DISTINCT l_orderkey) AS ids, min(CAST(l_shipdate AS DATE)) AS first_day, max(CAST(l_shipdate AS DATE)) AS last_day FROM lineitem")
+@query(f"""WITH {CONTRACTS_SQL}, t AS (SELECT *, CASE WHEN tx_id % 50 = 0 THEN -1 ELSE area_m2 END AS area, CASE WHEN tx_id % 70 = 0 THEN -deposit_10k ELSE deposit_10k END AS dep, row_number() OVER (ORDER BY contract_date, tx_id) - 1 + CASE WHEN tx_id % 90 = 0 THEN 1 ELSE 0 END AS id FROM tx)
+ SELECT count(*) AS n, count(DISTINCT id) AS ids, count(*) FILTER (WHERE NOT contract_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31') AS dates, count(*) FILTER (WHERE area <= 0) AS areas, count(*) FILTER (WHERE dep < 0) AS money, count(*) FILTER (WHERE gu NOT IN ('ASIA', 'EUROPE')) AS outside, (SELECT count(*) FROM (SELECT contract_date, max(contract_date) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t) WHERE contract_date < before) AS "order" FROM t""")
 def validate_counts(spark, d):
-    return table(spark, d, "lineitem").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") <= 2).alias("low"), F.count_if(F.col("l_discount") > 0.05).alias("discounted"),
-                                           F.count_distinct("l_orderkey").alias("ids"), F.to_date(F.min("l_shipdate")).alias("first_day"), F.to_date(F.max("l_shipdate")).alias("last_day"))
+    """The counts behind `validate_clean`, of contracts of which some break its rules."""
+    k = F.col("tx_id")
+    df = cleaning.with_dense_id(contracts(spark, d), ["contract_date", "tx_id"], "id")
+    df = df.withColumns({"area_m2": F.when(k % 50 == 0, -1.0).otherwise(F.col("area_m2")), "deposit_10k": F.when(k % 70 == 0, -F.col("deposit_10k")).otherwise(F.col("deposit_10k")), "monthly_rent_10k": F.lit(0.0), "_new": F.col("id") + F.when(k % 90 == 0, 1).otherwise(0)})
+    return quality.clean_counts(df.drop("tx_id", "id").withColumnRenamed("_new", "tx_id"), EngineConfig(start_date="1996-01-01", end_date="2000-12-31", valid_gu=("ASIA", "EUROPE")))
+
+
+@query(f"WITH {CONTRACTS_SQL}, t AS (SELECT tx_id, contract_date, max(contract_date) OVER (ORDER BY tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tx) SELECT count(*) > 0 AS found FROM t WHERE contract_date < before")
+def ids_out_of_order(spark, d):
+    """Orders are numbered in no order of days, which the audit must see."""
+    return quality.clean_counts(contracts(spark, d).withColumn("monthly_rent_10k", F.lit(0.0)), CFG).select((F.col("order") > 0).alias("found"))
 
 
 @query("SELECT 2000 AS n_checked, 0 AS n_mismatches FROM (SELECT 1) WHERE (SELECT count(*) FROM orders) >= 2000 UNION ALL SELECT count(*), 0 FROM orders HAVING count(*) < 2000")
@@ -270,6 +320,13 @@ def recheck_windows(spark, d):
     return out.select(F.col("n_checked").cast("int").alias("n_checked"), F.col("n_mismatches").cast("int").alias("n_mismatches"))
 
 
+@query("SELECT 2000 AS n_checked, 0 AS n_mismatches FROM (SELECT 1) WHERE (SELECT count(*) FROM orders) >= 2000 UNION ALL SELECT count(*), 0 FROM orders HAVING count(*) < 2000")
+def recheck_previous(spark, d):
+    df = previous_event(contracts(spark, d), PROPERTY, "price_10k", names=("last", "last_date")).withColumn("days", F.datediff("contract_date", "last_date"))
+    out = quality.recheck_previous(df, PROPERTY, "last", "days", sample=2000)
+    return out.select(F.col("n_checked").cast("int").alias("n_checked"), F.col("n_mismatches").cast("int").alias("n_mismatches"))
+
+
 @query(f"""WITH {CONTRACTS_SQL}, r AS (SELECT * FROM tx WHERE tx_id = (SELECT max(tx_id) FROM tx)), g AS (SELECT tx.*, r.contract_date AS t FROM tx JOIN r ON tx.gu = r.gu AND tx.rent_type = r.rent_type)
  SELECT t AS contract_date, count(*) FILTER (WHERE contract_date < t AND contract_date >= t - 90) AS n_in_window, {sql_close('quantile_cont(price_10k, 0.5) FILTER (WHERE contract_date < t AND contract_date >= t - 90)')} AS median,
  count(*) FILTER (WHERE contract_date = t) AS same_day_left_out, count(*) FILTER (WHERE contract_date > t) AS future_left_out FROM g GROUP BY t""")
@@ -389,6 +446,20 @@ def model_dataset(spark, d):
     return out.select("tx_id", "contract_date", "area_m2", "target_deposit_10k")
 
 
+@query(f"""WITH {CONTRACTS_SQL} SELECT tx_id, contract_date, area_m2, deposit_10k, price_10k AS target_monthly_rent_10k FROM tx WHERE rent_type = 'O' AND housing_category IN ('BUILDING', 'MACHINERY') AND price_10k > 0 AND deposit_10k >= 0 AND tx_id % 3 <> 1 AND gu <> 'ASIA' AND contract_date >= DATE '1997-01-01'""")
+def model_dataset_monthly(spark, d):
+    kind = F.when(F.col("tx_id") % 3 == 0, "new").when(F.col("tx_id") % 3 == 1, "renewal").otherwise("unknown")
+    df = contracts(spark, d).withColumns({"rent_type": F.when(F.col("rent_type") == "O", "월세").otherwise("전세"), "contract_type_clean": kind, "monthly_rent_10k": F.col("price_10k")})
+    cfg = EngineConfig(housing_categories=("BUILDING", "MACHINERY"), exclude_gu=("ASIA",), include_unknown=True, model_start="1997-01-01")
+    return datasets.model_dataset(df, "monthly", cfg, ["area_m2", "deposit_10k"], ["tx_id", "contract_date"]).select("tx_id", "contract_date", "area_m2", "deposit_10k", "target_monthly_rent_10k")
+
+
+@query(f"WITH {CONTRACTS_SQL}, v AS (SELECT 'gu' AS feature, gu AS value FROM tx UNION SELECT 'housing_category', housing_category FROM tx UNION SELECT 'area_bin', coalesce(area_bin, '(none)') FROM tx) SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS level FROM v")
+def category_levels(spark, d):
+    out = model.category_levels(contracts(spark, d), ("gu", "housing_category", "area_bin"))
+    return out.select("feature", "value", F.col("level").cast("long").alias("level"))
+
+
 @query("SELECT o_orderkey, CASE WHEN n >= 10000 THEN CAST(n // 10000 AS VARCHAR) || '억' || CASE WHEN n % 10000 <> 0 THEN ' ' || format('{:,}', n % 10000) || '만원' ELSE '원' END ELSE format('{:,}', n) || '만원' END AS text FROM (SELECT o_orderkey, CAST(round_even(o_totalprice, 0) AS BIGINT) AS n FROM orders)")
 def won_format(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.won(F.col("o_totalprice")).alias("text"))
@@ -443,6 +514,108 @@ def candidate_buildings(spark, d):
     return out.select("property_id", "area_m2", "floor", "weight", "area_bin")
 
 
+@query(f"""WITH {_NEAR_SQL}, c AS (SELECT property_id, quantile_cont(area_m2, 0.5) AS area_m2, round_even(quantile_cont(floor, 0.5), 0) AS floor, arg_max(gu, {{'d': d, 't': tx_id}}) AS gu FROM near WHERE dist_m <= 4000 GROUP BY property_id HAVING max(contract_date) >= DATE '2001-08-01' - 365)
+ SELECT property_id, gu, '월세' AS rent_type, DATE '2001-11-15' AS contract_date, CAST(1000 AS DOUBLE) AS deposit_10k, {AREA_SQL.format(a='area_m2')} AS area_bin, CAST(floor < 0 AS INT) AS is_basement, CAST(floor = 1 AS INT) AS is_ground_floor, CAST(2001 - 1990 AS INT) AS building_age, {sql_close('sin(2 * pi() * 11 / 12)')} AS month_sin, {sql_close('1000 / area_m2')} AS deposit_per_m2, true AS negative_id FROM c""")
+def scenario_rows(spark, d):
+    found = serving.candidate_buildings(_near(spark, d).where(F.col("dist_m") <= 4000), F.lit("2001-08-01").cast("date"), CFG, latest=("gu",))
+    out = serving.scenario_rows(found.withColumn("built_year", F.lit(1990)), "월세", datetime.date(2001, 11, 15), 1000.0)
+    return out.select("property_id", "gu", "rent_type", "contract_date", "deposit_10k", "area_bin", "is_basement", "is_ground_floor", F.col("building_age").cast("int").alias("building_age"), close(F.col("month_sin")).alias("month_sin"), close(F.col("deposit_per_m2")).alias("deposit_per_m2"), (F.col("tx_id") < 0).alias("negative_id"))
+
+
+_SCENARIO_SHOWN = ("dong_tx_count_90d", "dong_price_median_90d", "gu_price_median_90d", "comp_price_median_90d", "property_last_price", "property_days_since_last_transaction")
+
+
+@query(f"""WITH {_NEAR_SQL}, c AS (SELECT property_id, arg_max(gu, {{'d': d, 't': tx_id}}) AS gu, arg_max(dong, {{'d': d, 't': tx_id}}) AS dong, arg_max(housing_category, {{'d': d, 't': tx_id}}) AS housing_category, quantile_cont(area_m2, 0.5) AS area_m2 FROM near WHERE dist_m <= 4000 GROUP BY property_id HAVING max(contract_date) >= DATE '2001-07-01' - 365),
+ sc AS (SELECT -1 - row_number() OVER () AS tx_id, DATE '2001-08-01' AS contract_date, gu, dong, 'F' AS rent_type, housing_category, property_id, CAST(NULL AS DOUBLE) AS price_10k, CAST(NULL AS DOUBLE) AS deposit_10k, area_m2, {AREA_SQL.format(a='area_m2')} AS area_bin, datediff('day', DATE '1970-01-01', DATE '2001-08-01') AS d FROM c),
+ al AS (SELECT tx_id, contract_date, gu, dong, rent_type, housing_category, property_id, price_10k, deposit_10k, area_m2, area_bin, d FROM tx UNION ALL SELECT * FROM sc), h AS ({history_sql(60, 'al')})
+ SELECT property_id, {sql_shown(_SCENARIO_SHOWN)} FROM h WHERE tx_id < 0""")
+def scenario_history(spark, d):
+    """What a contract of each candidate would be known by, 60 days ahead."""
+    past = contracts(spark, d)
+    found = serving.candidate_buildings(_near(spark, d).where(F.col("dist_m") <= 4000), F.lit("2001-07-01").cast("date"), CFG, latest=("gu", "dong", "housing_category"))
+    rows = serving.scenario_rows(found.withColumn("built_year", F.lit(1990)), "F", datetime.date(2001, 8, 1), None)
+    return serving.with_history(past, rows, 60, CFG).select("property_id", *shown(_SCENARIO_SHOWN))
+
+
+@query(f"""WITH {_NEAR_SQL}, c AS (SELECT property_id FROM near WHERE dist_m <= 4000 GROUP BY property_id HAVING max(contract_date) >= DATE '2001-08-01' - 365)
+ SELECT quantile_cont(deposit_10k, 0.5) AS deposit_10k FROM tx WHERE tx_id % 2 = 0 AND contract_date >= DATE '2001-08-01' - 365 AND property_id IN (SELECT property_id FROM c)""")
+def usual_deposit(spark, d):
+    near = _near(spark, d)
+    found = serving.candidate_buildings(near.where(F.col("dist_m") <= 4000), F.lit("2001-08-01").cast("date"), CFG, latest=("gu",))
+    monthly = contracts(spark, d).withColumn("rent_type", F.when(F.col("tx_id") % 2 == 0, "월세").otherwise("전세"))
+    return serving.usual_deposit(monthly, found, F.lit("2001-08-01").cast("date"))
+
+
+@query(f"""WITH {_NEAR_SQL}, c AS (SELECT property_id FROM near WHERE dist_m <= 4000 GROUP BY property_id HAVING max(contract_date) >= DATE '2001-08-01' - 365)
+ SELECT tx_id, contract_date FROM tx WHERE rent_type = 'F' AND area_m2 >= 25 AND area_m2 < 45 AND property_id IN (SELECT property_id FROM c) ORDER BY contract_date DESC, tx_id DESC LIMIT 5""")
+def recent_examples(spark, d):
+    found = serving.candidate_buildings(_near(spark, d).where(F.col("dist_m") <= 4000), F.lit("2001-08-01").cast("date"), CFG, latest=("gu",))
+    return serving.recent_examples(contracts(spark, d), found, "F", (25, 45)).select("tx_id", "contract_date")
+
+
+_SCHOOL_SQL = "(SELECT idx, school_name FROM (SELECT n_nationkey AS idx, replace(n_name, '_', ' ') AS school_name FROM nation) WHERE contains(replace(school_name, ' ', ''), '{key}') ORDER BY CASE WHEN starts_with(replace(school_name, ' ', ''), '{key}') THEN 0 ELSE 1 END, idx LIMIT 1)"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM {_SCHOOL_SQL.format(key=key)}" for key in ("NATION12", "NATION1", "ON2", "8")))
+def find_school(spark, d):
+    schools = table(spark, d, "nation").select(F.col("n_nationkey").alias("idx"), F.lit("").alias("query"), F.replace("n_name", F.lit("_"), F.lit(" ")).alias("school_name"))
+    hits = [serving.find_school(schools, name, {"twelve": "NATION12"}) for name in ("twel ve", "NATION 1", "ON2", "8")]
+    return spark.createDataFrame([(h["idx"], h["school_name"]) for h in hits], schools.select("idx", "school_name").schema)
+
+
+_LOCATED_SQL = f"{_POINTS_SQL}, st AS (SELECT id, idx, name, {_HAVERSINE_SQL.format(a='', b='p')} AS dist FROM pts, dim WHERE idx % 2 = 0), un AS (SELECT id, idx, name, {_HAVERSINE_SQL.format(a='', b='p')} AS dist FROM pts, dim WHERE idx % 2 = 1)"
+
+
+@query(f"""WITH {_LOCATED_SQL}, s AS (SELECT id, round_even(min(dist), 0) AS station_dist_m, arg_min(name, dist) AS nearest_station, count(*) FILTER (WHERE dist <= 1000) AS n_stations_1km FROM st GROUP BY id), u AS (SELECT id, round_even(min(dist), 0) AS univ_dist_m, arg_min(name, dist) AS nearest_univ FROM un GROUP BY id)
+ SELECT o_orderkey, CASE WHEN o_custkey % 5 > 0 THEN {sql_close('lat')} END AS lat, CASE WHEN o_custkey % 5 > 0 THEN station_dist_m END AS station_dist_m, CASE WHEN o_custkey % 5 > 0 THEN nearest_station END AS nearest_station, CASE WHEN o_custkey % 5 > 0 THEN n_stations_1km END AS n_stations_1km, CASE WHEN o_custkey % 5 > 0 THEN univ_dist_m END AS univ_dist_m, CASE WHEN o_custkey % 5 > 0 THEN nearest_univ END AS nearest_univ
+ FROM orders JOIN pts ON o_custkey = pts.id JOIN s ON o_custkey = s.id JOIN u ON o_custkey = u.id""")
+def location_features(spark, d):
+    """Coordinates by address, with the nearest station and school; one address in five has no coordinates."""
+    coords = _points(spark, d).where("id % 5 > 0").select(F.col("id").cast("string").alias("address"), "lat", "lon", F.lit("jibun").alias("precision"))
+    dim = _dimension(spark, d)
+    df = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("full_jibun_address"))
+    out = features.add_location_features(df, coords, dim.where("idx % 2 = 0"), dim.where("idx % 2 = 1"))
+    return out.select("o_orderkey", close(F.col("lat")).alias("lat"), "station_dist_m", "nearest_station", "n_stations_1km", "univ_dist_m", "nearest_univ")
+
+
+@query("SELECT l_orderkey, l_linenumber, list_sort([l_quantity, l_extendedprice / 1000, l_tax * 500])[1] AS lo, list_sort([l_quantity, l_extendedprice / 1000, l_tax * 500])[2] AS mid, list_sort([l_quantity, l_extendedprice / 1000, l_tax * 500])[3] AS hi FROM lineitem")
+def ordered_ranges(spark, d):
+    parts = model.ordered_range(F.col("l_quantity").cast("double"), F.col("l_extendedprice") / 1000, F.col("l_tax") * 500)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for c, n in zip(parts, ("lo", "mid", "hi"))])
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 211 AS INT) AS days, CAST((SELECT h FROM (SELECT unnest([0, 30, 60, 90, 120, 150, 180]) AS h) ORDER BY abs(h - o_orderkey % 211), h LIMIT 1) AS INT) AS horizon FROM orders")
+def nearest_horizon(spark, d):
+    days = (F.col("o_orderkey") % 211).cast("int")
+    return table(spark, d, "orders").select("o_orderkey", days.alias("days"), serving.nearest_horizon(days).alias("horizon"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, CAST(o_orderkey % 101 AS DOUBLE) AS p, CAST(o_orderkey % 41 AS DOUBLE) - 20 AS c, CAST(o_orderkey % 60 AS DOUBLE) AS b FROM orders)
+ SELECT o_orderkey, CASE WHEN p < 25 THEN '저렴' WHEN p <= 75 THEN '적정' WHEN p <= 90 THEN '다소 비쌈' ELSE '비쌈' END AS verdict, CASE WHEN abs(c) < 2 OR abs(c) < b / 4 THEN 'same' WHEN c > 0 THEN 'later_is_dearer' ELSE 'later_is_cheaper' END AS timing FROM t""")
+def price_verdicts(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", serving.verdict_of((k % 101).cast("double")).alias("verdict"), serving.timing_of((k % 41).cast("double") - 20, (k % 60).cast("double")).alias("timing"))
+
+
+def _cdf_sql() -> str:
+    """The same rational fit of the normal distribution function, of z with x = abs(z) / sqrt(2), t = 1 / (1 + x / 2)."""
+    poly = "0.17087277"
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = f"({poly} * t + {c})"
+    tail = f"(t * exp(-x * x + {poly}) / 2)"
+    return f"CASE WHEN z >= 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+@query(f"""WITH r AS (SELECT p_brand, p_retailprice AS mid, p_retailprice * (0.5 + p_size / 200) AS lo, p_retailprice * (1 + p_size / 50) AS hi, CAST(p_partkey % 7 + 1 AS DOUBLE) AS weight FROM part), w AS (SELECT *, CASE WHEN 950 < mid THEN ln(mid / lo) ELSE ln(hi / mid) END / 1.2815515655446004 AS width FROM r),
+ zs AS (SELECT *, ln(950 / mid) / nullif(width, 0) AS z FROM w), s AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.5 * abs(z) / sqrt(2)) AS t FROM zs)
+ SELECT p_brand, {sql_close(f"sum(weight * CASE WHEN width > 0 THEN {_cdf_sql()} ELSE CAST(950 >= mid AS DOUBLE) END) / sum(weight)")} AS share FROM s GROUP BY p_brand""")
+def mixture_share(spark, d):
+    """Share of a weighted mixture of price ranges below 950, per brand."""
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    r = table(spark, d, "part").select("p_brand", price.alias("mid"), (price * (0.5 + size / 200)).alias("lo"), (price * (1 + size / 50)).alias("hi"), (F.col("p_partkey") % 7 + 1).cast("double").alias("weight"))
+    return r.groupBy("p_brand").agg(close(serving.mixture_share(F.lit(950.0))).alias("share"))
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400)")
 def semi_candidates(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 400"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
@@ -556,6 +729,13 @@ def conformal_adjustment(spark, d):
     return out.select("horizon_days", F.col("n").cast("long").alias("n"), close(F.col("adjustment")).alias("adjustment"))
 
 
+@query(f"{_CONF_SQL} SELECT rg.tx_id, rg.horizon_days, {sql_close('base_lo * exp(-adjustment)', 3)} AS base_lo, {sql_close('base_mid', 3)} AS base_mid, {sql_close('base_hi * exp(adjustment)', 3)} AS base_hi FROM rg JOIN adj USING (horizon_days) WHERE split = 'test'")
+def calibrated_ranges(spark, d):
+    r = model.run_baseline(_base(spark, d), cfg=CFG)
+    out = model.apply_conformal(r.where("split = 'test'"), model.conformal_adjustment(r.where("split = 'calib'"), "base", CFG), "base")
+    return out.select("tx_id", "horizon_days", *[close(F.col(c), 3).alias(c) for c in ("base_lo", "base_mid", "base_hi")])
+
+
 _METRIC_SQL = {
     "n": "count(*)", "mape_pct": "100 * avg(abs(base_mid - target) / target)", "mdape_pct": "100 * quantile_cont(abs(base_mid - target) / target, 0.5)", "mae": "avg(abs(base_mid - target))",
     "coverage_80": "avg(CASE WHEN target >= base_lo AND target <= base_hi THEN 1.0 ELSE 0.0 END)", "rel_width_median": "quantile_cont((base_hi - base_lo) / base_mid, 0.5)",
@@ -592,4 +772,4 @@ def quantile_forest(spark, d):
     cfg = EngineConfig(**{**{f: getattr(CFG, f) for f in CFG.__dataclass_fields__}, "horizons": (0,)})
     df = _horizon(spark, d, cfg).where("target > 0 AND split IN ('train', 'test')").withColumn("_y", F.log("target"))
     fitted = model.QuantileForest(["gu", "housing_category", "area_m2", "dong_price_median_90d", "property_last_price"], trees=8, depth=5).fit(df.where("split = 'train'"))
-    return fitted.predict(df.where("split = 'test'"), ["tx_id"]).select("tx_id", "target", *[F.exp(f"q_{n}").alias(n) for n in ("lo", "mid", "hi")])
+    return fitted.predict(df.where("split = 'test'")).select("tx_id", "target", *[F.exp(f"q_{n}").alias(n) for n in ("lo", "mid", "hi")])

@@ -23,13 +23,18 @@ def run(spark: SparkSession, folder: str, out: str, cfg: EngineConfig = DEFAULT,
     """The whole preparation; tables go to `out`. Fails if a recount of sampled windows disagrees with the features."""
     rows, tables = raw.load_all(spark, folder)
     sinks.write_csv(tables, f"{out}/input_files")
-    contracts = cleaning.clean(rows, cfg)
-    sinks.write_parquet(contracts, f"{out}/contracts")
+    rows = cleaning.normalize_strings(cleaning.rename_columns(rows))
+    sinks.write_parquet(rows, f"{out}/merged_raw")
+    rows = spark.read.parquet(f"{out}/merged_raw")
+    report = quality.Report(spark)
+    report.count(rows, "parse", cleaning.parsing_checks(rows, cfg))
+    sinks.write_parquet(cleaning.clean_normalized(rows, cfg), f"{out}/contracts")
     contracts = spark.read.parquet(f"{out}/contracts")
+    sinks.write_csv(contracts, f"{out}/cleaned_all", bom=True)
     looked = quality.validate_clean(contracts, cfg)
     sinks.write_parquet(enrich(contracts, cfg, places), f"{out}/all_transactions")
     df = spark.read.parquet(f"{out}/all_transactions")
-    report = quality.Report(spark)
+    report.set("floors", features.floor_report(df).first().asDict())
     report.count(df, "validate", {
         "deposit-only lease with rent": (F.col("anomaly_jeonse_with_rent") == 1, "flagged"), "monthly lease without rent": (F.col("anomaly_monthly_zero_rent") == 1, "flagged"),
         "built after contract": (F.col("built_after_contract") == 1, "flagged"), "duplicate candidates": (F.col("is_duplicate_candidate") == 1, "flagged")})
@@ -38,11 +43,14 @@ def run(spark: SparkSession, folder: str, out: str, cfg: EngineConfig = DEFAULT,
             (cfg.dong_keys, 90, "dong_tx_count_90d", "dong_price_median_90d", cfg.min_count), (cfg.dong_keys, 30, "dong_tx_count_30d", "dong_price_median_30d", cfg.min_count),
             (cfg.comp_keys, 90, "comp_tx_count_90d", "comp_price_median_90d", cfg.min_count), (cfg.property_keys, 365, "property_tx_count_365d", "property_price_median_365d", 1)):
         wrong += quality.recheck_windows(df, keys, days, count, median, least, recheck).first()["n_mismatches"]
+    wrong += quality.recheck_previous(df, cfg.property_keys, "property_last_price", "property_days_since_last_transaction", recheck).first()["n_mismatches"]
     if wrong:
         raise AssertionError(f"{wrong} sampled windows disagree with a recount")
     for kind in datasets.KINDS:
         sinks.write_parquet(datasets.model_dataset(df, kind, cfg), f"{out}/model_{kind}")
-    sinks.write_csv(quality.monthly_summary(df, cfg), f"{out}/monthly_summary")
+        sinks.write_csv(spark.read.parquet(f"{out}/model_{kind}"), f"{out}/model_{kind}_csv", bom=True)
+    sinks.export_app_data(df, f"{out}/app_data") if places else None
+    sinks.write_csv(quality.monthly_summary(df, cfg), f"{out}/monthly_summary", bom=True)
     sinks.write_csv(report.table(), f"{out}/quality_report")
     sinks.write_json(spark, {"validated": looked, "window_mismatches": wrong} | report.summary, f"{out}/summary")
     return {"rows": looked["n"], "mismatches": wrong}

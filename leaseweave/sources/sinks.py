@@ -16,8 +16,11 @@ def write_parquet(df: DataFrame, path: str, *partition_by: str, compression: str
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """CSV with a header; with `bom` its first column's name carries a byte order mark, by which spreadsheet programs
+    tell UTF-8."""
+    first = df.columns[0]
+    (df.withColumnRenamed(first, f"\ufeff{first}") if bom else df).write.mode("overwrite").csv(path, header=True)
 
 
 def write_json(spark, value: dict, path: str) -> None:

@@ -16,15 +16,20 @@ def refresh(arrivals: DataFrame, history_path: str, features_path: str, checkpoi
     """Append arriving contracts (typed, with area_bin and price_10k) and rewrite the features of their districts.
 
     Both tables are partitioned by district and rent type; a batch that is run again overwrites the same partitions.
-    A contract that arrives twice (equal tx_id) counts once.
+    Of a contract that arrives several times (equal tx_id) the version of the latest batch counts, and within a batch
+    the one that sorts last.
     """
     spark = arrivals.sparkSession
 
+    def latest(df: DataFrame, *order: str) -> DataFrame:
+        whole = F.struct(*[F.col(c) for c in df.columns])
+        return df.groupBy("tx_id").agg(F.max_by(whole, F.struct(*order, F.to_json(whole))).alias("_row")).select("_row.*")
+
     def batch(new: DataFrame, number: int) -> None:
-        new = new.dropDuplicates(["tx_id"]).withColumn("_batch", F.lit(number))
+        new = latest(new).withColumn("_batch", F.lit(number))
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", *PARTITION).parquet(history_path)
         touched = new.select(*PARTITION).distinct()
-        past = spark.read.parquet(history_path).drop("_batch").join(touched, list(PARTITION), "left_semi").dropDuplicates(["tx_id"])
+        past = latest(spark.read.parquet(history_path).join(touched, list(PARTITION), "left_semi"), "_batch").drop("_batch")
         add_history(past, cfg).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(features_path)
 
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,13 +1,16 @@
 import datetime as dt
+import math
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from leaseweave.__main__ import arguments
 from leaseweave.config import COLUMN_MAP, EngineConfig
 from leaseweave.functions import scalars as S
 from leaseweave.operators import cleaning, datasets, features, model, quality, serving
-from leaseweave.plans import preprocess
+from leaseweave.plans import preprocess, train
 from leaseweave.sources import raw, tables
 from leaseweave.streaming import refresh
 
@@ -117,7 +120,7 @@ def test_features_that_leak_are_refused(spark):
 def test_outliers_fall_back_where_a_group_is_small(spark):
     rows = [("g", "f", 100.0 + i % 3) for i in range(30)] + [("g", "f", 1e6)] + [("g", "h", 101.0)] * 5 + [("g", "h", None), ("g", "h", 1e7)]
     df = spark.createDataFrame(rows, "g string, f string, v double")
-    flags = df.select("v", quality.outlier_flag(F.col("v"), ("g", "f"), ("g",), 3.0, 30).alias("o")).collect()
+    flags = quality.with_outlier_flag(df, F.col("v"), ("g", "f"), ("g",), "o", 3.0, 30).select("v", "o").collect()
     assert sorted(r["v"] for r in flags if r["o"]) == [1e6, 1e7]
 
 
@@ -129,6 +132,28 @@ def test_nearest_place_ties_and_nulls(spark):
     assert out[2]["dist_m"] is None
 
 
+def test_nearest_place_of_scattered_points_equals_a_plain_loop(spark):
+    r = random.Random(3)
+    points = [(i, r.choice((37.5, 0.0, -60.0, 80.0)) + r.uniform(-0.3, 0.3), r.choice((127.0, 179.95, -179.95, 0.0)) + r.uniform(-0.04, 0.04)) for i in range(150)] + [(900, None, 1.0), (901, 37.5, 127.0), (901, 37.5, 127.0)]
+    places = [(i, f"p{i % 40}", r.choice((37.5, 0.0, 80.0)) + r.uniform(-0.3, 0.3), r.choice((127.0, 179.95, -179.95)) + r.uniform(-0.04, 0.04)) for i in range(80)] + [(99, "none", None, None)]
+    p = spark.createDataFrame(points, "id int, lat double, lon double")
+    got = features.nearest_place(p, spark.createDataFrame(places, "idx int, name string, lat double, lon double"), "id", "name", 5000).collect()
+    assert len(got) == len(points)
+
+    def metres(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371000 * math.asin(math.sqrt(min(1, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    where = {i: (lat, lon) for i, lat, lon in points}
+    for row in got:
+        lat, lon = where[row["id"]]
+        if lat is None:
+            assert row["dist_m"] is None
+            continue
+        all_ = sorted((metres(lat, lon, a, b), i, n) for i, n, a, b in places if a is not None)
+        assert row["nearest_place"] == all_[0][2] and abs(row["dist_m"] - all_[0][0]) <= 0.51 and row["n_within"] == sum(d <= 5000 for d, _, _ in all_)
+
+
 def test_conformal_and_rollup(spark):
     rows = [(h, 100.0, 90.0, 100.0, 110.0 if i else 95.0) for h, n in ((0, 1), (30, 10)) for i in range(n)]
     df = spark.createDataFrame(rows, "horizon_days int, target double, m_lo double, m_mid double, m_hi double")
@@ -141,12 +166,42 @@ def test_conformal_and_rollup(spark):
 def test_quantile_forest_ranges(spark):
     rows = [(i, "a" if i % 2 else "b", float(i % 2) + (i % 10) / 10) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, k string, _y double")
-    out = model.QuantileForest(["k"], trees=4, depth=2).fit(df).predict(df, ["id"]).collect()
+    out = model.QuantileForest(["k"], trees=4, depth=2).fit(df).predict(df).collect()
     for r in out:
         base = 1.0 if r["k"] == "a" else 0.0
         assert base <= r["q_lo"] <= r["q_mid"] <= r["q_hi"] <= base + 0.91
 
 
+def test_training_saves_a_model_that_serves(spark, tmp_path):
+    r = random.Random(4)
+    rows = []
+    for i in range(900):
+        day = dt.date(2021, 1, 1) + dt.timedelta(r.randrange(2000))
+        deposit = 5000.0 + 10 * (i % 40) + r.random() * 300
+        rows.append((i, day, "동작구", "흑석동", r.choice(("전세", "월세")), "연립다세대", "다세대", f"p{i % 30}", deposit, 50.0 + i % 9, "new", 20.0 + i % 4, float(i % 5), 2000.0, 0, f"b{i % 30}", "r", 37.5 + (i % 30) * 1e-4, 126.95, 100.0, 1, 50.0))
+    schema = "tx_id long, contract_date date, gu string, dong string, rent_type string, housing_category string, housing_type string, property_id string, deposit_10k double, monthly_rent_10k double, contract_type_clean string, area_m2 double, floor double, built_year double, building_name_is_address int, building_name string, full_road_address string, lat double, lon double, station_dist_m double, n_stations_1km int, univ_dist_m double"
+    df = spark.createDataFrame(rows, schema).withColumn("area_bin", S.area_bin(F.col("area_m2")))
+    df = features.add_floor_features(features.add_date_features(df)).withColumns({"price_10k": S.price(F.col("rent_type"), F.col("deposit_10k"), F.col("monthly_rent_10k")), "building_age": F.lit(20), "deposit_per_m2": F.col("deposit_10k") / F.col("area_m2")})
+    cfg = EngineConfig(horizons=(0, 60))
+    out = train.run(spark, df, str(tmp_path), cfg, trees=3, depth=3)
+    assert set(out) == {"jeonse", "monthly"} and out["jeonse"]["model"]["by_horizon"].count() == 3
+    loaded = train.load(spark, f"{tmp_path}/monthly_model")
+    assert loaded["kind"] == "monthly" and spark.read.parquet(f"{tmp_path}/monthly_model/levels").where("feature = 'gu' AND level = 0").first()["value"] == "동작구"
+    p = serving.predict(df, {"school_name": "중앙대학교", "lat": 37.5, "lon": 126.95}, "월세", dt.date(2026, 6, 1), dt.date(2026, 7, 25), train.price_rows(loaded), listing_price=60.0, cfg=cfg)
+    assert 45 < p.range_low <= p.expected <= p.range_high < 65 and p.horizon_days == 54 and p.deposit_10k
+    text = serving.formatted(p)
+    assert "중앙대학교" in text and p.price_check["verdict"] in text and len(text.splitlines()) == 6 + len(p.examples)
+
+
+def test_command_line():
+    a = arguments(["prepare", "in", "out", "--include-unknown", "--exclude-gu", "노원구"])
+    assert a.todo == "prepare" and a.include_unknown and a.exclude_gu == ["노원구"]
+    a = arguments(["predict", "tx", "schools", "models", "중앙대", "--date", "2026-09-01", "--rent-type", "월세"])
+    assert a.date == dt.date(2026, 9, 1) and a.rent_type == "월세" and a.asof is None
+    with pytest.raises(SystemExit):
+        arguments(["nothing"])
+
+
 def test_mixture(spark):
     df = spark.createDataFrame([(80.0, 100.0, 130.0, 1)], "lo double, mid double, hi double, weight long")
     q = serving.mixture_quantiles(df)
