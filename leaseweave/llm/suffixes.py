@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cleaning import with_dense_id
 from .common import arrow_schema, bounded_batches, ddl, stored
 from .grams import groups
 
@@ -359,10 +360,24 @@ def kept_bytes(text: str | None, spans: list[int] | None) -> tuple[int, int, int
     return len(data), int((end - lo).sum()), lo.size, left
 
 
+def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, doc): texts with a number of their own in the order of their ids `doc`; null comes first.
+
+    Where no id is repeated, the id is the number. Else different texts of one id are numbered apart, by digest, and
+    equal ones alike.
+    """
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("t"))
+    if not texts.groupBy("doc").count().where("count > 1").limit(1).count():
+        return texts.select(F.col("doc").alias("id"), "t", "doc")
+    digest = F.xxhash64(F.coalesce("t", F.lit("")))
+    numbers = stored(with_dense_id(texts.select("doc", digest.alias("_digest")).distinct(), ["doc", "_digest"], "id"))
+    return stored(texts.withColumn("_digest", digest).join(numbers, ["doc", "_digest"]).select("id", "t", "doc"))
+
+
 def repeated_ranges(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, ranges): (id, t) of the rows of `df`, and (id, span) of the starts of all repeated strings."""
+    """(texts, ranges): (id, t, doc) of the rows of `df`, and (id, span) of the starts of all repeated strings."""
     spark = df.sparkSession
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("t"))
+    texts = keyed_texts(df, id_col, text_col)
     bounded_batches(spark, 2048)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = find_runs(texts).repartition(n, "anchor").sortWithinPartitions("anchor", "copy", "id", "span")
@@ -385,8 +400,9 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
     """One row per document: sizes, removed runs, the digest of what is left, and (`kept`) what is left.
 
-    Strings are judged on the input. A null text counts as empty. A text below 100 bytes keeps all. Of repeated ids
-    with equal texts none is earlier than the other; different texts under one id share their removed places.
+    Strings are judged on the input. A null text counts as empty. A text below 100 bytes keeps all. A null id is the
+    smallest. Of repeated ids with equal texts none is earlier than the other; different texts under one id are
+    documents of their own, in the order of their digests.
     """
     texts, ranges = repeated_ranges(df, id_col, text_col)
     lists = ranges.groupBy("id").agg(F.collect_list("span").alias("spans"))
@@ -396,10 +412,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             rows = batch.to_pydict()
             out = [[] for _ in SCHEMA]
-            for key, text, spans in zip(rows["id"], rows["t"], rows["spans"]):
+            for key, text, spans in zip(rows["doc"], rows["t"], rows["spans"]):
                 n, removed, count, left = kept_bytes(text, spans)
                 for column, value in zip(out, (None if key == NO_ID else key, n, removed, count, hashlib.sha256(left).hexdigest(), left)):
                     column.append(value)
             yield pa.RecordBatch.from_pydict({name: column for (name, _), column in zip(schema, out)}, schema=arrow_schema(schema))
 
-    return texts.join(lists, "id", "left").select("id", "t", "spans").mapInArrow(run, ddl(schema))
+    return texts.join(lists, "id", "left").select("doc", "t", "spans").mapInArrow(run, ddl(schema))
