@@ -6,12 +6,10 @@ are sampled by calibrated probabilities), subword encoding (the result: ids and
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from leaseweave.llm import mixing, ordered, pieces, quality, secrets
-from leaseweave.llm.common import documents, shared_folder
+from leaseweave.llm.common import documents, forget, stored
 from leaseweave.llm.queries import vocabulary
 
 
@@ -54,10 +52,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`; each result is a Parquet table in the shared folder, reread for the next."""
-    shared_folder(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    docs, before = documents(spark, sf_dir), None
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
