@@ -45,15 +45,31 @@ class PastWindow:
         return out
 
 
-def past_windows(df: DataFrame, specs: Sequence[PastWindow], date: str = "contract_date", slice_days: int | None = None) -> DataFrame:
+#: Rows of a group of the windows' keys above which its days are cut into slices, so that no task gets a whole district.
+SLICE_ROWS = 1_000_000
+
+
+def measured_slice(df: DataFrame, specs: Sequence[PastWindow], date: str) -> int | None:
+    """Days of a slice: about SLICE_ROWS rows of the largest group of the coarsest keys, and twice what the windows reach
+    back, so that no more than half of the rows are copied. None if no group is that large."""
+    keys = min((s.keys for s in specs), key=len)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(F.unix_date(F.col(date))) - F.min(F.unix_date(F.col(date))) + 1).alias("span"))
+    largest = sizes.where(F.col("n") > SLICE_ROWS).agg(F.min(F.floor(F.col("span") * SLICE_ROWS / F.col("n")))).first()[0]
+    return None if largest is None else max(int(largest), 2 * max(s.days + s.offset for s in specs))
+
+
+def past_windows(df: DataFrame, specs: Sequence[PastWindow], date: str = "contract_date", slice_days: int | str | None = "auto") -> DataFrame:
     """`df` with the columns of all `specs`, coarse keys first.
 
     `slice_days` cuts every group into slices of so many days; a row is copied to the later slices whose windows reach
-    back to it. Results are the same, and a group of any size becomes many tasks of bounded span.
+    back to it. Results are the same, and a group of any size becomes many tasks of bounded span. By default the sizes
+    of the groups decide; None cuts nothing.
     """
     specs = sorted(specs, key=lambda s: (len(s.keys), s.keys))
     names = df.columns
     day = F.unix_date(F.col(date))
+    if slice_days == "auto":
+        slice_days = measured_slice(df, specs, date)
     if slice_days is None:
         rows = df.withColumn("_day", day)
         return rows.select(*[F.col(f"`{c}`") for c in names], *[c for s in specs for c in s.columns("_day")])

@@ -7,6 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from leaseweave.operators import history
 from leaseweave.operators.history import PastWindow, history_at_offset, history_at_offsets, past_windows, previous_event
 from leaseweave.operators.ranks import exact_quantiles, order_statistics, small
 
@@ -49,6 +50,15 @@ def test_every_statistic_equals_a_plain_loop(spark, days, offset, least, slice_d
         assert all(a == b if None in (a, b) else a == pytest.approx(b, rel=1e-9) for a, b in zip(got[i], expected[i])), (got[i], expected[i])
 
 
+def test_large_groups_are_cut_into_slices(spark, monkeypatch):
+    rows = drawn(70, n=300, days=900)
+    spec = [PastWindow(("g",), "v", 20, dict(STATS), 5, 2)]
+    assert history.measured_slice(frame(spark, rows), spec, "contract_date") is None
+    monkeypatch.setattr(history, "SLICE_ROWS", 20)
+    assert 50 <= history.measured_slice(frame(spark, rows), spec, "contract_date") < 250
+    assert windowed(spark, rows, 20, 5) == windowed(spark, rows, 20, 5, slice_days=None)
+
+
 def test_values_of_a_day_reach_no_row_up_to_that_day(spark):
     rows = drawn(71)
     turn = sorted(r[1] for r in rows)[80]
