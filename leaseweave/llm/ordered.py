@@ -37,8 +37,8 @@ from .common import arrow_schema, bounded_batches, ddl, forget, map_columns, par
 
 WORDS, SKETCHES, MINIMA, SIMILAR = 5, 64, 2, 0.8
 #: Texts of up to so many words are found without fail; members of a bucket whose pairs are all looked at; members of a
-#: block; bins of the word counts, and of those carried along. The last four don't change the classes but for links that no sketch stands for.
-SHORT, FEW, BLOCK, BINS, FEW_BINS = 64, 256, 1024, 256, 64
+#: block; bins of the word counts. The last three don't change the classes but for links that no sketch stands for.
+SHORT, FEW, BLOCK, BINS = 64, 256, 1024, 256
 #: Ids broadcast to the documents at most (12 MB); more are joined by key.
 BROADCAST_IDS = 1_000_000
 NO_ID = -(1 << 63)
@@ -133,9 +133,9 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_columns(df, identified(df, id_col, text_col), rows, [("id", "long"), ("c1", "long"), ("c2", "long"), ("n", "long"), ("keys", "array<long>")])
 
 
-def counted(words: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """How many words fall in each bin, up to 255; differences of these are differences of the texts at least."""
-    return np.minimum(np.bincount(words % words.dtype.type(bins), minlength=bins), 255).astype(np.uint8)
+def counted(words: np.ndarray) -> np.ndarray:
+    """How many words fall in each of BINS bins, up to 255; differences of these are differences of the texts at least."""
+    return np.minimum(np.bincount(words % BINS, minlength=BINS), 255).astype(np.uint8)
 
 
 def word_table(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def blocked(entries: DataFrame) -> DataFrame:
     rows = rows.withColumn("_rest", F.sum(F.when(own, 0).otherwise(1)).over(Window.partitionBy("key")))
     alone = F.xxhash64("root", F.pmod(F.xxhash64("id"), F.ceil(F.col("_c") / BLOCK)))
     shared_ = F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("_rest") / BLOCK))))
-    rows = rows.select("key", "id", "root", "n", "bins", F.when(own, alone).otherwise(shared_).alias("part"), F.when(own, F.col("root")).alias("owner"))
+    rows = rows.select("key", "id", "root", F.when(own, alone).otherwise(shared_).alias("part"), F.when(own, F.col("root")).alias("owner"))
     blocks = rows.select("key", "part", "owner").distinct()
     x, y = (blocks.select("key", F.col("part").alias(n), F.col("owner").alias(f"_{n}")) for n in "xy")
     pairs = x.join(y, "key").where("x <= y AND coalesce(_x <> _y, true)")
@@ -360,15 +360,15 @@ def blocked(entries: DataFrame) -> DataFrame:
     return rows.drop("owner").join(pairs, ["key", "part"])
 
 
-def bucket_pairs(entries: DataFrame) -> DataFrame:
+def bucket_pairs(entries: DataFrame, words: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of one bucket in different components, as far as `alike` allows, each once.
 
-    `entries` is (key, id, root, m, n, bins), m the members of the bucket. All groups of rows are of bounded size.
+    `entries` is (key, id, root, m), m the members of the bucket. All groups of rows are of bounded size.
     """
-    columns = ("key", "x", "y", "part", "id", "root", "n", "bins")
+    columns = ("key", "x", "y", "part", "id", "root")
     zero = F.lit(0).cast("long")
-    few = entries.where(f"m <= {BLOCK}").select("key", zero.alias("x"), zero.alias("y"), zero.alias("part"), *columns[4:])
-    rows = few.union(blocked(entries.where(f"m > {BLOCK}")).select(*columns))
+    few = entries.where(f"m <= {BLOCK}").select("key", zero.alias("x"), zero.alias("y"), zero.alias("part"), "id", "root")
+    rows = few.union(blocked(entries.where(f"m > {BLOCK}")).select(*columns)).join(words.select("id", "n", "bins"), "id")
     rows = rows.repartition(partitions(rows.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
     bounded_batches(rows.sparkSession)
     schema = [("a", "long"), ("b", "long")]
@@ -377,20 +377,20 @@ def bucket_pairs(entries: DataFrame) -> DataFrame:
         def each():
             for batch in batches:
                 names = batch.to_pydict()
-                yield from zip(*(names[k] for k in columns))
+                yield from zip(*(names[k] for k in (*columns, "n", "bins")))
 
         for _, group in groupby(each(), lambda r: r[:3]):
             *_, part, ids, root, n, bins = zip(*group)
             if len(set(root)) < 2:
                 continue
             part, ids, root, n = (np.array(v, np.int64) for v in (part, ids, root, n))
-            bins = np.frombuffer(b"".join(bins), np.uint8).reshape(len(ids), -1).astype(np.int16)
+            bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS).astype(np.int16)
             pairs = list(group_pairs(root, part, n, bins))
             if pairs:
                 i, j = np.array(pairs).T
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}, schema=arrow_schema(schema))
 
-    return rows.mapInArrow(run, ddl(schema)).distinct()
+    return rows.select(*columns, "n", "bins").mapInArrow(run, ddl(schema)).distinct()
 
 
 def must_look_up(n: int, width: int) -> int:
@@ -404,44 +404,46 @@ def must_look_up(n: int, width: int) -> int:
 
 
 def rare_runs(some: DataFrame, words: DataFrame) -> DataFrame:
-    """(key, id, root, m, n, bins): buckets of the ids of `some` (id, root) in which all texts of that edit similarity meet.
+    """(key, id, root, m): buckets of the ids of `some` (id, root) in which all texts of that edit similarity meet.
 
     A key is a word, for short texts a pair of words, with its occurrence number. Each text is entered under as many of
     its keys as `must_look_up` says, those first that the fewest components have; keys of one component make no bucket.
     Texts of lengths in between have both kinds, so texts of similar length have one kind in common.
     """
-    schema = [("id", "long"), ("root", "long"), ("key", "long"), ("width", "int"), ("spare", "int"), ("n", "long"), ("bins", "binary")]
+    schema = [("id", "long"), ("root", "long"), ("key", "long"), ("width", "int"), ("take", "int"), ("n", "int")]
 
     def run(batches):
         for batch in batches:
             for key, root, data in zip(*(batch[k].to_pylist() for k in ("id", "root", "words"))):
                 w = np.frombuffer(data, np.uint32).astype(np.uint64)
-                bins = counted(w, FEW_BINS).tobytes()
                 for width in ((2,) if w.size <= SHORT else (1, 2) if w.size <= SHORT / SIMILAR + 1e-9 else (1,)):
-                    h = kmers(w, width)
-                    spare = h.size - must_look_up(w.size, width)  # keys that it need not be entered under
-                    yield pa.RecordBatch.from_pydict({
-                        "id": np.full(h.size, key), "root": np.full(h.size, root), "key": h.view(np.int64), "width": np.full(h.size, width, np.int32),
-                        "spare": np.full(h.size, spare, np.int32), "n": np.full(h.size, w.size), "bins": [bins] * h.size}, schema=arrow_schema(schema))
+                    h, take = kmers(w, width), must_look_up(w.size, width)
+                    yield pa.RecordBatch.from_pydict({"id": np.full(h.size, key), "root": np.full(h.size, root), "key": h.view(np.int64), "width": np.full(h.size, width, np.int32), "take": np.full(h.size, take, np.int32), "n": np.full(h.size, w.size, np.int32)}, schema=arrow_schema(schema))
 
     each = words.select("id", "words").join(some, "id").select("id", "root", "words").mapInArrow(run, ddl(schema))
     each = each.withColumn("_nth", F.dense_rank().over(Window.partitionBy("key").orderBy("root")))
-    each = each.withColumn("_df", F.max("_nth").over(Window.partitionBy("key"))).where("_df > 1").drop("_nth")
-    # Keys of one component are the rarest; those left are entered but for the `spare` most common ones.
-    each = each.withColumn("_rank", F.row_number().over(Window.partitionBy("id", "width").orderBy(F.desc("_df"), F.desc("key"))))
-    return split_buckets(each.where("_rank > spare").select("key", "id", "root", "n", "bins"))
+    each = each.withColumn("_df", F.max("_nth").over(Window.partitionBy("key")))
+    each = each.withColumn("_rank", F.row_number().over(Window.partitionBy("id", "width").orderBy("_df", "key")))
+    return split_buckets(each.where("_df > 1 AND _rank <= take").select("key", "id", "root", "n"))
 
 
 def split_buckets(entries: DataFrame) -> DataFrame:
-    """The rows (key, id, root, ...) of the buckets that hold several components, with the bucket's members m."""
-    bucket = Window.partitionBy("key")
-    whole = entries.select("*", F.count("*").over(bucket).alias("m"), F.min("root").over(bucket).alias("_low"), F.max("root").over(bucket).alias("_high"))
-    return whole.where("_low <> _high").drop("_low", "_high")
+    """The rows (key, id, root) of the buckets that hold several components, with the bucket's members m.
+
+    A bucket is cut where, by ascending number of words n, the next text is too long to be similar: no two texts across
+    such a gap are. The parts are buckets of their own.
+    """
+    by_size = Window.partitionBy("key").orderBy("n")
+    gap = F.coalesce(F.lag("n").over(by_size) < SIMILAR * F.col("n") - 1e-9, F.lit(False)).cast("int")
+    cut = entries.select("key", "id", "root", "n", gap.alias("_gap")).withColumn("_part", F.sum("_gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    part = Window.partitionBy("key", "_part")
+    whole = cut.select("key", "_part", "id", "root", F.count("*").over(part).alias("m"), F.min("root").over(part).alias("_low"), F.max("root").over(part).alias("_high"))
+    return whole.where("_low <> _high").select(F.xxhash64("key", "_part").alias("key"), "id", "root", "m")
 
 
 def sketch_buckets(copies: DataFrame) -> DataFrame:
-    """(key, id, m): the members of all buckets of several documents; `copies` is (id, keys)."""
-    entries = copies.select("id", F.explode("keys").alias("key"))
+    """(key, id, n, m): the members of all buckets of several documents; `copies` is (id, n, keys)."""
+    entries = copies.select("id", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
     return entries.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
 
 
@@ -458,10 +460,9 @@ def residual_pairs(members: DataFrame, short: DataFrame, roots: DataFrame, words
     def with_root(rows):
         return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    split = stored(split_buckets(with_root(members.select("key", "id"))))
+    split = stored(split_buckets(with_root(members.select("key", "id", "n"))))
     exact = stored(with_root(split.where(f"m > {FEW}").select("id").union(short).distinct()))
-    few = split.where(f"m <= {FEW}").join(words.select("id", "n", "bins"), "id").select("key", "id", "root", "m", "n", "bins")
-    pairs = stored(bucket_pairs(few).union(bucket_pairs(rare_runs(exact, words).select(*few.columns))).distinct())
+    pairs = stored(bucket_pairs(split.where(f"m <= {FEW}").union(rare_runs(exact, words)), words))
     forget(split, exact)
     return pairs
 
