@@ -129,8 +129,8 @@ def uniform(*columns) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(SEED)), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def mixed(df: DataFrame, given: dict[str, dict] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
-    """Every row of `df` with `_tokens`, `_topic`, `_weight` (fitted over present share), `_probability`, `_selected`
+def mixed(df: DataFrame, given: dict[str, dict] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Every row of `df`, its `columns` (all if not given) in the struct `_row`, with the cell, `_tokens`, `_topic`, `_weight` (fitted over present share), `_probability`, `_selected`
     and `_margin_error`, by how much the worst margin misses its target.
 
     `given` has target shares by margin and value; a margin not given is tempered. `topic_of` is any expression over
@@ -150,17 +150,18 @@ def mixed(df: DataFrame, given: dict[str, dict] | None = None, keep: float = KEE
     total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 1))
     fitted = stored(calibrated(state, keep).select(*[F.col(x).alias(f"_{x}") for x in MARGINS], (F.col("weight") * total / F.col("tokens")).alias("_weight"), F.col("ratio").alias("_probability")))
     forget(cells, state, *targets.values())
-    joined = df.select("*", *own).join(F.broadcast(fitted) if few else fitted, ["_source", "_lang", "_topic"])
+    row = F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("_row")
     chance = uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("(none)")))
-    return joined.select("*", F.lit(error).alias("_margin_error"), (chance < F.col("_probability")).alias("_selected"))
+    joined = df.select(row, chance.alias("_chance"), *own).join(F.broadcast(fitted) if few else fitted, ["_source", "_lang", "_topic"])
+    return joined.select("*", F.lit(error).alias("_margin_error"), (F.col("_chance") < F.col("_probability")).alias("_selected"))
 
 
 def mix_documents(df: DataFrame, **options) -> DataFrame:
     """One row per document: cell, tokens, weight, probability, whether it is in the sample, and the margin error."""
-    rows = mixed(df.select("doc_id", "text", "source", "lang"), **options)
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_selected").alias("selected"), F.col("_margin_error").alias("margin_error"))
+    rows = mixed(df.select("doc_id", "text", "source", "lang"), columns=["doc_id"], **options)
+    return rows.select("_row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_selected").alias("selected"), F.col("_margin_error").alias("margin_error"))
 
 
 def sample_mixture(df: DataFrame, **options) -> DataFrame:
     """The sampled rows of `df` with the columns of `df`."""
-    return mixed(df, **options).where("_selected").select(*df.columns)
+    return mixed(df, **options).where("_selected").select("_row.*")
