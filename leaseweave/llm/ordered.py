@@ -37,8 +37,9 @@ from .common import arrow_schema, bounded_batches, ddl, forget, map_columns, par
 
 WORDS, SKETCHES, MINIMA, SIMILAR = 5, 64, 2, 0.8
 #: Texts of up to so many words are found without fail; members of a bucket whose pairs are all looked at; members of a
-#: block; bins of the word counts. The last three don't change the classes but for links that no sketch stands for.
-SHORT, FEW, BLOCK, BINS = 64, 256, 1024, 256
+#: block; bins of the word counts; buckets of a text in which it is told whether a pair met before. The last four don't
+#: change the classes but for links that no sketch stands for.
+SHORT, FEW, BLOCK, BINS, FIRST = 64, 256, 1024, 1024, 16
 #: Ids broadcast to the documents at most (12 MB); more are joined by key.
 BROADCAST_IDS = 1_000_000
 NO_ID = -(1 << 63)
@@ -328,13 +329,25 @@ def alike(n: np.ndarray, bins: np.ndarray, i: int, js: np.ndarray) -> np.ndarray
     return js[np.maximum(more, more - step.sum(axis=1)) <= (1 - SIMILAR) * np.maximum(n[js], n[i]) + 1e-9]
 
 
-def group_pairs(root: np.ndarray, part: np.ndarray, n: np.ndarray, bins: np.ndarray):
-    """Yield the index pairs of a group that are in different components and `alike`; a group of two blocks has pairs
-    across them only."""
+def lower_keys(key: int, keys: tuple) -> np.ndarray:
+    """For each member of the bucket `key`, as bits, those of its `keys` below it that another member has too."""
+    owner = np.repeat(np.arange(len(keys)), [bisect_left(k, key) for k in keys])
+    flat = np.array([x for k in keys for x in k[: bisect_left(k, key)]], np.int64)
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared_ = np.flatnonzero(count > 1)
+    held = np.zeros((len(keys), shared_.size), bool)
+    often = count[code] > 1
+    held[owner[often], np.searchsorted(shared_, code[often])] = True
+    return np.packbits(held, axis=1)
+
+
+def group_pairs(root: np.ndarray, part: np.ndarray, n: np.ndarray, bins: np.ndarray, lower: np.ndarray):
+    """Yield the index pairs of a group that are in different components, `alike` and meet in no bucket of a lower key;
+    a group of two blocks has pairs across them only."""
     across = bool((part != part[0]).any())
     for i in range(root.size - 1):
         js = np.arange(i + 1, root.size)
-        js = js[(root[js] != root[i]) & ((part[js] != part[i]) | (not across))]
+        js = js[(root[js] != root[i]) & ((part[js] != part[i]) | (not across)) & ~(lower[js] & lower[i]).any(axis=1)]
         if js.size:
             for j in alike(n, bins, i, js).tolist():
                 yield i, j
@@ -363,12 +376,15 @@ def blocked(entries: DataFrame) -> DataFrame:
 def bucket_pairs(entries: DataFrame, words: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of one bucket in different components, as far as `alike` allows, each once.
 
-    `entries` is (key, id, root, m), m the members of the bucket. All groups of rows are of bounded size.
+    `entries` is (key, id, root, m), m the members of the bucket, a stored table. All groups of rows are of bounded
+    size. A row carries its text's FIRST lowest keys: a pair that shares one of these is left to that bucket, so texts
+    that meet in many buckets are compared in one.
     """
+    firsts = entries.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("keys"))
     columns = ("key", "x", "y", "part", "id", "root")
     zero = F.lit(0).cast("long")
     few = entries.where(f"m <= {BLOCK}").select("key", zero.alias("x"), zero.alias("y"), zero.alias("part"), "id", "root")
-    rows = few.union(blocked(entries.where(f"m > {BLOCK}")).select(*columns)).join(words.select("id", "n", "bins"), "id")
+    rows = few.union(blocked(entries.where(f"m > {BLOCK}")).select(*columns)).join(words.select("id", "n", "bins").join(firsts, "id"), "id")
     rows = rows.repartition(partitions(rows.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
     bounded_batches(rows.sparkSession)
     schema = [("a", "long"), ("b", "long")]
@@ -377,20 +393,20 @@ def bucket_pairs(entries: DataFrame, words: DataFrame) -> DataFrame:
         def each():
             for batch in batches:
                 names = batch.to_pydict()
-                yield from zip(*(names[k] for k in (*columns, "n", "bins")))
+                yield from zip(*(names[k] for k in (*columns, "n", "bins", "keys")))
 
-        for _, group in groupby(each(), lambda r: r[:3]):
-            *_, part, ids, root, n, bins = zip(*group)
+        for (key, _, _), group in groupby(each(), lambda r: r[:3]):
+            *_, part, ids, root, n, bins, keys = zip(*group)
             if len(set(root)) < 2:
                 continue
             part, ids, root, n = (np.array(v, np.int64) for v in (part, ids, root, n))
             bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS).astype(np.int16)
-            pairs = list(group_pairs(root, part, n, bins))
+            pairs = list(group_pairs(root, part, n, bins, lower_keys(key, keys)))
             if pairs:
                 i, j = np.array(pairs).T
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}, schema=arrow_schema(schema))
 
-    return rows.select(*columns, "n", "bins").mapInArrow(run, ddl(schema)).distinct()
+    return rows.select(*columns, "n", "bins", "keys").mapInArrow(run, ddl(schema)).distinct()
 
 
 def must_look_up(n: int, width: int) -> int:
@@ -462,8 +478,9 @@ def residual_pairs(members: DataFrame, short: DataFrame, roots: DataFrame, words
 
     split = stored(split_buckets(with_root(members.select("key", "id", "n"))))
     exact = stored(with_root(split.where(f"m > {FEW}").select("id").union(short).distinct()))
-    pairs = stored(bucket_pairs(split.where(f"m <= {FEW}").union(rare_runs(exact, words)), words))
-    forget(split, exact)
+    entries = stored(split.where(f"m <= {FEW}").union(rare_runs(exact, words)))
+    pairs = stored(bucket_pairs(entries, words))
+    forget(split, exact, entries)
     return pairs
 
 
