@@ -380,11 +380,13 @@ def bucket_pairs(entries: DataFrame, words: DataFrame) -> DataFrame:
     size. A row carries its text's FIRST lowest keys: a pair that shares one of these is left to that bucket, so texts
     that meet in many buckets are compared in one.
     """
-    firsts = entries.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("keys"))
     columns = ("key", "x", "y", "part", "id", "root")
     zero = F.lit(0).cast("long")
     few = entries.where(f"m <= {BLOCK}").select("key", zero.alias("x"), zero.alias("y"), zero.alias("part"), "id", "root")
-    rows = few.union(blocked(entries.where(f"m > {BLOCK}")).select(*columns)).join(words.select("id", "n", "bins").join(firsts, "id"), "id")
+    rows = few.union(blocked(entries.where(f"m > {BLOCK}")).select(*columns))
+    nth = F.dense_rank().over(Window.partitionBy("id").orderBy("key"))
+    firsts = F.sort_array(F.collect_set(F.when(F.col("_nth") <= FIRST, F.col("key"))).over(Window.partitionBy("id")))
+    rows = rows.withColumn("_nth", nth).withColumn("keys", firsts).join(words.select("id", "n", "bins"), "id")
     rows = rows.repartition(partitions(rows.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
     bounded_batches(rows.sparkSession)
     schema = [("a", "long"), ("b", "long")]
@@ -447,14 +449,16 @@ def split_buckets(entries: DataFrame) -> DataFrame:
     """The rows (key, id, root) of the buckets that hold several components, with the bucket's members m.
 
     A bucket is cut where, by ascending number of words n, the next text is too long to be similar: no two texts across
-    such a gap are. The parts are buckets of their own.
+    such a gap are. The parts are buckets of their own; a part's key comes from the set of its members, so parts of equal
+    members have one key.
     """
     by_size = Window.partitionBy("key").orderBy("n")
     gap = F.coalesce(F.lag("n").over(by_size) < SIMILAR * F.col("n") - 1e-9, F.lit(False)).cast("int")
     cut = entries.select("key", "id", "root", "n", gap.alias("_gap")).withColumn("_part", F.sum("_gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     part = Window.partitionBy("key", "_part")
-    whole = cut.select("key", "_part", "id", "root", F.count("*").over(part).alias("m"), F.min("root").over(part).alias("_low"), F.max("root").over(part).alias("_high"))
-    return whole.where("_low <> _high").select(F.xxhash64("key", "_part").alias("key"), "id", "root", "m")
+    members = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).over(part).alias(f"_set{seed}") for seed in (1, 2)]
+    whole = cut.select("id", "root", F.count("*").over(part).alias("m"), F.min("root").over(part).alias("_low"), F.max("root").over(part).alias("_high"), *members)
+    return whole.where("_low <> _high").select(F.xxhash64("_set1", "_set2", "m").alias("key"), "id", "root", "m")
 
 
 def sketch_buckets(copies: DataFrame) -> DataFrame:
@@ -478,7 +482,7 @@ def residual_pairs(members: DataFrame, short: DataFrame, roots: DataFrame, words
 
     split = stored(split_buckets(with_root(members.select("key", "id", "n"))))
     exact = stored(with_root(split.where(f"m > {FEW}").select("id").union(short).distinct()))
-    entries = stored(split.where(f"m <= {FEW}").union(rare_runs(exact, words)))
+    entries = stored(split.where(f"m <= {FEW}").union(rare_runs(exact, words)).distinct())
     pairs = stored(bucket_pairs(entries, words))
     forget(split, exact, entries)
     return pairs
