@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, licenses, mixing, ordered, pieces, quality, secrets, simhash, suffixes, tiff
+from . import languages, licenses, mixing, ordered, periodic, pieces, quality, secrets, simhash, suffixes, tiff, variants
 from .common import documents
 
 
@@ -58,8 +58,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
 
-def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(documents(spark, sf_dir))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.repeat_runs(periodic.with_planted_runs(documents(spark, sf_dir))))
 
 
 def op2_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
