@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 ARROW_TYPES = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
     "binary": pa.binary(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()),
-    "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
+    "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary()),
 }
 #: Rows and bytes of an Arrow batch: long texts stay small in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, licenses, mixing, ordered, periodic, pieces, quality, secrets, simhash, suffixes, tiff, variants
+from . import attention, languages, licenses, mixing, ordered, periodic, pieces, quality, secrets, simhash, suffixes, tiff, variants
 from .common import documents
 
 
@@ -66,6 +66,11 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.repeat_runs(periodic.with_planted_runs(documents(spark, sf_dir))))
 
 
+def op13_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return attention.score(docs, attention.learn(docs, vocabulary("byte_bpe_multi_50k.tiktoken")))
+
+
 def op2_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op2: the columns that SQL can express."""
     return op2_simhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")

@@ -1,6 +1,7 @@
 """Spelling variants, periodic runs and the language model against plain loops."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from leaseweave.llm import periodic, variants
+from leaseweave.llm import attention, periodic, variants
 
 SCHEMA = "doc_id long, text string, word string, n long, root string, form string, n_near long"
 
@@ -191,3 +192,109 @@ def plain_long(long):
     """i * i modulo a prime has that period from both sides; the text twice begins anew in the middle."""
     words = (long + " " + long).split()
     return [r for r in ((0, 300_000, 99_991), (300_000, 300_000, 99_991)) if all(words[i] == words[i + r[2]] for i in range(r[0], r[0] + r[1] - r[2]))]
+
+
+# ---- language model
+
+
+def vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def some_weights(seed=3, n=1100, dtype=np.float64):
+    rng = np.random.default_rng(seed)
+    classes = attention.Classes(np.sort(rng.integers(0, 900, n))[::-1].copy())
+    return {k: x.astype(dtype) + rng.standard_normal(x.shape).astype(dtype) * 0.1 for k, x in attention.first_weights(classes).items()}, classes
+
+
+def plain_score(w, classes, ids):
+    """log10 probability by one subword after the other, each with the window it has."""
+    total = 0.0
+    tokens = [attention.START, *classes.of[ids].tolist()]
+    for t, goal in enumerate(classes.of[ids].tolist()):
+        first = max(0, t - t % attention.STEP - attention.STEP)  # a window begins STEP places before those it scores
+        e = [w["embed"][x] for x in tokens[first : t + 1]]
+        q = e[-1] @ w["query"]
+        s = np.array([q @ (x @ w["key"]) / np.sqrt(attention.WIDTH) + w["near"][len(e) - 1 - i] for i, x in enumerate(e)])
+        a = np.exp(s) / np.exp(s).sum()
+        h = e[-1] + sum(p * (x @ w["value"]) for p, x in zip(a, e)) @ w["mix"]
+        g = h + np.maximum(h @ w["up"] + w["up0"], 0) @ w["down"]
+        group = classes.group[goal]
+        low, high = classes.edges[group], classes.edges[group + 1]
+        for z, at in ((g @ w["group"] + w["group0"], group), ((g @ w["out"] + w["out0"])[low:high], goal - low)):
+            total += (z[at] - np.log(np.exp(z).sum())) / np.log(10)
+    return total + classes.within[ids].sum()
+
+
+def test_windows_score_each_subword_once():
+    rng = np.random.default_rng(1)
+    w, classes = some_weights()
+    texts = [rng.integers(0, 1100, n) for n in (1, 2, 15, 16, 17, 31, 32, 33, 200)]
+    got = attention.Scorer({k: x.astype(np.float32) for k, x in w.items()}, classes).scores(texts)
+    assert np.allclose(got, [plain_score(w, classes, ids) for ids in texts], rtol=1e-4)
+    # All continuations of a text together have the probability of the text.
+    start = texts[4]
+    every = attention.Scorer({k: x.astype(np.float32) for k, x in w.items()}, classes).scores([np.append(start, i) for i in range(1100)])
+    assert abs((10 ** (every - plain_score(w, classes, start))).sum() - 1) < 1e-3
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(2)
+    w, classes = some_weights()
+    cut = [attention.windows(rng.integers(0, 1100, n), classes) for n in (5, 40)]
+    slots = np.concatenate([np.concatenate([r[:-1], r[1:]], 1) for r, _ in cut])
+    goal = np.concatenate([g for _, g in cut])
+    loss, d = attention.gradients(w, classes, slots, goal)
+    assert loss > 0
+    for name, x in w.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in x.shape) if name != "embed" else (int(rng.choice(np.unique(slots[slots < attention.PAD]))), int(rng.integers(attention.WIDTH)))
+            old = x[at]
+            x[at] = old + 1e-5
+            up = attention.gradients(w, classes, slots, goal)[0]
+            x[at] = old - 1e-5
+            down = attention.gradients(w, classes, slots, goal)[0]
+            x[at] = old
+            assert abs((up - down) / 2e-5 - d[name][at]) < 1e-6 + 1e-3 * abs(d[name][at]), name
+
+
+def plain_base(rows):
+    words = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+    train = [t for k, t in rows if k is None or zlib.crc32(str(k).encode()) % 10]
+    c = Counter(w for t in train for w in words(t))
+    total, distinct = sum(c.values()) + len(train), len(c) + 1
+    log = lambda n: math.log10((n + 0.1) / (total + 0.1 * (distinct + 1)))
+    return {k: (len(words(t)) + 1, sum(w in c for w in words(t)) + 1, total, sum(log(c[w]) for w in words(t)) + log(len(train))) for k, t in rows}
+
+
+def test_model_beats_word_counts_on_held_out_texts(spark):
+    """Sentences of a grammar that word counts can't see; the counts equal plain loops, with rare words joined."""
+    rng = random.Random(4)
+    nouns, verbs = ["dog", "cat", "house", "river", "teacher"], ["sees", "finds", "likes", "follows"]
+    sentence = lambda: f"The {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(nouns)} and it Never {rng.choice(verbs)} item{rng.randrange(4000)}."
+    texts = [" ".join(sentence() for _ in range(rng.randint(1, 12))) for _ in range(700)] + ["", None, "\x85 x" + "y" * 5000]
+    df = docs(spark, texts)
+    model = attention.learn(df, vocabulary(), most_sent=40)
+    assert 0 < len(model.common) <= 40 and model.losses[-1] < model.losses[0]
+    got = {r["doc_id"]: r for r in attention.score(df, model).collect()}
+    want = plain_base(list(enumerate(texts)))
+    for k, (n, known, total, base) in want.items():
+        r = got[k]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total) and abs(r["base_score"] - base) < 1e-9 * abs(base), k
+        assert r["held_out"] == (zlib.crc32(str(k).encode()) % 10 == 0) and r["score"] < 0
+    held = [r for r in got.values() if r["held_out"] and r["n_tokens"] > 1 and r["n_tokens"] < 1000]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) * 0.8
+
+
+def test_model_of_odd_tables(spark):
+    df = docs(spark, ODD, [*range(len(ODD) - 1), None])
+    model = attention.learn(df, vocabulary())
+    out = {r["doc_id"]: r for r in attention.score(df, model).collect()}
+    assert len(out) == len(ODD) and out[9]["score"] == pytest.approx(out[None]["score"]) and out[0]["n_tokens"] == out[2]["n_tokens"] == 1 and out[6]["n_tokens"] == 30_001
+    none = docs(spark, []).where("doc_id < 0")
+    empty = attention.learn(none, vocabulary())
+    assert attention.score(none, empty).count() == 0 and empty.total == 0
+    rest = attention.score(docs(spark, ["a b", "a b"], [1, 1]), empty).collect()
+    assert len(rest) == 2 and rest[0]["n_known"] == 0 and rest[0]["base_score"] == 0 and rest[0]["score"] < -10
