@@ -27,7 +27,7 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     two.add_argument("transactions", help="Parquet table of `prepare`")
     two.add_argument("out")
     two.add_argument("--mode", choices=("anchor", "absolute"), default="anchor")
-    two.add_argument("--trees", type=int, default=20)
+    two.add_argument("--rounds", type=int, default=300, help="trees of a quantile at most; as many are kept as are best on the validation period")
     three = todo.add_parser("predict", help="a fair price near a school")
     for name in ("transactions", "schools", "models", "school"):
         three.add_argument(name)
@@ -47,7 +47,7 @@ def main(given: list[str] | None = None) -> None:
         cfg = EngineConfig(include_unknown=a.include_unknown, new_only=not a.all_contracts, model_start=a.model_start, exclude_gu=tuple(a.exclude_gu))
         print(preprocess.run(spark, a.folder, a.out, cfg, recheck=a.recheck))
     elif a.todo == "train":
-        for kind, r in train.run(spark, spark.read.parquet(a.transactions), a.out, mode=a.mode, trees=a.trees).items():
+        for kind, r in train.run(spark, spark.read.parquet(a.transactions), a.out, mode=a.mode, rounds=a.rounds).items():
             print(kind)
             r["model"]["by_horizon"].show(truncate=False)
     else:

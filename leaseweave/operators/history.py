@@ -1,8 +1,9 @@
 """Leakage-free history: time-range windows strictly before a contract, and the last contract before it.
 
 A window of W days at offset O holds the rows of the same group with t - O - W <= day < t - O, so neither the row
-itself nor others of its day count. A NULL group key is a group. Frames over one key set share a sort, and key sets that
-begin alike share an exchange.
+itself nor others of its day count. A NULL group key is a group. A window at an offset is that of an earlier day, so all
+windows of all offsets and key sets come from one sweep over each group (see `rolling`), and key sets that contain the
+coarsest one share an exchange.
 """
 
 from __future__ import annotations
@@ -10,17 +11,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.scalars import ratio
-
-STATS = {
-    "median": lambda v: F.percentile(v, F.lit(0.5)), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-}
-
+from . import rolling
 
 @dataclass(frozen=True)
 class PastWindow:
@@ -36,49 +37,86 @@ class PastWindow:
     offset: int = 0
     min_count: int = 3
 
-    def columns(self, day: str, keys: Sequence[str] | None = None) -> list[Column]:
-        frame = Window.partitionBy(*(keys or self.keys)).orderBy(day).rangeBetween(-(self.days + self.offset), -(self.offset + 1))
-        counted = F.count(F.lit(1) if self.value is None else F.col(self.value)).over(frame)
-        out = []
-        for stat, name in self.outputs.items():
-            out.append((counted if stat == "count" else F.when(counted >= self.min_count, STATS[stat](F.col(self.value)).over(frame))).alias(name))
-        return out
-
 
 #: Rows of a group of the windows' keys above which its days are cut into slices, so that no task gets a whole district.
 SLICE_ROWS = 1_000_000
 
 
 def measured_slice(df: DataFrame, specs: Sequence[PastWindow], date: str) -> int | None:
-    """Days of a slice: about SLICE_ROWS rows of the largest group of the coarsest keys, and twice what the windows reach
-    back, so that no more than half of the rows are copied. None if no group is that large."""
+    """Days of a slice: about SLICE_ROWS rows of the largest group of the coarsest keys, and what the windows reach back,
+    so that a row is in two or three slices at most. None if no group is that large."""
     keys = min((s.keys for s in specs), key=len)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(F.unix_date(F.col(date))) - F.min(F.unix_date(F.col(date))) + 1).alias("span"))
     largest = sizes.where(F.col("n") > SLICE_ROWS).agg(F.min(F.floor(F.col("span") * SLICE_ROWS / F.col("n")))).first()[0]
-    return None if largest is None else max(int(largest), 2 * max(s.days + s.offset for s in specs))
+    return None if largest is None else max(int(largest), max(s.days + s.offset for s in specs))
+
+
+#: Rows that a sweep takes at once, if no group has more.
+SWEEP_ROWS = 500_000
 
 
 def past_windows(df: DataFrame, specs: Sequence[PastWindow], date: str = "contract_date", slice_days: int | str | None = "auto") -> DataFrame:
-    """`df` with the columns of all `specs`, coarse keys first.
+    """`df` with the columns of all `specs`.
 
     `slice_days` cuts every group into slices of so many days; a row is copied to the later slices whose windows reach
     back to it. Results are the same, and a group of any size becomes many tasks of bounded span. By default the sizes
-    of the groups decide; None cuts nothing.
+    of the groups decide; None cuts nothing. A row without a date has empty windows and is in none.
     """
     specs = sorted(specs, key=lambda s: (len(s.keys), s.keys))
-    names = df.columns
-    day = F.unix_date(F.col(date))
+    names, sweeps = [name for s in specs for name in s.outputs.values()], []
+    while specs:  # one sweep for all key sets that contain the coarsest one
+        together = [s for s in specs if set(specs[0].keys) <= set(s.keys)]
+        sweeps.append(together)
+        specs = [s for s in specs if s not in together]
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    for together in sweeps:
+        df = _sweep(df, together, date, slice_days)
+    return df.select(*columns, *[F.col(f"`{name}`") for name in names])
+
+
+def _sweep(df: DataFrame, specs: Sequence[PastWindow], date: str, slice_days: int | str | None) -> DataFrame:
+    keys, reach = list(specs[0].keys), max(s.days + s.offset for s in specs)
     if slice_days == "auto":
         slice_days = measured_slice(df, specs, date)
+    rows = df.withColumn("_day", F.unix_date(F.col(date)))
     if slice_days is None:
-        rows = df.withColumn("_day", day)
-        return rows.select(*[F.col(f"`{c}`") for c in names], *[c for s in specs for c in s.columns("_day")])
-    reach = max(s.days + s.offset for s in specs)
-    own = F.floor(F.col("_day") / slice_days).cast("int")
-    last = F.floor((F.col("_day") + reach) / slice_days).cast("int")
-    rows = df.withColumn("_day", day).withColumn("_own", own).withColumn("_slice", F.explode(F.when(F.col("_day").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(own, last))))
-    rows = rows.select(*names, "_own", "_slice", *[c for s in specs for c in s.columns("_day", [*s.keys, "_slice"])])
-    return rows.where("_own <=> _slice").drop("_own", "_slice")
+        rows = rows.withColumns({"_own": F.lit(0), "_slice": F.lit(0)})
+    else:
+        own, last = (F.floor(x / slice_days).cast("int") for x in (F.col("_day"), F.col("_day") + reach))
+        later = F.when(F.col("_day").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(own, last))
+        rows = rows.withColumn("_own", own).withColumn("_slice", F.explode(later))
+    rows = rows.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice")
+    added = {name: "long" if stat == "count" else "double" for s in specs for stat, name in s.outputs.items()}
+    out = StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in added.items())).fields])
+    width = len(df.columns)
+
+    def swept(table: pa.Table) -> pa.RecordBatch:
+        own = np.flatnonzero(pc.fill_null(pc.equal(table.column("_own"), table.column("_slice")), True).to_numpy())
+        found = rolling.swept(table, specs, "_day", "_slice", own)
+        kept = table.select(range(width)).take(own) if own.size < table.num_rows else table.select(range(width))
+        for name in added:
+            kept = kept.append_column(name, found[name])
+        return kept.combine_chunks().to_batches()
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= SWEEP_ROWS:  # up to where the last group began, which may go on
+                table = pa.Table.from_batches(held)
+                group = rolling.codes([table.column(k).combine_chunks() for k in (*keys, "_slice")])
+                last = np.flatnonzero(np.diff(group))
+                if last.size:
+                    yield from swept(table.slice(0, int(last[-1]) + 1))
+                    held = table.slice(int(last[-1]) + 1).to_batches()
+                    n = sum(b.num_rows for b in held)
+        if held:
+            yield from swept(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, out)
 
 
 def past_window(df: DataFrame, keys: Sequence[str], value: str | None, window_days: int, stats: Sequence[str] = ("count", "median"), offset_days: int = 0, min_count: int = 3, date: str = "contract_date", prefix: str = "") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Price ranges: baseline, anchored targets, a quantile forest, conformal calibration, metrics."""
+"""Price ranges: baseline, anchored targets, boosted quantiles or a quantile forest, conformal calibration, metrics."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import DEFAULT, EngineConfig
+from .boosting import QuantileBoosting
 from .ranks import exact_quantiles, order_statistics, small
 
 # Price features that are taken relative to the anchor, and categorical features.
@@ -185,16 +186,16 @@ def metrics_rollup(df: DataFrame, prefix: str = "model", by: str = "horizon_days
     return df.groupingSets([[], [F.col(by)]], F.col(by)).agg(*metric_columns(prefix))
 
 
-def train_and_evaluate(df: DataFrame, features: Sequence[str], cfg: EngineConfig = DEFAULT, mode: str = "anchor", **forest) -> dict:
-    """Fit on `train`, calibrate on `calib`, measure on `test`: baseline and forest."""
+def train_and_evaluate(df: DataFrame, features: Sequence[str], cfg: EngineConfig = DEFAULT, mode: str = "anchor", **settings) -> dict:
+    """Grow trees on `train`, as many as are best on `valid`, calibrate on `calib`, measure on `test`: baseline and model."""
     df = df.where(F.col("split").isNotNull())
     train = F.col("split") == "train"
     fallback = fallback_table(df, train)
     df, used = apply_anchor(df, features, fallback, mode)
     df = run_baseline(df, train, cfg).withColumn("_y", F.log("target") - F.col("log_anchor")).cache()
-    model = QuantileForest(used, quantiles=cfg.quantiles, **forest).fit(df.where(train))
+    model = QuantileBoosting(used, quantiles=cfg.quantiles, **settings).fit(df.where(train), df.where("split = 'valid'"))
     done = priced(model, df.where(F.col("split").isin("calib", "test")))
-    out = {"features": used, "forest": model, "fallback": fallback, "mode": mode, "cached": df}
+    out = {"features": used, "boosting": model, "fallback": fallback, "mode": mode, "cached": df}
     for prefix in ("base", "model"):
         adjustment = conformal_adjustment(done.where("split = 'calib'"), prefix, cfg)
         test = apply_conformal(done.where("split = 'test'"), adjustment, prefix)
@@ -202,16 +203,19 @@ def train_and_evaluate(df: DataFrame, features: Sequence[str], cfg: EngineConfig
     return out
 
 
-def priced(model: QuantileForest, df: DataFrame) -> DataFrame:
+def priced(model: QuantileBoosting | QuantileForest, df: DataFrame) -> DataFrame:
     """`df` (with log_anchor) with model_lo, model_mid, model_hi in ascending order."""
     lo, mid, hi = ordered_range(*[F.exp(F.col(f"q_{n}") + F.col("log_anchor")) for n in ("lo", "mid", "hi")])
     return model.predict(df).withColumns({"model_lo": lo, "model_mid": mid, "model_hi": hi}).drop("q_lo", "q_mid", "q_hi")
 
 
-def refit_all(df: DataFrame, features: Sequence[str], cfg: EngineConfig = DEFAULT, mode: str = "anchor", **forest) -> dict:
-    """The model that serves: fitted again on the rows of all splits, to be used with the calibration of the evaluation."""
+def refit_all(df: DataFrame, features: Sequence[str], best: Sequence[int], cfg: EngineConfig = DEFAULT, mode: str = "anchor", **settings) -> dict:
+    """The model that serves: grown again on the rows of all splits, with a tenth more rounds than were best in the
+    evaluation, to be used with its calibration. Where a market has no level of its own that of the last year counts."""
     df = df.where(F.col("split").isNotNull())
-    fallback = fallback_table(df, F.lit(True))
+    last = df.agg(F.max("contract_date")).first()[0]
+    fallback = fallback_table(df, F.col("contract_date") >= F.date_sub(F.lit(last), cfg.lookback_days))
     ready, used = apply_anchor(df, features, fallback, mode)
     ready = ready.withColumn("_y", F.log("target") - F.col("log_anchor"))
-    return {"features": used, "fallback": fallback, "forest": QuantileForest(used, quantiles=cfg.quantiles, **forest).fit(ready)}
+    model = QuantileBoosting(used, quantiles=cfg.quantiles, **settings | {"rounds": tuple(n * 11 // 10 for n in best)}).fit(ready)
+    return {"features": used, "fallback": fallback, "boosting": model}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions.scalars import ratio
 from ..operators import datasets, model
+from ..operators.boosting import QuantileBoosting
 from ..sources import sinks
 
 
@@ -20,24 +21,24 @@ def horizon_tables(spark: SparkSession, transactions: DataFrame, out: str, cfg:
     return {kind: spark.read.parquet(f"{out}/horizon_{kind}") for kind in datasets.KINDS}
 
 
-def run(spark: SparkSession, transactions: DataFrame, out: str, cfg: EngineConfig = DEFAULT, mode: str = "anchor", **forest) -> dict:
+def run(spark: SparkSession, transactions: DataFrame, out: str, cfg: EngineConfig = DEFAULT, mode: str = "anchor", **settings) -> dict:
     """Train and evaluate both kinds, then fit the serving model on all rows. `out` gets metrics, importances, test
-    predictions, and per kind a model that `load` reads: forest, category levels, fallback and calibration."""
+    predictions, and per kind a model that `load` reads: trees, category levels, fallback and calibration."""
     results = {}
     for kind, df in horizon_tables(spark, transactions, out, cfg).items():
         features = datasets.horizon_features(kind)
-        r = results[kind] = model.train_and_evaluate(df, features, cfg, mode, **forest)
+        r = results[kind] = model.train_and_evaluate(df, features, cfg, mode, **settings)
         for prefix in ("base", "model"):
             sinks.write_csv(r[prefix]["by_horizon"], f"{out}/{kind}_{prefix}_metrics_by_horizon")
             sinks.write_csv(r[prefix]["by_gu"], f"{out}/{kind}_{prefix}_metrics_by_gu")
         sinks.write_parquet(r["model"]["test"], f"{out}/{kind}_test_predictions")
-        sinks.write_csv(r["forest"].importances(spark), f"{out}/{kind}_feature_importance")
-        final, place = model.refit_all(df, features, cfg, mode, **forest), f"{out}/{kind}_model"
-        final["forest"].save(place)
+        sinks.write_csv(r["boosting"].importances(spark), f"{out}/{kind}_feature_importance")
+        final, place = model.refit_all(df, features, r["boosting"].best, cfg, mode, **settings), f"{out}/{kind}_model"
+        final["boosting"].save(spark, place)
         sinks.write_parquet(final["fallback"], f"{place}/fallback")
         sinks.write_parquet(r["model"]["adjustment"], f"{place}/calibration")
         sinks.write_parquet(model.category_levels(df.where("split IS NOT NULL"), [f for f in model.CATEGORICAL if f in df.columns]), f"{place}/levels")
-        facts = {"kind": kind, "features": features, "used": final["features"], "mode": mode, "horizons": cfg.horizons, "reporting_lag": cfg.reporting_lag, "coverage": cfg.target_coverage}
+        facts = {"kind": kind, "features": features, "used": final["features"], "mode": mode, "horizons": cfg.horizons, "reporting_lag": cfg.reporting_lag, "coverage": cfg.target_coverage, "best_rounds": r["boosting"].best}
         sinks.write_json(spark, facts, f"{place}/metadata")
         sinks.write_json(spark, {"kind": kind, "report": sinks.text_report(r["model"]["by_horizon"])}, f"{out}/{kind}_training_report")
         r["cached"].unpersist()
@@ -47,7 +48,7 @@ def run(spark: SparkSession, transactions: DataFrame, out: str, cfg: EngineConfi
 def load(spark: SparkSession, place: str) -> dict:
     """A model that `run` wrote."""
     facts = json.loads("\n".join(r["value"] for r in spark.read.text(f"{place}/metadata", wholetext=True).collect()))
-    return facts | {"forest": model.QuantileForest.load(spark, place), "fallback": spark.read.parquet(f"{place}/fallback"), "calibration": spark.read.parquet(f"{place}/calibration")}
+    return facts | {"boosting": QuantileBoosting.load(spark, place), "fallback": spark.read.parquet(f"{place}/fallback"), "calibration": spark.read.parquet(f"{place}/calibration")}
 
 
 def price_rows(loaded: dict):
@@ -56,7 +57,7 @@ def price_rows(loaded: dict):
         if loaded["kind"] == "monthly" and "deposit_vs_dong_median" not in rows.columns:
             rows = rows.withColumn("deposit_vs_dong_median", ratio(F.col("deposit_10k"), F.col("dong_deposit_median_90d")))
         rows, _ = model.apply_anchor(rows, loaded["features"], loaded["fallback"], loaded["mode"])
-        done = model.apply_conformal(model.priced(loaded["forest"], rows), loaded["calibration"], "model")
+        done = model.apply_conformal(model.priced(loaded["boosting"], rows), loaded["calibration"], "model")
         return done.select(F.col("model_lo").alias("lo"), F.col("model_mid").alias("mid"), F.col("model_hi").alias("hi"), "weight")
 
     return priced

@@ -183,7 +183,7 @@ def test_training_saves_a_model_that_serves(spark, tmp_path):
     df = spark.createDataFrame(rows, schema).withColumn("area_bin", S.area_bin(F.col("area_m2")))
     df = features.add_floor_features(features.add_date_features(df)).withColumns({"price_10k": S.price(F.col("rent_type"), F.col("deposit_10k"), F.col("monthly_rent_10k")), "building_age": F.lit(20), "deposit_per_m2": F.col("deposit_10k") / F.col("area_m2")})
     cfg = EngineConfig(horizons=(0, 60))
-    out = train.run(spark, df, str(tmp_path), cfg, trees=3, depth=3)
+    out = train.run(spark, df, str(tmp_path), cfg, rounds=4, depth=3, min_rows=20, rate=0.3)
     assert set(out) == {"jeonse", "monthly"} and out["jeonse"]["model"]["by_horizon"].count() == 3
     loaded = train.load(spark, f"{tmp_path}/monthly_model")
     assert loaded["kind"] == "monthly" and spark.read.parquet(f"{tmp_path}/monthly_model/levels").where("feature = 'gu' AND level = 0").first()["value"] == "동작구"
