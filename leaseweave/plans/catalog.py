@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig
+from ..config import JEONSE, MONTHLY, EngineConfig
 from ..functions import scalars as S
 from ..functions.geo import haversine
-from ..operators import cleaning, datasets, features, history, model, quality, serving
+from ..operators import cleaning, datasets, features, history, model, quality, requests, serving
+from ..operators.boosting import QuantileBoosting
 from ..operators.history import PastWindow, past_windows, previous_event
 from ..sources import raw, tables as places
 from .tables import AREA_SQL, COMP, CONTRACTS_SQL, DONG, GU, PROPERTY, SHOWN, close, contracts, history_sql, shown, sql_close, sql_over, sql_ratio, sql_shown, sql_stat, table
@@ -773,3 +774,94 @@ def quantile_forest(spark, d):
     df = _horizon(spark, d, cfg).where("target > 0 AND split IN ('train', 'test')").withColumn("_y", F.log("target"))
     fitted = model.QuantileForest(["gu", "housing_category", "area_m2", "dong_price_median_90d", "property_last_price"], trees=8, depth=5).fit(df.where("split = 'train'"))
     return fitted.predict(df.where("split = 'test'")).select("tx_id", "target", *[F.exp(f"q_{n}").alias(n) for n in ("lo", "mid", "hi")])
+
+
+@query()
+def quantile_boosting(spark, d):
+    """Ranges of boosted quantiles on the nearest horizon: grown on the first years as long as the next half year gains by
+    it, shown for the last."""
+    cfg = EngineConfig(**{**{f: getattr(CFG, f) for f in CFG.__dataclass_fields__}, "horizons": (0,)})
+    df = _horizon(spark, d, cfg).where("target > 0 AND split IN ('train', 'valid', 'test')").withColumn("_y", F.log("target"))
+    used = ["gu", "housing_category", "area_m2", "dong_price_median_90d", "property_last_price"]
+    fitted = QuantileBoosting(used, rounds=6, depth=3, rate=0.3).fit(df.where("split = 'train'"), df.where("split = 'valid'"))
+    return fitted.predict(df.where("split = 'test'")).select("tx_id", "target", *[F.exp(f"q_{n}").alias(n) for n in ("lo", "mid", "hi")])
+
+
+# ---- requests: a school for each supplier, asked for on its own day, up to seven months ahead
+
+_ROOMS = ((0, 25), (25, 200), (0, 1000))
+_HOMES_SQL = f"""{CONTRACTS_SQL}, {_POINTS_SQL},
+ leases AS (SELECT tx.* REPLACE (CASE WHEN rent_type = 'F' THEN '전세' ELSE '월세' END AS rent_type), lat, lon, CAST(id % 20 AS DOUBLE) AS floor, 1950 + id % 50 AS built_year FROM tx JOIN pts ON property_id = CAST(id AS VARCHAR)),
+ req AS (SELECT s_suppkey AS request_id, 37.4 + (s_suppkey * 37 % 317) * 0.0005 AS rlat, 126.8 + (s_suppkey * 53 % 211) * 0.0007 AS rlon, CASE WHEN s_suppkey % 2 = 0 THEN '전세' ELSE '월세' END AS kind,
+  CASE s_suppkey % 3 WHEN 1 THEN 25 ELSE 0 END AS low, CASE s_suppkey % 3 WHEN 0 THEN 25 WHEN 1 THEN 200 ELSE 1000 END AS high, DATE '2000-01-01' + CAST(s_suppkey % 300 AS INT) AS asked_on,
+  CAST(DATE '2000-01-01' + CAST(s_suppkey % 300 AS INT) + to_months(CAST(s_suppkey % 8 AS INT)) AS DATE) AS date, CASE WHEN s_suppkey % 4 = 1 THEN 1500.0 END AS asked, CASE WHEN s_suppkey % 5 > 0 THEN 400.0 * (s_suppkey % 9 + 1) END AS listing FROM supplier),
+ near AS (SELECT * FROM (SELECT *, {_HAVERSINE_SQL.format(a='', b='r')} AS dist_m FROM leases JOIN req ON rent_type = kind AND area_m2 >= low AND area_m2 < high AND housing_category IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')) WHERE dist_m <= 2000),
+ rad AS (SELECT request_id, CASE WHEN count(*) FILTER (WHERE nr <= 1000) >= 30 THEN 1000 WHEN count(*) FILTER (WHERE nr <= 1500) >= 30 THEN 1500 ELSE 2000 END AS radius_m FROM (SELECT request_id, property_id, min(dist_m) FILTER (WHERE contract_date >= asked_on - 365) AS nr FROM near GROUP BY ALL) GROUP BY ALL),
+ cand AS (SELECT request_id, property_id, radius_m, kind, asked_on, date, asked, listing, quantile_cont(area_m2, 0.5) AS area_m2, round_even(quantile_cont(floor, 0.5), 0) AS floor, greatest(1, count(*) FILTER (WHERE contract_date >= asked_on - 730)) AS weight,
+  arg_min(dist_m, {{'d': d, 't': tx_id}}) AS dist_m, arg_max({{'gu': gu, 'dong': dong, 'cat': housing_category, 'built': built_year}}, {{'d': d, 't': tx_id}}) AS f FROM near JOIN rad USING (request_id) WHERE dist_m <= radius_m GROUP BY ALL HAVING max(contract_date) >= asked_on - 365),
+ dep AS (SELECT request_id, quantile_cont(l.deposit_10k, 0.5) AS usual FROM leases l JOIN cand USING (property_id) WHERE l.rent_type = '월세' AND kind = '월세' AND asked IS NULL AND l.contract_date >= asked_on - 365 GROUP BY ALL),
+ scn AS (SELECT c.*, CASE WHEN kind = '월세' THEN coalesce(asked, usual) END AS deposit FROM cand c LEFT JOIN dep USING (request_id))"""
+
+
+def _homes(spark, d):
+    p = _points(spark, d).select(F.col("id").cast("string").alias("property_id"), "lat", "lon")
+    k = F.col("property_id").cast("long")
+    kind = F.when(F.col("rent_type") == "F", JEONSE).otherwise(MONTHLY)
+    return contracts(spark, d).join(p, "property_id").withColumns({"rent_type": kind, "floor": (k % 20).cast("double"), "built_year": 1950 + k % 50})
+
+
+def _requests(spark, d):
+    k = F.col("s_suppkey")
+    room = F.get(F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in _ROOMS]), (k % 3).cast("int"))
+    asof = F.date_add(F.lit("2000-01-01").cast("date"), (k % 300).cast("int"))
+    return table(spark, d, "supplier").select(
+        k.alias("request_id"), (37.4 + (k * 37 % 317) * 0.0005).alias("lat"), (126.8 + (k * 53 % 211) * 0.0007).alias("lon"), F.when(k % 2 == 0, JEONSE).otherwise(MONTHLY).alias("rent_type"),
+        room["low"].alias("low"), room["high"].alias("high"), F.lit(["BUILDING", "MACHINERY", "HOUSEHOLD"]).alias("categories"), asof.alias("asof"), F.add_months(asof, (k % 8).cast("int")).alias("contract_date"),
+        F.when(k % 4 == 1, 1500.0).alias("deposit_10k"), F.when(k % 5 > 0, 400.0 * (k % 9 + 1)).alias("listing_price"))
+
+
+_FACTS = ("gu", "dong", "housing_category", "built_year")
+
+
+@query(f"WITH {_HOMES_SQL} SELECT request_id, property_id, radius_m, area_m2, floor, weight, {sql_close('dist_m', 2)} AS dist_m, f.gu AS gu, f.built AS built_year, deposit AS deposit_10k FROM scn")
+def request_candidates(spark, d):
+    """Buildings of all requests, each within its own radius, with the deposit to reckon with."""
+    leases = _homes(spark, d)
+    near = requests.near_contracts(leases, _requests(spark, d), CFG)
+    found = requests.with_deposits(requests.candidates(near, CFG, _FACTS), leases)
+    return found.select("request_id", "property_id", "radius_m", "area_m2", "floor", "weight", close(F.col("dist_m"), 2).alias("dist_m"), "gu", "built_year", "deposit_10k")
+
+
+def _request_prices(rows):
+    """A plain pricing rule, by market, horizon and age."""
+    mid = F.coalesce("dong_price_median_90d", "gu_price_median_90d", F.lit(100.0)) * (1 + F.col("horizon_days") / 2000)
+    return rows.withColumns({"lo": mid * (0.8 + F.coalesce("building_age", F.lit(0)) / 1000), "mid": mid, "hi": mid * (1.2 + F.col("nearest_horizon") / 1000)})
+
+
+_POOLS_SQL = f"""{_HOMES_SQL}, numbered AS (SELECT *, row_number() OVER (ORDER BY request_id, property_id) AS k FROM scn),
+ both_ AS (SELECT tx_id, d, gu, dong, rent_type, housing_category, area_bin, property_id, price_10k, deposit_10k, CAST(NULL AS BIGINT) AS k FROM leases
+  UNION ALL SELECT -1 - k, datediff('day', DATE '1970-01-01', asked_on), f.gu, f.dong, kind, f.cat, {AREA_SQL.format(a='area_m2')}, property_id, NULL, NULL, k FROM numbered),
+ known AS (SELECT k, coalesce(dong_price_median_90d, gu_price_median_90d, 100.0) AS level FROM ({history_sql(30, 'both_')}) WHERE k IS NOT NULL),
+ two AS (SELECT numbered.*, later, level, CASE WHEN later THEN date - asked_on ELSE 0 END AS ahead, CASE WHEN later THEN date ELSE asked_on END AS on_day FROM known JOIN numbered USING (k), (VALUES (true), (false)) v(later)),
+ mids AS (SELECT *, level * (1 + least(ahead, 180) / 2000) AS mid, (SELECT h FROM (SELECT unnest([0, 30, 60, 90, 120, 150, 180]) AS h) ORDER BY abs(h - ahead), h LIMIT 1) AS nearest FROM two),
+ pool AS (SELECT request_id, later, mid, mid * (0.8 + CASE WHEN year(on_day) >= f.built THEN year(on_day) - f.built ELSE 0 END / 1000) AS lo, mid * (1.2 + nearest / 1000) AS hi, CAST(weight AS DOUBLE) AS weight, radius_m, deposit, listing, ahead FROM mids)"""
+_BELOW_SQL = """SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.5 * abs(z) / sqrt(2)) AS t FROM (SELECT *, ln(price / mid) / nullif(width, 0) AS z FROM (SELECT *, CASE WHEN price < mid THEN ln(mid / lo) ELSE ln(hi / mid) END / 1.2815515655446004 AS width FROM ({rows})))"""
+_SHARE_SQL = f"sum(weight * CASE WHEN width > 0 THEN {_cdf_sql()} ELSE CAST(price >= mid AS DOUBLE) END) / sum(weight)"
+_ANSWERS_SQL = f"""WITH RECURSIVE {_POOLS_SQL},
+ bis AS (SELECT request_id, later, q, ln(min(lo)) - 3 * greatest(1.0, ln(max(hi)) - ln(min(lo))) AS a, ln(max(hi)) + 3 * greatest(1.0, ln(max(hi)) - ln(min(lo))) AS b, 0 AS i FROM pool, (VALUES (CAST(0.1 AS DOUBLE)), (0.5), (0.9)) v(q) WHERE later OR q = 0.5 GROUP BY request_id, later, q
+  UNION ALL SELECT request_id, later, q, CASE WHEN share <= q THEN m ELSE a END, CASE WHEN share <= q THEN b ELSE m END, i + 1 FROM (SELECT request_id, later, q, a, b, i, m, {_SHARE_SQL} AS share
+   FROM ({_BELOW_SQL.format(rows='SELECT bis.*, (a + b) / 2 AS m, exp((a + b) / 2) AS price, lo, mid, hi, weight FROM bis JOIN pool USING (request_id, later) WHERE i < 50')}) GROUP BY request_id, later, q, a, b, i, m)),
+ wide AS (SELECT request_id, max(CASE WHEN later AND q = 0.1 THEN exp((a + b) / 2) END) AS range_low, max(CASE WHEN later AND q = 0.5 THEN exp((a + b) / 2) END) AS expected, max(CASE WHEN later AND q = 0.9 THEN exp((a + b) / 2) END) AS range_high, max(CASE WHEN NOT later THEN exp((a + b) / 2) END) AS now_expected FROM bis WHERE i = 50 GROUP BY request_id),
+ pct AS (SELECT request_id, 100 * {_SHARE_SQL} AS percentile FROM ({_BELOW_SQL.format(rows='SELECT pool.*, listing AS price FROM pool WHERE later AND listing IS NOT NULL')}) GROUP BY request_id),
+ ex AS (SELECT n.request_id, tx_id, d, count(*) FILTER (WHERE likely) OVER (PARTITION BY n.request_id) AS n_like, likely FROM (SELECT near.*, coalesce(kind = '월세' AND scn.deposit > 0 AND near.deposit_10k BETWEEN scn.deposit * 0.5 AND scn.deposit * 2, false) AS likely FROM near JOIN (SELECT request_id, property_id, deposit FROM scn) scn USING (request_id, property_id)) n),
+ top AS (SELECT request_id, string_agg(tx_id, ',' ORDER BY d DESC, tx_id DESC) AS examples FROM (SELECT * FROM ex WHERE likely OR n_like < 3 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY d DESC, tx_id DESC) <= 5) GROUP BY request_id)
+ SELECT request_id, any_value(radius_m) AS radius_m, count(*) FILTER (WHERE later) AS n_buildings, any_value(deposit) AS deposit_10k, CAST(max(ahead) AS INT) AS horizon_days, {', '.join(f"{sql_close(f'any_value({c})', 2)} AS {c}" for c in ('range_low', 'expected', 'range_high', 'now_expected', 'percentile'))}, any_value(examples) AS examples
+ FROM pool JOIN wide USING (request_id) LEFT JOIN pct USING (request_id) LEFT JOIN top USING (request_id) GROUP BY request_id"""
+
+
+@query(_ANSWERS_SQL)
+def serve_requests(spark, d):
+    """A fair price for every request of a table, in one plan."""
+    out = requests.answer(_homes(spark, d), _requests(spark, d), _request_prices, CFG, _FACTS)
+    rounded = [close(F.col(c), 2).alias(c) for c in ("range_low", "expected", "range_high", "now_expected", "percentile")]
+    return out.select("request_id", "radius_m", "n_buildings", "deposit_10k", "horizon_days", *rounded, F.array_join(F.transform("examples", lambda e: e["tx_id"]), ",").alias("examples"))

@@ -51,13 +51,19 @@ def load(spark: SparkSession, place: str) -> dict:
     return facts | {"boosting": QuantileBoosting.load(spark, place), "fallback": spark.read.parquet(f"{place}/fallback"), "calibration": spark.read.parquet(f"{place}/calibration")}
 
 
-def price_rows(loaded: dict):
-    """What `serving.predict` asks for: rows of a scenario with features to rows with lo, mid, hi and weight."""
-    def priced(rows: DataFrame, horizon: int) -> DataFrame:
+def priced_rows(loaded: dict):
+    """Scenario rows with features, horizon_days and nearest_horizon to the same rows with lo, mid, hi."""
+    def priced(rows: DataFrame) -> DataFrame:
         if loaded["kind"] == "monthly" and "deposit_vs_dong_median" not in rows.columns:
             rows = rows.withColumn("deposit_vs_dong_median", ratio(F.col("deposit_10k"), F.col("dong_deposit_median_90d")))
         rows, _ = model.apply_anchor(rows, loaded["features"], loaded["fallback"], loaded["mode"])
-        done = model.apply_conformal(model.priced(loaded["boosting"], rows), loaded["calibration"], "model")
-        return done.select(F.col("model_lo").alias("lo"), F.col("model_mid").alias("mid"), F.col("model_hi").alias("hi"), "weight")
+        calibration = loaded["calibration"].withColumnRenamed("horizon_days", "nearest_horizon")
+        done = model.apply_conformal(model.priced(loaded["boosting"], rows), calibration, "model", "nearest_horizon")
+        return done.withColumnsRenamed({"model_lo": "lo", "model_mid": "mid", "model_hi": "hi"})
 
     return priced
+
+
+def price_rows(loaded: dict):
+    """What `serving.predict` asks for: rows of a scenario with features to rows with lo, mid, hi and weight."""
+    return lambda rows, horizon: priced_rows(loaded)(rows).select("lo", "mid", "hi", "weight")
