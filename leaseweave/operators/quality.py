@@ -168,31 +168,43 @@ def add_outlier_flags(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return df.withColumn("is_price_outlier_candidate", F.when(kind == JEONSE, F.col("deposit_outlier_candidate")).otherwise(F.col("monthly_rent_outlier_candidate")))
 
 
+def _sample(df: DataFrame, sample: int, seed: int, columns: Sequence[Column]) -> DataFrame:
+    return df.orderBy(F.xxhash64("tx_id", F.lit(seed)), "tx_id").limit(sample).select(F.col("tx_id").alias("_id"), F.unix_date("contract_date").alias("_t"), *columns)
+
+
 def recheck_windows(df: DataFrame, keys: Sequence[str], days: int, count_col: str, median_col: str, min_count: int, sample: int = 400, value: str = "price_10k", seed: int = 42) -> DataFrame:
-    """One row: how many of `sample` rows, taken by the hash of their id, disagree with a recount by plain filtering."""
-    some = df.orderBy(F.xxhash64("tx_id", F.lit(seed)), "tx_id").limit(sample).select("tx_id", *[F.col(k).alias(f"_{k}") for k in keys], F.col("contract_date").alias("_t"), F.col(count_col).alias("_n"), F.col(median_col).alias("_m"))
-    on = (F.col("contract_date") < F.col("_t")) & (F.col("contract_date") >= F.date_sub("_t", days))
+    """One row: how many of `sample` rows, taken by the hash of their id, disagree with a recount by plain filtering.
+
+    Contracts and sample meet by group and bucket of `days` days: a contract is in one, a window reaches two. A small
+    sample is sent to all tasks, so contracts are neither shuffled nor sorted for it.
+    """
+    some = _sample(df, sample, seed, [*[F.col(k).alias(f"_{k}") for k in keys], F.col(count_col).alias("_n"), F.col(median_col).alias("_m")])
+    bucket = lambda day: F.floor(day / days)
+    entered = some.select("_id", "_t", *[f"_{k}" for k in keys], F.explode(F.sequence(bucket(F.col("_t") - days), bucket(F.col("_t") - 1))).alias("_b"))
+    past = df.select(*keys, F.unix_date("contract_date").alias("_day"), value).where("_day IS NOT NULL").withColumn("_bucket", bucket(F.col("_day")))
+    on = (F.col("_bucket") == F.col("_b")) & (F.col("_day") < F.col("_t")) & (F.col("_day") >= F.col("_t") - days)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    past = df.select(*keys, "contract_date", value)
-    again = F.broadcast(some).join(past, on, "left").groupBy("tx_id", "_n", "_m").agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("m"))
+    again = past.join(small(entered), on).groupBy("_id").agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("m"))
+    both = some.join(again, "_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     expected = F.when(F.col("n") >= min_count, F.col("m"))
-    wrong = (F.col("n") != F.col("_n")) | ~F.coalesce(F.abs(expected - F.col("_m")) <= 1e-6 * F.abs(expected), expected.isNull() & F.col("_m").isNull())
-    return again.agg(F.count("*").alias("n_checked"), F.count_if(wrong).alias("n_mismatches"))
+    wrong = ~F.col("n").eqNullSafe(F.col("_n")) | ~F.coalesce(F.abs(expected - F.col("_m")) <= 1e-6 * F.abs(expected), expected.isNull() & F.col("_m").isNull())
+    return both.agg(F.count("*").alias("n_checked"), F.count_if(wrong).alias("n_mismatches"))
 
 
 def recheck_previous(df: DataFrame, keys: Sequence[str], last_col: str, days_col: str, sample: int = 400, value: str = "price_10k", seed: int = 42) -> DataFrame:
     """One row: how many of `sample` rows disagree with the latest earlier contract found by plain filtering, in its
-    price or in the days since."""
-    some = df.orderBy(F.xxhash64("tx_id", F.lit(seed)), "tx_id").limit(sample).select(F.col("tx_id").alias("_id"), *[F.col(k).alias(f"_{k}") for k in keys], F.col("contract_date").alias("_t"), F.col(last_col).alias("_last"), F.col(days_col).cast("double").alias("_days"))
-    on = (F.col("contract_date") < F.col("_t")) & F.col(value).isNotNull()
+    price or in the days since. They meet by group, as in `recheck_windows`."""
+    some = _sample(df, sample, seed, [*[F.col(k).alias(f"_{k}") for k in keys], F.col(last_col).alias("_last"), F.col(days_col).cast("double").alias("_days")])
+    past = df.where(F.col(value).isNotNull()).select(*keys, F.unix_date("contract_date").alias("_day"), "tx_id", value)
+    on = F.col("_day") < F.col("_t")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    past = df.select(*keys, "contract_date", "tx_id", value)
-    again = F.broadcast(some).join(past, on, "left").groupBy("_id", "_t", "_last", "_days").agg(F.max(F.when(F.col("tx_id").isNotNull(), F.struct("contract_date", "tx_id", value))).alias("m"))
-    days = F.datediff("_t", F.col("m.contract_date")).cast("double")
+    again = past.join(small(some.select("_id", "_t", *[f"_{k}" for k in keys])), on).groupBy("_id").agg(F.max(F.struct("_day", "tx_id", value)).alias("m"))
+    both = some.join(again, "_id", "left")
+    days = (F.col("_t") - F.col("m._day")).cast("double")
     wrong = ~(F.col(f"m.{value}").eqNullSafe(F.col("_last")) & days.eqNullSafe(F.col("_days")))
-    return again.agg(F.count("*").alias("n_checked"), F.count_if(wrong).alias("n_mismatches"))
+    return both.agg(F.count("*").alias("n_checked"), F.count_if(wrong).alias("n_mismatches"))
 
 
 def explain_window(df: DataFrame, tx_id: int, keys: Sequence[str], days: int = 90, value: str = "price_10k") -> DataFrame:

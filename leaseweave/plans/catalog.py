@@ -314,17 +314,23 @@ def ids_out_of_order(spark, d):
     return quality.clean_counts(contracts(spark, d).withColumn("monthly_rent_10k", F.lit(0.0)), CFG).select((F.col("order") > 0).alias("found"))
 
 
-@query("SELECT 2000 AS n_checked, 0 AS n_mismatches FROM (SELECT 1) WHERE (SELECT count(*) FROM orders) >= 2000 UNION ALL SELECT count(*), 0 FROM orders HAVING count(*) < 2000")
+@query(f"WITH {CONTRACTS_SQL}, w AS (SELECT tx_id, {sql_stat('count', 'price_10k', DONG, 90)} AS n FROM tx) SELECT CAST(count(*) AS INT) AS n_checked, CAST(count(*) FILTER (WHERE tx_id % 97 = 5 OR tx_id % 89 = 7 AND n >= 3) AS INT) AS n_mismatches FROM w")
 def recheck_windows(spark, d):
+    """All windows counted again, where some counts and some medians were made wrong."""
     df = past_windows(contracts(spark, d), [PastWindow(DONG, "price_10k", 90, {"count": "n90", "median": "m90"})])
-    out = quality.recheck_windows(df, DONG, 90, "n90", "m90", 3, sample=2000)
+    k = F.col("tx_id")
+    df = df.withColumns({"n90": F.col("n90") + F.when(k % 97 == 5, 1).otherwise(0), "m90": F.col("m90") * F.when(k % 89 == 7, 1.01).otherwise(1.0)})
+    out = quality.recheck_windows(df, DONG, 90, "n90", "m90", 3, sample=2_000_000_000)
     return out.select(F.col("n_checked").cast("int").alias("n_checked"), F.col("n_mismatches").cast("int").alias("n_mismatches"))
 
 
-@query("SELECT 2000 AS n_checked, 0 AS n_mismatches FROM (SELECT 1) WHERE (SELECT count(*) FROM orders) >= 2000 UNION ALL SELECT count(*), 0 FROM orders HAVING count(*) < 2000")
+@query(f"WITH {CONTRACTS_SQL}, w AS (SELECT tx_id, count(*) OVER (PARTITION BY {', '.join(PROPERTY)} ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM tx) SELECT CAST(count(*) AS INT) AS n_checked, CAST(count(*) FILTER (WHERE tx_id % 83 = 4 AND n > 0 OR tx_id % 79 = 6) AS INT) AS n_mismatches FROM w")
 def recheck_previous(spark, d):
+    """All latest earlier contracts sought again, where some prices and some days since were made wrong."""
     df = previous_event(contracts(spark, d), PROPERTY, "price_10k", names=("last", "last_date")).withColumn("days", F.datediff("contract_date", "last_date"))
-    out = quality.recheck_previous(df, PROPERTY, "last", "days", sample=2000)
+    k = F.col("tx_id")
+    df = df.withColumns({"last": F.col("last") + F.when(k % 83 == 4, 1.0).otherwise(0.0), "days": F.when(k % 79 == 6, F.coalesce("days", F.lit(0)) + 1).otherwise(F.col("days"))})
+    out = quality.recheck_previous(df, PROPERTY, "last", "days", sample=2_000_000_000)
     return out.select(F.col("n_checked").cast("int").alias("n_checked"), F.col("n_mismatches").cast("int").alias("n_mismatches"))
 
 
@@ -687,7 +693,7 @@ def preamble_conditions(spark, d):
     """Conditions above the header, as a map."""
     k = F.col("doc_id")
     lines = F.slice("lines", F.lit(1), (k % 4).cast("int"))
-    return _exports(spark, d).select("doc_id", raw.condition_map(F.array_distinct(lines))[F.lit("시군구")].alias("district"))
+    return _exports(spark, d).select("doc_id", raw.condition_map(lines)[F.lit("시군구")].alias("district"))
 
 
 # ---- ranges and metrics

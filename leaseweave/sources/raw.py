@@ -216,4 +216,5 @@ def condition_map(lines: Column) -> Column:
     """A map of the `key : value` entries in an array of lines; the last of equal keys counts."""
     pairs = F.filter(lines, lambda x: F.instr(x, " : ") > 0)
     entries = F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, " : ", 1)).alias("key"), F.trim(F.substring(x, F.instr(x, " : ") + 3, F.length(x))).alias("value")))
-    return F.map_from_entries(entries)
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(last)
