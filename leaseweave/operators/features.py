@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from ..functions.geo import haversine
 from ..functions.scalars import area_bin, building_age, flag, is_address_name, keyed, months_between_firsts, period_month, price, pyeong, ratio
+from .nearest import nearest_places
 
 
 def add_date_features(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -72,8 +72,8 @@ def add_basic_features(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return add_price_columns(add_contract_period(add_address_keys(add_area_features(add_floor_features(df)))))
 
 
-#: Heights of the grid cells, in degrees, that are tried in turn; metres of a degree, rounded down.
-CELLS, DEGREE_M = (0.02, 0.16, 1.28, 10.24), 111_000.0
+#: Metres of a degree, rounded down.
+DEGREE_M = 111_000.0
 
 
 def _cell(lat, lon, row, size: float):
@@ -84,47 +84,16 @@ def _cell(lat, lon, row, size: float):
 
 def nearest_place(points: DataFrame, places: DataFrame, key: str, name: str, within_m: float | None = None, prefix: str = "") -> DataFrame:
     """Per point `key`: distance to the nearest place (whole metres, half even), its name (the smallest `idx` wins a
-    tie), and with `within_m` how many lie within.
+    tie), and with `within_m` how many lie within. A point without coordinates has no nearest place.
 
-    `points` has `key`, lat, lon; `places` has idx, `name`, lat, lon. Both meet in grid cells: a place is entered in its
-    own and the eight cells around, and what is nearer than a cell's height is the nearest of all. Points without such
-    a place go on to larger cells, at last to all places, which must then be few enough to send to every task. Points
-    are taken once per distinct coordinate.
+    `points` has `key`, lat, lon; `places` has idx, `name`, lat, lon, of any number; see `nearest`.
     """
-    listed = places.select(F.col("idx").alias("_idx"), F.col(name).alias("_name"), F.col("lat").cast("double").alias("_plat"), F.col("lon").cast("double").alias("_plon")).where("_plat IS NOT NULL AND _plon IS NOT NULL")
-    sides = listed.select("*", F.explode(F.array(F.lit(0.0), F.when(F.col("_plon") > 0, F.lit(-360.0)).otherwise(360.0))).alias("_turn"))  # over the date line
-    distance = haversine(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))
-    place = F.struct("_idx", "_name")
-    best = F.struct(distance.alias("d"), F.col("_idx").alias("idx"), F.col("_name").alias("name"))
-    where = points.select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).distinct().withColumn("_id", F.struct("lat", "lon"))
-    least = CELLS if within_m is None else tuple(c for c in CELLS if c * DEGREE_M >= within_m) or (within_m / DEGREE_M,)
-    found = where.withColumns({"_best": F.lit(None).cast(f"struct<d:double,idx:{dict(listed.dtypes)['_idx']},name:{dict(listed.dtypes)['_name']}>"), "_n": F.lit(0).cast("long")})
-    for level, size in enumerate(least):
-        row = F.floor(F.col("_plat") / size)
-        rows = sides.withColumn("_r", F.explode(F.sequence(row - 1, row + 1)))
-        column = _cell(F.col("_plat"), F.col("_plon") + F.col("_turn"), F.col("_r"), size)
-        entered = rows.withColumn("_c", F.explode(F.sequence(column - 1, column + 1))).where((F.col("_turn") == 0) | (F.abs(F.col("_plon") + F.col("_turn")) < 180 + 60 * size)).drop("_turn")
-        going = F.col("_best").isNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
-        own = F.floor(F.col("lat") / size)
-        found = found.withColumns({"_r": F.when(going, own), "_c": F.when(going, _cell(F.col("lat"), F.col("lon"), own, size))})
-        near = found.join(entered, ["_r", "_c"], "left")
-        reached = F.col("_idx").isNotNull() & (distance <= size * DEGREE_M)
-        counts = F.count_distinct(F.when(reached & (distance <= within_m), place)) if within_m is not None and level == 0 else F.lit(0).cast("long")
-        found = near.groupBy("_id", "lat", "lon").agg(
-            F.coalesce(F.first("_best"), F.min(F.when(reached, best))).alias("_best"), (F.first("_n") + counts).alias("_n"))
-    # What is far from all places: few places are then sent to every task, however many points there are.
-    far = found.where("_best IS NULL AND lat IS NOT NULL AND lon IS NOT NULL")
-    if far.limit(1).count():
-        if listed.limit(100_001).count() > 100_000:
-            raise ValueError("points far from all of too many places to send to every task")
-        rest = far.crossJoin(F.broadcast(listed)).groupBy("_id").agg(F.min(best).alias("_far"))
-        found = found.join(rest, "_id", "left").withColumn("_best", F.coalesce("_best", "_far"))
-    outputs = [F.bround("_best.d", 0).alias(f"{prefix}dist_m"), F.col("_best.name").alias(f"nearest_{prefix.rstrip('_') or 'place'}")]
-    if within_m is not None:
-        outputs.append(F.col("_n").alias(f"n_{prefix}within"))
-    found = found.select(F.col("_id.lat").alias("_lat"), F.col("_id.lon").alias("_lon"), *outputs)
-    joined = points.join(found, points["lat"].cast("double").eqNullSafe(F.col("_lat")) & points["lon"].cast("double").eqNullSafe(F.col("_lon")), "left")
-    return joined.select(points[key], *[found[c] for c in found.columns if c not in ("_lat", "_lon")])
+    found = nearest_places(points, places, name, within_m)
+    outputs = [F.bround("d", 0).alias(f"{prefix}dist_m"), F.col("name").alias(f"nearest_{prefix.rstrip('_') or 'place'}")]
+    found = found.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *outputs, F.col("n").alias("_n"))
+    joined = points.join(found, (points["lat"].cast("double") == F.col("_lat")) & (points["lon"].cast("double") == F.col("_lon")), "left")
+    counts = [F.coalesce("_n", F.lit(0).cast("long")).alias(f"n_{prefix}within")] if within_m is not None else []
+    return joined.select(points[key], *[found[c] for c in found.columns if c not in ("_lat", "_lon", "_n")], *counts)
 
 
 def add_location_features(df: DataFrame, coords: DataFrame, stations: DataFrame, schools: DataFrame) -> DataFrame:
