@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..config import COLUMN_MAP, DEFAULT, JEONSE, MONTHLY, NUMERIC_COLUMNS, EngineConfig
 from ..functions.scalars import contract_kind, flag, location_part, missing_to_null, nfkc, parse_day, parse_number
+from ..sources.scratch import keep
 
 EXACT_KEYS = (*[c for c in COLUMN_MAP.values() if c != "row_no"], "housing_category")
 CANDIDATE_KEYS = ("contract_date", "gu", "dong", "jibun", "building_name", "area_m2", "floor", "rent_type", "deposit_10k", "monthly_rent_10k")
@@ -91,23 +92,27 @@ def clean_contract_fields(df: DataFrame) -> DataFrame:
     return df.withColumns({"contract_type_clean": contract_kind(F.col("contract_type")), "renewal_right_used": flag(F.col("renewal_request_used") == "사용")})
 
 
-def with_dense_id(df: DataFrame, order: Sequence, name: str = "tx_id", ranges: int = 64) -> DataFrame:
-    """`df` with ids 0..n-1 in the order of `order`, without one task that sees all rows.
+#: Rows of a range of ids.
+RANGE_ROWS = 1_000_000
 
-    Rows are cut into ranges of the first ordering column at its quantiles; a range's ids start at the number of rows
-    before it. `order` must order rows totally for the ids to be the same at every run.
+
+def with_dense_id(df: DataFrame, order: Sequence, name: str = "tx_id", ranges: int | None = None) -> DataFrame:
+    """`df` with ids 0..n-1 in the order of `order`, by ranges whose number goes by that of the rows.
+
+    Rows are dealt by all ordering columns, so equal first ones don't meet in one task; each range is sorted and written
+    with the places inside it, and starts at the number of rows of the ranges before. `order` must order rows totally for
+    the ids to be the same at every run.
     """
-    first = order[0]
-    at = [i / ranges for i in range(1, ranges)]
-    number = F.unix_date(F.col(first)).cast("double") if dict(df.dtypes)[first] == "date" else F.col(first).cast("double")
-    cuts = sorted(set(df.agg(F.percentile_approx(number, at, 10_000)).first()[0] or []))
-    edges = F.array(*[F.lit(float(x)) for x in cuts]) if cuts else F.array(F.lit(float("inf")))
-    bucketed = df.withColumn("_range", F.coalesce(F.size(F.filter(edges, lambda x: x < number)), F.lit(len(cuts) + 1)))
-    sizes = bucketed.groupBy("_range").count()
-    starts = sizes.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_start"))  # at most `ranges` + 1 rows
     keys = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    return bucketed.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_range", "_place", "_start")
+    spark = df.sparkSession
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // RANGE_ROWS + 1)
+    # The id that Spark gives has the range in its upper bits and the place in the range in the lower 33.
+    dealt, _ = keep(df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = dealt.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))  # a row for each range
+    out = dealt.withColumn("_range", part).join(F.broadcast(starts), "_range")
+    return out.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_range", "_at", "_start")
 
 
 def clean(raw: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, EngineConfig
 from .boosting import QuantileBoosting
-from .ranks import exact_quantiles, order_statistics, small
+from .ranks import exact_quantiles, order_statistics, selected, small
 
 # Price features that are taken relative to the anchor, and categorical features.
 RELATIVE = (
@@ -166,24 +166,28 @@ def apply_conformal(df: DataFrame, adjustment: DataFrame, prefix: str = "model",
     return out.withColumns({f"{prefix}_lo": F.col(f"{prefix}_lo") * F.exp(-F.col("adjustment")), f"{prefix}_hi": F.col(f"{prefix}_hi") * F.exp("adjustment")}).drop("adjustment")
 
 
-def metric_columns(prefix: str = "model", quantiles=DEFAULT.quantiles) -> list[Column]:
-    """Aggregates of interval quality: errors in percent, coverage, relative width, mean pinball loss."""
+def metrics(df: DataFrame, prefix: str = "model", by: Sequence[str] = (), quantiles=DEFAULT.quantiles) -> DataFrame:
+    """Interval quality per group: errors in percent, coverage, median relative width, mean pinball loss. Medians of errors
+    are selected exactly without gathering a group."""
+    by = list(by)
     y, lo, mid, hi = (F.col(c) for c in ("target", f"{prefix}_lo", f"{prefix}_mid", f"{prefix}_hi"))
     ape = F.abs(mid - y) / y
     pin = sum(F.avg(F.greatest(q * (y - p), (q - 1) * (y - p))) for q, p in zip(quantiles, (lo, mid, hi))) / 3
-    return [
-        F.count("*").alias("n"), (100 * F.avg(ape)).alias("mape_pct"), (100 * F.percentile(ape, F.lit(0.5))).alias("mdape_pct"), F.avg(F.abs(mid - y)).alias("mae"),
-        F.avg(((y >= lo) & (y <= hi)).cast("double")).alias("coverage_80"), F.percentile((hi - lo) / mid, F.lit(0.5)).alias("rel_width_median"), pin.alias("pinball_avg"),
-    ]
-
-
-def metrics(df: DataFrame, prefix: str = "model", by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(*metric_columns(prefix))
+    means = df.groupBy(*by).agg(
+        F.count("*").alias("n"), (100 * F.avg(ape)).alias("mape_pct"), F.avg(F.abs(mid - y)).alias("mae"),
+        F.avg(((y >= lo) & (y <= hi)).cast("double")).alias("coverage_80"), pin.alias("pinball_avg"))
+    medians = selected(df, {"mdape_pct": (100 * ape, 0.5), "rel_width_median": ((hi - lo) / mid, 0.5)}, by).withColumnsRenamed({c: f"_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    both = means.join(medians, on) if by else means.crossJoin(medians)  # one row each
+    return both.select(*by, "n", "mape_pct", "mdape_pct", "mae", "coverage_80", "rel_width_median", "pinball_avg")
 
 
 def metrics_rollup(df: DataFrame, prefix: str = "model", by: str = "horizon_days") -> DataFrame:
-    """Overall and per horizon in one pass; the overall row has `by` NULL."""
-    return df.groupingSets([[], [F.col(by)]], F.col(by)).agg(*metric_columns(prefix))
+    """Overall and per horizon; the overall row has `by` NULL."""
+    overall = metrics(df, prefix).withColumn(by, F.lit(None).cast(dict(df.dtypes)[by]))
+    return metrics(df, prefix, [by]).unionByName(overall)
 
 
 def train_and_evaluate(df: DataFrame, features: Sequence[str], cfg: EngineConfig = DEFAULT, mode: str = "anchor", **settings) -> dict:

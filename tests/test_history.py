@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leaseweave.operators import history
 from leaseweave.operators.history import PastWindow, history_at_offset, history_at_offsets, past_windows, previous_event
-from leaseweave.operators.ranks import exact_quantiles, order_statistics, small
+from leaseweave.operators.ranks import exact_quantiles, order_statistics, selected, small
 
 START = dt.date(2019, 3, 1)
 STATS = {"count": "n", "median": "med", "mean": "avg", "std": "dev", "min": "least", "max": "most"}
@@ -139,3 +139,22 @@ def test_order_statistics_equal_sorting(spark, values):
 def test_small_tables_only_are_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(small(spark.range(5))).lower() and "broadcast" not in plan(small(spark.range(50), 10)).lower()
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 40])
+def test_quantiles_of_many_columns_equal_sorting(spark, accuracy):
+    r = random.Random(9)
+    rows = [(r.choice(["a", "b", None]), r.random(), None if r.random() < 0.3 else float(r.randint(0, 3)), None if i else 1.0) for i in range(3000)] + [("one", 5.0, None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double")
+    wanted = {"x_mid": (F.col("x"), 0.5), "x_high": (F.col("x") * 2, 0.9), "y_mid": (F.col("y"), 0.5), "y_end": (F.col("y"), 1.0), "z_low": (F.col("z"), 0.1)}
+
+    def plain(values, f):
+        kept = sorted(v for v in values if v is not None)
+        at = f * (len(kept) - 1)
+        return None if not kept else pytest.approx(kept[int(at)] + (kept[min(int(at) + 1, len(kept) - 1)] - kept[int(at)]) * (at - int(at)))
+
+    for by in (["k"], []):
+        for got in selected(df, wanted, by, accuracy).collect():
+            mine = [x for x in rows if not by or x[0] == got["k"]]
+            for name, i, scale, f in (("x_mid", 1, 1, 0.5), ("x_high", 1, 2, 0.9), ("y_mid", 2, 1, 0.5), ("y_end", 2, 1, 1.0), ("z_low", 3, 1, 0.1)):
+                assert got[name] == plain([None if x[i] is None else x[i] * scale for x in mine], f), (by, name)
