@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import calendar
+import dataclasses
 import datetime
+import json
 
 from pyspark.sql import SparkSession
 
-from .config import JEONSE, MONTHLY, ROOM_TYPES, EngineConfig
+from .config import JEONSE, MONTHLY, OFFICETEL, ROOM_TYPES, ROW_HOUSE, EngineConfig
 from .operators import serving
 from .plans import preprocess, train
 
@@ -34,12 +37,25 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     three.add_argument("--rent-type", choices=(JEONSE, MONTHLY), default=JEONSE)
     three.add_argument("--room", choices=tuple(ROOM_TYPES), default="전체")
     three.add_argument("--asof", type=datetime.date.fromisoformat, default=None, help="default: the last day with a contract")
-    three.add_argument("--date", type=datetime.date.fromisoformat, required=True)
+    when = three.add_mutually_exclusive_group()
+    when.add_argument("--date", type=datetime.date.fromisoformat, help="day of the contract; default: the day of asking")
+    when.add_argument("--months", type=int, choices=range(7), help="months from the day of asking to the contract")
+    three.add_argument("--housing", choices=("전체", ROW_HOUSE, OFFICETEL), default="전체")
+    three.add_argument("--json", action="store_true", help="the answer as JSON")
     three.add_argument("--deposit", type=float)
     three.add_argument("--listing-price", type=float)
     return parser.parse_args(given)
 
 
+def contract_day(asof: datetime.date, date: datetime.date | None, months: int | None) -> datetime.date:
+    """The day given, or so many months after `asof`, on the last day of a month that is too short."""
+    if date is not None:
+        return date
+    year, month = divmod(asof.month - 1 + (months or 0), 12)
+    year, month = asof.year + year, month + 1
+    return datetime.date(year, month, min(asof.day, calendar.monthrange(year, month)[1]))
+
+
 def main(given: list[str] | None = None) -> None:
     a = arguments(given)
     spark = SparkSession.builder.appName(f"leaseweave {a.todo}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -55,7 +71,9 @@ def main(given: list[str] | None = None) -> None:
         asof = a.asof or history.agg({"contract_date": "max"}).first()[0]
         school = serving.find_school(spark.read.parquet(a.schools), a.school)
         loaded = train.load(spark, f"{a.models}/{'jeonse' if a.rent_type == JEONSE else 'monthly'}_model")
-        print(serving.formatted(serving.predict(history, school, a.rent_type, asof, a.date, train.price_rows(loaded), a.room, a.deposit, a.listing_price)))
+        cfg = EngineConfig() if a.housing == "전체" else EngineConfig(housing_categories=(a.housing,))
+        found = serving.predict(history, school, a.rent_type, asof, contract_day(asof, a.date, a.months), train.price_rows(loaded), a.room, a.deposit, a.listing_price, cfg)
+        print(json.dumps(dataclasses.asdict(found), ensure_ascii=False, indent=2, default=str) if a.json else serving.formatted(found))
 
 
 if __name__ == "__main__":

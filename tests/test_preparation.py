@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from leaseweave.__main__ import arguments
+from leaseweave.__main__ import arguments, contract_day
 from leaseweave.config import COLUMN_MAP, EngineConfig
 from leaseweave.functions import scalars as S
 from leaseweave.operators import cleaning, datasets, features, model, quality, serving
@@ -198,8 +198,12 @@ def test_command_line():
     assert a.todo == "prepare" and a.include_unknown and a.exclude_gu == ["노원구"]
     a = arguments(["predict", "tx", "schools", "models", "중앙대", "--date", "2026-09-01", "--rent-type", "월세"])
     assert a.date == dt.date(2026, 9, 1) and a.rent_type == "월세" and a.asof is None
-    with pytest.raises(SystemExit):
-        arguments(["nothing"])
+    a = arguments(["predict", "tx", "schools", "models", "이대", "--months", "6", "--housing", "오피스텔", "--json"])
+    assert a.housing == "오피스텔" and a.json and contract_day(dt.date(2026, 8, 31), a.date, a.months) == dt.date(2027, 2, 28)
+    assert contract_day(dt.date(2026, 8, 31), None, None) == dt.date(2026, 8, 31) and contract_day(dt.date(2026, 8, 31), dt.date(2026, 9, 9), None) == dt.date(2026, 9, 9)
+    for wrong in (["nothing"], ["predict", "tx", "schools", "models", "이대", "--months", "7"]):
+        with pytest.raises(SystemExit):
+            arguments(wrong)
 
 
 def test_mixture(spark):
@@ -218,6 +222,10 @@ def test_serving_query(spark):
     school = serving.find_school(schools, "중 대", {"중대": "중앙대학교"})
     level = F.coalesce("dong_price_median_90d", F.lit(100.0))
     p = serving.predict(h, school, "전세", dt.date(2026, 7, 20), dt.date(2026, 9, 20), lambda rows, horizon: rows.select((level * 0.9).alias("lo"), level.alias("mid"), (level * 1.1).alias("hi"), "weight"), "원룸", listing_price=104.0)
+    assert serving.find_school(schools, "중대")["idx"] == 0  # a short name
+    seen = []
+    serving.predict(h, school, "전세", dt.date(2026, 7, 20), dt.date(2027, 2, 20), lambda rows, horizon: (seen.append(rows.select("horizon_days", "nearest_horizon").first()), rows.select((level * 0.9).alias("lo"), level.alias("mid"), (level * 1.1).alias("hi"), "weight"))[1], "원룸")
+    assert [tuple(r) for r in seen] == [(180, 180), (0, 0)]  # 215 days ahead
     assert p.radius_m == 1000 and p.n_buildings == 40 and p.range_low < p.expected < p.range_high and p.price_check["verdict"] == "적정" and len(p.examples) == 5
     with pytest.raises(ValueError):
         serving.find_school(schools, "없는학교")
