@@ -214,7 +214,7 @@ def plain_score(w, classes, ids):
     total = 0.0
     tokens = [attention.START, *classes.of[ids].tolist()]
     for t, goal in enumerate(classes.of[ids].tolist()):
-        first = max(0, t - t % attention.STEP - attention.STEP)  # a window begins STEP places before those it scores
+        first = max(0, t - t % attention.STEP - attention.BEFORE)  # a window begins BEFORE places before those it scores
         e = [w["embed"][x] for x in tokens[first : t + 1]]
         q = e[-1] @ w["query"]
         s = np.array([q @ (x @ w["key"]) / np.sqrt(attention.WIDTH) + w["near"][len(e) - 1 - i] for i, x in enumerate(e)])
@@ -244,7 +244,7 @@ def test_gradients_equal_differences():
     rng = np.random.default_rng(2)
     w, classes = some_weights()
     cut = [attention.windows(rng.integers(0, 1100, n), classes) for n in (5, 40)]
-    slots = np.concatenate([np.concatenate([r[:-1], r[1:]], 1) for r, _ in cut])
+    slots = np.concatenate([attention.joined(r, np.arange(len(g))) for r, g in cut])
     goal = np.concatenate([g for _, g in cut])
     loss, d = attention.gradients(w, classes, slots, goal)
     assert loss > 0
