@@ -61,7 +61,7 @@ def main(given: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"leaseweave {a.todo}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.todo == "prepare":
         cfg = EngineConfig(include_unknown=a.include_unknown, new_only=not a.all_contracts, model_start=a.model_start, exclude_gu=tuple(a.exclude_gu))
-        print(preprocess.run(spark, a.folder, a.out, cfg, recheck=a.recheck))
+        print(preprocess.run(spark, a.folder, a.out, cfg, recheck=a.recheck)["text"])
     elif a.todo == "train":
         for kind, r in train.run(spark, spark.read.parquet(a.transactions), a.out, mode=a.mode, rounds=a.rounds).items():
             print(kind)

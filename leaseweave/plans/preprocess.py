@@ -53,4 +53,24 @@ def run(spark: SparkSession, folder: str, out: str, cfg: EngineConfig = DEFAULT,
     sinks.write_csv(quality.monthly_summary(df, cfg), f"{out}/monthly_summary", bom=True)
     sinks.write_csv(report.table(), f"{out}/quality_report")
     sinks.write_json(spark, {"validated": looked, "window_mismatches": wrong} | report.summary, f"{out}/summary")
-    return {"rows": looked["n"], "mismatches": wrong}
+    text = summary_text(spark, tables, rows, df, report, wrong, out)
+    sinks.write_text(spark, text, f"{out}/summary_text")
+    return {"rows": looked["n"], "mismatches": wrong, "text": text}
+
+
+def summary_text(spark: SparkSession, tables: DataFrame, raw_rows: DataFrame, df: DataFrame, report: quality.Report, wrong: int, out: str) -> str:
+    """The preparation told in text: what was read, removed and flagged, and what came out."""
+    read = tables.agg(F.count_distinct("source_file"), F.count("*"), F.count_if(~F.col("ok"))).first()
+    span = df.agg(F.count("*"), F.min("contract_date"), F.max("contract_date")).first()
+    part = lambda title, found: f"\n{title}\n{sinks.text_report(found)}"
+    lines = [
+        f"Files {read[0]:,}, tables {read[1]:,} (not readable: {read[2]:,}), rows read {raw_rows.count():,}", f"Contracts {span[0]:,}, {span[1]} to {span[2]}",
+        part("Checks", report.table()), part("Contracts by district and category", df.groupBy("gu").pivot("housing_category").count().orderBy("gu")),
+        part("By rent type", df.groupBy("rent_type").count().orderBy("rent_type")), part("By kind of contract", df.groupBy("contract_type_clean").count().orderBy("contract_type_clean")),
+        part("Sources that may be biased", quality.source_distribution(df).where("suspect_low_jeonse OR suspect_truncated_deposit")),
+        part("Share of missing values, percent", quality.missing_rate(raw_rows).orderBy(F.desc("missing_pct"), "column").limit(10)),
+    ]
+    for kind in datasets.KINDS:
+        model = spark.read.parquet(f"{out}/model_{kind}")
+        lines.append(part(f"Model table {kind}", model.groupBy("split").agg(F.count("*").alias("rows"), F.min("contract_date").alias("first"), F.max("contract_date").alias("last")).orderBy("split")))
+    return "\n".join([*lines, f"\nSampled windows that disagree with a recount: {wrong}", f"Tables are in {out}"])

@@ -13,12 +13,14 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import COLUMN_ALIASES, COLUMN_MAP, ENCODINGS, OFFICETEL, ROW_HOUSE
+from ..operators.ranks import small
+from .scratch import keep
 
 RAW = list(COLUMN_MAP)
 RAW_OFFICETEL = [c for c in RAW if c != "주택유형"]
@@ -168,41 +170,57 @@ def tables_of(path: str, data: bytes) -> Iterator[tuple[dict, list[dict]]]:
         yield facts, [{c: r[where[c]] if c in where else OFFICETEL for c in RAW} for r in body]
 
 
-def _parsed(files: DataFrame, schema: str, rows: bool) -> DataFrame:
-    keep = ("source_file", "source_sheet", "_sheet", "housing_category", "source_cond_gu", "source_cond_period")
+def _names(schema: str) -> list[str]:
+    return [c.rsplit(" ", 1)[0].strip("`") for c in schema.split(", ")]
+
+
+#: What is read of a file: a row for each table with its facts (`_seq` NULL), and the rows of the table.
+PARSED = CELLS + ", " + ", ".join(c for c in INFO.split(", ") if c.split()[0] not in _names(CELLS))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Facts and rows of all tables, from one decoding of each file."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, kinds[c.rsplit(" ", 1)[1]]) for name, c in zip(_names(PARSED), PARSED.split(", "))])
+    own = ("source_file", "source_sheet", "_sheet", "housing_category", "source_cond_gu", "source_cond_period")
 
     def run(batches):
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                for facts, body in tables_of(path, bytes(data)):
-                    if not rows:
-                        yield pd.DataFrame([{c.split()[0]: facts.get(c.split()[0]) for c in schema.split(", ")}]).astype({"n_rows": "Int64", "header_line_index": "Int32", "n_repeated_header_rows": "Int32"})
-                    elif body:
-                        out = pd.DataFrame(body)
-                        for i, c in enumerate(keep):
-                            out.insert(i, c, facts.get(c))
-                        out.insert(len(keep), "_seq", range(len(body)))
-                        yield out
-
-    return files.repartition("path").mapInPandas(run, schema)
-
-
-def table_facts(files: DataFrame) -> DataFrame:
-    """One row per table: what was found, and errors; tables are numbered in the order of file and sheet."""
-    facts = _parsed(files, INFO, rows=False)  # a row per table: few enough for one ordering
+        for batch in batches:
+            for path, data in zip(batch.column("path"), batch.column("content")):
+                for facts, body in tables_of(path.as_py(), data.as_py()):
+                    yield pa.RecordBatch.from_pylist([facts], schema=schema)
+                    told = {c: facts.get(c) for c in own}
+                    for at in range(0, len(body), PARSED_ROWS):
+                        yield pa.RecordBatch.from_pylist([{**r, **told, "_seq": at + i} for i, r in enumerate(body[at : at + PARSED_ROWS])], schema=schema)
+
+    return files.select("path", "content").repartition("path").mapInArrow(run, PARSED)
+
+
+#: Rows that a task hands on at once.
+PARSED_ROWS = 50_000
+
+
+def table_facts(found: DataFrame) -> DataFrame:
+    """One row per table of `parsed`: what was found, and errors; tables are numbered in the order of file and sheet."""
+    facts = found.where("_seq IS NULL").select(*_names(INFO))  # a row per table: few enough for one ordering
     return facts.withColumn("source_table_id", F.row_number().over(Window.orderBy("source_file", "_sheet")) - 1)
 
 
 def load_all(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, tables) of all exports below `folder`; unreadable tables keep their number and give no rows."""
-    files = discover(spark, folder)
-    tables = table_facts(files).cache()
-    if not tables.limit(1).count():
+    """(rows, tables) of all exports below `folder`; unreadable tables keep their number and give no rows.
+
+    What was read is written once to the shared folder, and both come from there.
+    """
+    found, _ = keep(parsed(discover(spark, folder)))
+    tables = table_facts(found)
+    seen = tables.agg(F.count("*"), F.count_if("ok")).first()
+    if not seen[0]:
         raise FileNotFoundError(f"no exports in {folder}")
-    if not tables.where("ok").limit(1).count():
+    if not seen[1]:
         raise RuntimeError("no table could be read")
     ids = tables.select("source_file", "_sheet", "source_table_id")
-    return _parsed(files, CELLS, rows=True).join(F.broadcast(ids), ["source_file", "_sheet"]).drop("_sheet"), tables  # a row per table
+    rows = found.where("_seq IS NOT NULL").select(*[f"`{c}`" for c in _names(CELLS)])
+    return rows.join(small(ids), ["source_file", "_sheet"]).drop("_sheet"), tables
 
 
 def header_line(lines: DataFrame, key: str, at: str = "line_no", line: str = "line", first: str = "NO", second: str = "시군구") -> DataFrame:

@@ -28,6 +28,11 @@ def write_json(spark, value: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(value, ensure_ascii=False, indent=2, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_text(spark, text: str, path: str) -> None:
+    """A small text, as one file that Spark writes."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def export_app_data(df: DataFrame, path: str) -> None:
     """The columns that serving needs."""
     write_parquet(df.select(*APP_COLUMNS), path)

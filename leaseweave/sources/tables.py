@@ -16,9 +16,11 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) ->
 
 
 def dimension_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A small CSV with a header and, it may be, a byte order mark; the schema gives the names. `idx` is the file order."""
+    """A CSV with a header and, it may be, a byte order mark; the schema gives the names. `idx` rises in the order of the
+    file, however many tasks read it: a row is at least a byte, so a part's rows never reach the next part's start."""
     df = spark.read.csv(path, header=True, schema=schema, encoding="UTF-8")
-    return df.withColumn("idx", F.monotonically_increasing_id())
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.select("*", (F.col("_metadata.file_block_start") + place).alias("idx"))
 
 
 def json_meta(spark: SparkSession, path: str) -> dict:

@@ -68,7 +68,8 @@ def test_whole_preparation(spark, tmp_path):
     (source / "~$a.csv").write_text("lock")
     (source / "bad.csv").write_text("x")
     out = preprocess.run(spark, str(source), str(tmp_path / "out"), recheck=20)
-    assert out == {"rows": 22, "mismatches": 0}
+    assert (out["rows"], out["mismatches"]) == (22, 0)
+    assert "tables 3 (not readable: 1)" in out["text"] and "Contracts 22" in out["text"] and "Model table monthly" in out["text"]
     df = spark.read.parquet(str(tmp_path / "out" / "all_transactions"))
     rows = df.orderBy("tx_id").collect()
     assert [r["tx_id"] for r in rows] == list(range(22)) and [r["contract_date"] for r in rows] == sorted(r["contract_date"] for r in rows)
