@@ -43,12 +43,16 @@ SLICE_ROWS = 1_000_000
 
 
 def measured_slice(df: DataFrame, specs: Sequence[PastWindow], date: str) -> int | None:
-    """Days of a slice: about SLICE_ROWS rows of the largest group of the coarsest keys, and what the windows reach back,
-    so that a row is in two or three slices at most. None if no group is that large."""
-    keys = min((s.keys for s in specs), key=len)
+    """Days of a slice for the coarsest keys and the longest reach of `specs`."""
+    return slice_of(df, min((s.keys for s in specs), key=len), max(s.days + s.offset for s in specs), date)
+
+
+def slice_of(df: DataFrame, keys: Sequence[str], reach: int, date: str) -> int | None:
+    """Days of a slice: about SLICE_ROWS rows of the largest group of `keys`, and what windows reach back, so that a row is
+    in two or three slices at most. None if no group is that large."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(F.unix_date(F.col(date))) - F.min(F.unix_date(F.col(date))) + 1).alias("span"))
     largest = sizes.where(F.col("n") > SLICE_ROWS).agg(F.min(F.floor(F.col("span") * SLICE_ROWS / F.col("n")))).first()[0]
-    return None if largest is None else max(int(largest), max(s.days + s.offset for s in specs))
+    return None if largest is None else max(int(largest), reach)
 
 
 #: Rows that a sweep takes at once, if no group has more.
@@ -132,13 +136,35 @@ def previous_event(df: DataFrame, keys: Sequence[str], value: str, offset_days:
     return previous_events(df, keys, value, {offset_days: names}, date, tie)
 
 
-def previous_events(df: DataFrame, keys: Sequence[str], value: str, names: dict[int, tuple[str, str]], date: str = "contract_date", tie: str = "tx_id") -> DataFrame:
-    """previous_event at several offsets over one sort; `names` has the two columns of each offset."""
+def previous_events(df: DataFrame, keys: Sequence[str], value: str, names: dict[int, tuple[str, str]], date: str = "contract_date", tie: str = "tx_id", slice_days: int | str | None = "auto") -> DataFrame:
+    """previous_event at several offsets over one sort; `names` has the two columns of each offset.
+
+    A group that is too large for a task is cut into slices of days as windows are. What lies further back than a slice
+    and its reach comes to it as one row, the latest event there, found by a prefix maximum over the slices of the group.
+    """
+    keys, reach = list(keys), max(names) + 1
     event = F.when(F.col(value).isNotNull(), F.struct(F.col("_day").alias("d"), F.col(tie).alias("t"), F.col(value).alias("v"), F.col(date).alias("at")))
-    by = Window.partitionBy(*keys).orderBy("_day")
-    found = [F.max(event).over(by.rangeBetween(Window.unboundedPreceding, -1 - offset)).alias(f"_prev{offset}") for offset in names]
     columns = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.withColumn("_day", F.unix_date(F.col(date))).select(*columns, *found)
+    rows = df.withColumn("_day", F.unix_date(F.col(date))).select(*columns, "_day", event.alias("_event"))
+    if slice_days == "auto":
+        slice_days = slice_of(df, keys, reach, date)
+    if slice_days is None:
+        by = Window.partitionBy(*keys).orderBy("_day")
+    else:
+        own, last = (F.floor(x / slice_days).cast("int") for x in (F.col("_day"), F.col("_day") + reach))
+        later = F.when(F.col("_day").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(own, last))
+        # An event is out of reach from the slice after its last one on.
+        gone = rows.where("_event IS NOT NULL").groupBy(*keys, (last + 1).alias("_slice")).agg(F.max("_event").alias("_event")).withColumn("_asked", F.lit(False))
+        asked = rows.where("_day IS NOT NULL").select(*keys, own.alias("_slice")).distinct().withColumns({"_event": F.lit(None).cast(gone.schema["_event"].dataType), "_asked": F.lit(True)})
+        upto = Window.partitionBy(*keys).orderBy("_slice")  # two rows a slice at most
+        carried = gone.unionByName(asked).withColumn("_event", F.max("_event").over(upto)).where("_asked AND _event IS NOT NULL").select(*keys, "_slice", "_event", F.col("_event.d").alias("_day"))
+        rows = rows.withColumn("_own", own).withColumn("_slice", F.explode(later)).unionByName(carried, allowMissingColumns=True)
+        by = Window.partitionBy(*keys, "_slice").orderBy("_day")
+    found = [F.max("_event").over(by.rangeBetween(Window.unboundedPreceding, -1 - offset)).alias(f"_prev{offset}") for offset in names]
+    if slice_days is None:
+        rows = rows.select(*columns, *found)
+    else:  # a carried row has no slice of its own
+        rows = rows.withColumn("_mine", F.col("_own").eqNullSafe(F.col("_slice"))).select(*columns, "_mine", *found).where("_mine")
     return rows.select(*columns, *[F.col(f"_prev{o}.{part}").alias(n) for o, pair in names.items() for part, n in zip(("v", "at"), pair)])
 
 

@@ -15,6 +15,7 @@ from ..operators import cleaning, datasets, features, history, model, quality, r
 from ..operators.boosting import QuantileBoosting
 from ..operators.history import PastWindow, past_windows, previous_event
 from ..sources import raw, tables as places
+from ..sources.scratch import keep
 from .tables import AREA_SQL, COMP, CONTRACTS_SQL, DONG, GU, PROPERTY, SHOWN, close, contracts, history_sql, shown, sql_close, sql_over, sql_ratio, sql_shown, sql_stat, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -704,8 +705,8 @@ _CONF_SQL = f"{_RANGE_SQL}, e AS (SELECT horizon_days, greatest(ln(base_lo) - ln
 
 
 def _base(spark, d, features=("comp_price_median_90d", "dong_price_median_90d", "gu_price_median_90d", "property_last_price")):
-    """The horizon table that several passes read; kept, as the training plan keeps it as a table."""
-    return _horizon(spark, d, CFG, features).where("target > 0").persist()
+    """The horizon table that several passes read; written, as the training plan writes it."""
+    return keep(_horizon(spark, d, CFG, features).where("target > 0"))[0]
 
 
 @query(f"{_BASE_SQL} SELECT tx_id, horizon_days, {sql_close('base_point')} AS base_point FROM bp")

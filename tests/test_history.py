@@ -88,10 +88,14 @@ def test_rows_without_value_count_where_no_value_is_asked_for(spark):
         assert (r["rows"], r["valued"]) == (len(seen), sum(v is not None for v in seen))
 
 
-@pytest.mark.parametrize("offset", [0, 1, 33])
-def test_the_latest_earlier_value(spark, offset):
-    rows = drawn(75 + offset)
-    for r in previous_event(frame(spark, rows), ["g"], "v", offset).collect():
+@pytest.mark.parametrize("offset, slice_rows", [(0, None), (1, None), (33, None), (0, 5), (33, 25)])
+def test_the_latest_earlier_value(spark, monkeypatch, offset, slice_rows):
+    if slice_rows:
+        monkeypatch.setattr(history, "SLICE_ROWS", slice_rows)
+    rows = drawn(75 + offset, days=900 if slice_rows else 220)
+    found = previous_event(frame(spark, rows), ["g"], "v", offset).collect()
+    assert sorted(r["tx_id"] for r in found) == sorted(r[0] for r in rows)
+    for r in found:
         seen = [(d, i, v) for i, d, g, v in rows if g == r["g"] and v is not None and (r["contract_date"] - d).days > offset]
         day, _, value = max(seen, default=(None, None, None))
         assert (r["prev_value"], r["prev_date"]) == (value, day)
