@@ -55,8 +55,8 @@ def slice_of(df: DataFrame, keys: Sequence[str], reach: int, date: str) -> int |
     return None if largest is None else max(int(largest), reach)
 
 
-#: Rows that a sweep takes at once, if no group has more.
-SWEEP_ROWS = 500_000
+#: Rows that a sweep takes at once, and gives out at once.
+SWEEP_ROWS, OUT_ROWS = 50_000, 10_000
 
 
 def past_windows(df: DataFrame, specs: Sequence[PastWindow], date: str = "contract_date", slice_days: int | str | None = "auto") -> DataFrame:
@@ -89,38 +89,56 @@ def _sweep(df: DataFrame, specs: Sequence[PastWindow], date: str, slice_days: in
         own, last = (F.floor(x / slice_days).cast("int") for x in (F.col("_day"), F.col("_day") + reach))
         later = F.when(F.col("_day").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(own, last))
         rows = rows.withColumn("_own", own).withColumn("_slice", F.explode(later))
-    rows = rows.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice")
+    rows = rows.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice", "_day")
     added = {name: "long" if stat == "count" else "double" for s in specs for stat, name in s.outputs.items()}
     out = StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in added.items())).fields])
     width = len(df.columns)
+    return rows.mapInArrow(lambda batches: _streamed(batches, keys, specs, width, list(added)), out)
 
-    def swept(table: pa.Table) -> pa.RecordBatch:
+
+def _streamed(batches, keys: Sequence[str], specs: Sequence[PastWindow], width: int, names: Sequence[str]):
+    """The first `width` columns of rows that are sorted by `keys`, slice and day, with the columns `names` of `specs`.
+
+    Windows end before their day, so a stretch of rows needs of what came before only what its windows reach back to. No
+    more is held, however large a group is.
+    """
+    reach = max(s.days + s.offset for s in specs)
+    needed = list(dict.fromkeys([*keys, *(k for s in specs for k in s.keys), *(s.value for s in specs if s.value is not None), "_day", "_slice"]))
+
+    def swept(before: pa.Table | None, table: pa.Table):
+        narrow = table.select(needed)
         own = np.flatnonzero(pc.fill_null(pc.equal(table.column("_own"), table.column("_slice")), True).to_numpy())
-        found = rolling.swept(table, specs, "_day", "_slice", own)
-        kept = table.select(range(width)).take(own) if own.size < table.num_rows else table.select(range(width))
-        for name in added:
-            kept = kept.append_column(name, found[name])
-        return kept.combine_chunks().to_batches()
-
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            if n >= SWEEP_ROWS:  # up to where the last group began, which may go on
-                table = pa.Table.from_batches(held)
-                group = rolling.codes([table.column(k).combine_chunks() for k in (*keys, "_slice")])
-                last = np.flatnonzero(np.diff(group))
-                if last.size:
-                    yield from swept(table.slice(0, int(last[-1]) + 1))
-                    held = table.slice(int(last[-1]) + 1).to_batches()
-                    n = sum(b.num_rows for b in held)
-        if held:
-            yield from swept(pa.Table.from_batches(held))
-
-    return rows.mapInArrow(run, out)
+        if before is not None:
+            narrow = pa.concat_tables([before, narrow])
+        shift = narrow.num_rows - table.num_rows
+        found = rolling.swept(narrow, specs, "_day", "_slice", own + shift)
+        for at in range(0, own.size, OUT_ROWS):
+            kept = table.select(range(width)).take(own[at : at + OUT_ROWS])
+            for name in names:
+                kept = kept.append_column(name, found[name].slice(at, OUT_ROWS))
+            yield from kept.combine_chunks().to_batches()
+        return narrow
+
+    def reached(narrow: pa.Table) -> pa.Table:
+        """What windows of later rows may hold: rows of the last group no further back than they reach."""
+        group = rolling.codes([narrow.column(k).combine_chunks() for k in (*keys, "_slice")])
+        last = np.flatnonzero(group == group[-1])
+        day = narrow.column("_day").take(pa.array(last))
+        latest = pc.max(day).as_py()
+        within = np.zeros(last.size, bool) if latest is None else pc.fill_null(pc.greater_equal(day, latest - reach), False).to_numpy()
+        return narrow.take(pa.array(last[within])).combine_chunks()
+
+    before, held, n = None, [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, SWEEP_ROWS):
+            held.append(batch.slice(at, SWEEP_ROWS))
+            n += held[-1].num_rows
+            if n >= max(SWEEP_ROWS, 0 if before is None else before.num_rows):
+                table, held, n = pa.Table.from_batches(held), [], 0
+                before = reached((yield from swept(before, table)))
+                table = None
+    if held:
+        yield from swept(before, pa.Table.from_batches(held))
 
 
 def past_window(df: DataFrame, keys: Sequence[str], value: str | None, window_days: int, stats: Sequence[str] = ("count", "median"), offset_days: int = 0, min_count: int = 3, date: str = "contract_date", prefix: str = "") -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,20 @@ def test_rows_without_value_count_where_no_value_is_asked_for(spark):
         assert (r["rows"], r["valued"]) == (len(seen), sum(v is not None for v in seen))
 
 
+def test_a_group_is_never_held_whole(monkeypatch):
+    import pyarrow as pa
+
+    n, sizes, sweep = 4000, [], history.rolling.swept
+    monkeypatch.setattr(history, "SWEEP_ROWS", 100)
+    monkeypatch.setattr(history, "OUT_ROWS", 30)
+    monkeypatch.setattr(history.rolling, "swept", lambda table, *rest: sizes.append(table.num_rows) or sweep(table, *rest))
+    table = pa.table({"g": ["a"] * (n - 50) + ["b"] * 50, "v": [float(i * 37 % 101) for i in range(n)], "_day": [i // 3 for i in range(n)], "_own": [0] * n, "_slice": [0] * n})
+    spec = PastWindow(("g",), "v", 40, {"count": "c", "median": "m"}, 5)
+    out = pa.Table.from_batches(history._streamed(table.to_batches(77), ["g"], [spec], 3, ["c", "m"]))
+    whole = sweep(table, [spec], "_day", "_slice", np.arange(n))
+    assert out.column("c").combine_chunks().equals(whole["c"]) and out.column("m").combine_chunks().equals(whole["m"]) and max(sizes) < 400
+
+
 @pytest.mark.parametrize("offset, slice_rows", [(0, None), (1, None), (33, None), (0, 5), (33, 25)])
 def test_the_latest_earlier_value(spark, monkeypatch, offset, slice_rows):
     if slice_rows:
