@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, JEONSE, MONTHLY, EngineConfig
 from ..functions.scalars import flag
-from .ranks import small
+from .cleaning import with_dense_id
+from .ranks import SMALL, small
 
 
 class Report:
@@ -169,24 +170,42 @@ def add_outlier_flags(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 
 
 def _sample(df: DataFrame, sample: int, seed: int, columns: Sequence[Column]) -> DataFrame:
-    return df.orderBy(F.xxhash64("tx_id", F.lit(seed)), "tx_id").limit(sample).select(F.col("tx_id").alias("_id"), F.unix_date("contract_date").alias("_t"), *columns)
+    """`sample` rows by the hash of their id: a few are the first of each task, all need no order, others are numbered."""
+    shown = [F.col("tx_id").alias("_id"), F.unix_date("contract_date").alias("_t"), *columns]
+    if sample <= SMALL:
+        return df.orderBy(F.xxhash64("tx_id", F.lit(seed)), "tx_id").limit(sample).select(*shown)
+    if df.count() <= sample:
+        return df.select(*shown)
+    drawn = with_dense_id(df.withColumn("_hash", F.xxhash64("tx_id", F.lit(seed))), ["_hash", "tx_id"], "_place")
+    return drawn.where(F.col("_place") < sample).select(*shown)
 
 
 def recheck_windows(df: DataFrame, keys: Sequence[str], days: int, count_col: str, median_col: str, min_count: int, sample: int = 400, value: str = "price_10k", seed: int = 42) -> DataFrame:
     """One row: how many of `sample` rows, taken by the hash of their id, disagree with a recount by plain filtering.
 
-    Contracts and sample meet by group and bucket of `days` days: a contract is in one, a window reaches two. A small
-    sample is sent to all tasks, so contracts are neither shuffled nor sorted for it.
+    Contracts and sample meet by group and bucket of `days` days: a window reaches into two, so contracts are listed in
+    theirs and the next one, and a window finds all of its contracts in one list. Rows of a group and day have the same
+    window, which is filtered once, so no pairs of contracts are written. A small sample is sent to all tasks.
     """
-    some = _sample(df, sample, seed, [*[F.col(k).alias(f"_{k}") for k in keys], F.col(count_col).alias("_n"), F.col(median_col).alias("_m")])
+    some = _sample(df, sample, seed, [F.struct(*keys).alias("_g"), F.col(count_col).alias("_n"), F.col(median_col).alias("_m")])  # equal structs may hold NULLs
     bucket = lambda day: F.floor(day / days)
-    entered = some.select("_id", "_t", *[f"_{k}" for k in keys], F.explode(F.sequence(bucket(F.col("_t") - days), bucket(F.col("_t") - 1))).alias("_b"))
-    past = df.select(*keys, F.unix_date("contract_date").alias("_day"), value).where("_day IS NOT NULL").withColumn("_bucket", bucket(F.col("_day")))
-    on = (F.col("_bucket") == F.col("_b")) & (F.col("_day") < F.col("_t")) & (F.col("_day") >= F.col("_t") - days)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    again = past.join(small(entered), on).groupBy("_id").agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("m"))
-    both = some.join(again, "_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    asked = some.where("_t IS NOT NULL").groupBy("_g", bucket(F.col("_t") - 1).alias("_b")).agg(F.collect_set("_t").alias("_asked"))  # `days` at most
+    past = df.select(F.struct(*keys).alias("_g"), F.unix_date("contract_date").alias("_day"), F.col(value).cast("double").alias("_v")).where("_day IS NOT NULL AND _v IS NOT NULL")
+    own = bucket(F.col("_day"))
+    past = past.withColumn("_b", F.explode(F.array(own, own + 1)))
+    if sample <= SMALL:
+        past = past.join(F.broadcast(asked.select("_g", "_b")), ["_g", "_b"], "left_semi")
+    lists = past.groupBy("_g", "_b").agg(F.collect_list(F.struct("_day", "_v")).alias("_past")).join(asked, ["_g", "_b"])
+
+    def counted(t):
+        inside = F.filter("_past", lambda x: (x["_day"] < t) & (x["_day"] >= t - days))
+        return F.struct(t.alias("_t"), F.array_sort(F.transform(inside, lambda x: x["_v"])).alias("_in"))
+
+    again = lists.select("_g", F.explode(F.transform("_asked", counted)).alias("_w")).select("_g", "_w.*")
+    n = F.size("_in")
+    middle = (F.get("_in", F.floor((n - 1) / 2).cast("int")) + F.get("_in", F.floor(n / 2).cast("int"))) / 2
+    again = again.select("_g", "_t", n.cast("long").alias("n"), middle.alias("m"))
+    both = some.join(again, ["_g", "_t"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     expected = F.when(F.col("n") >= min_count, F.col("m"))
     wrong = ~F.col("n").eqNullSafe(F.col("_n")) | ~F.coalesce(F.abs(expected - F.col("_m")) <= 1e-6 * F.abs(expected), expected.isNull() & F.col("_m").isNull())
     return both.agg(F.count("*").alias("n_checked"), F.count_if(wrong).alias("n_mismatches"))

@@ -177,3 +177,20 @@ def test_quantiles_of_many_columns_equal_sorting(spark, accuracy):
             mine = [x for x in rows if not by or x[0] == got["k"]]
             for name, i, scale, f in (("x_mid", 1, 1, 0.5), ("x_high", 1, 2, 0.9), ("y_mid", 2, 1, 0.5), ("y_end", 2, 1, 1.0), ("z_low", 3, 1, 0.1)):
                 assert got[name] == plain([None if x[i] is None else x[i] * scale for x in mine], f), (by, name)
+
+
+@pytest.mark.parametrize("sample", [2_000_000_000, 9, 20_000])
+def test_rechecks_of_all_rows_need_no_global_order(spark, sample, monkeypatch):
+    from leaseweave.operators import quality
+
+    monkeypatch.setattr(quality, "SMALL", 5 if sample == 9 else 10_000)  # a larger sample is numbered
+    df = frame(spark, drawn(31)).withColumnRenamed("id", "tx_id")
+    value = next(c for c, t in df.dtypes if t == "double")
+    key, day = next(c for c, t in df.dtypes if t == "string"), next(c for c, t in df.dtypes if t == "date")
+    df = past_windows(df.withColumnRenamed(day, "contract_date"), [PastWindow((key,), value, 17, {"count": "n", "median": "m"})])
+    out = quality.recheck_windows(df, [key], 17, "n", "m", 3, sample, value)
+    assert tuple(out.first()) == (min(sample, df.count()), 0)
+    assert "TakeOrdered" not in out._jdf.queryExecution().executedPlan().toString()
+    wrong = df.withColumn("n", F.col("n") + (F.col("tx_id") % 7 == 2).cast("int")).withColumn("m", F.when(F.col("tx_id") % 5 != 1, F.col("m")))
+    bad = df.where("tx_id % 7 = 2 OR tx_id % 5 = 1 AND m IS NOT NULL").count()
+    assert sample < 1000 or tuple(quality.recheck_windows(wrong, [key], 17, "n", "m", 3, sample, value).first())[1] == bad
