@@ -25,8 +25,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
-#: Compressed content of more bytes is read in overlapping windows of this size, and reported as `oversize` besides.
-LAYER_BYTES, OVERLAP = 16 << 20, 1 << 20
+#: Compressed content of more bytes is read in windows of about this size, and reported as `oversize` besides. Windows end
+#: at bytes that no pattern can hold, so nothing overlaps.
+LAYER_BYTES, OVERLAP = 16 << 20, 0
+#: ASCII that is in no match of the patterns below: neither in words, paddings and quotes nor in escapes or line ends.
+BREAKS = [bytes([c]) for c in range(128) if not (chr(c).isalnum() or chr(c) in "+/_.=-:\"' \t\r\n%\\")]
 
 ASSIGN_HEAD = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", re.I | re.A)
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -65,6 +68,20 @@ def as_layer(data: bytes) -> tuple[str, np.ndarray] | None:
     return text, np.r_[0, np.cumsum(wide)]
 
 
+def undamaged(tool, piece: bytes):
+    """Yield what `tool` makes of a damaged piece before it fails."""
+    for i in range(len(piece)):
+        rest = piece[i : i + 1]
+        while rest:
+            try:
+                out = tool.decompress(rest, 1 << 20)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            rest = tool.unconsumed_tail
+
+
 def inflated(data: bytes, at: int):
     """Yield the content of the gzip or zlib stream at `at` in pieces, then the place after it (None if it has no end).
 
@@ -74,9 +91,11 @@ def inflated(data: bytes, at: int):
     for i in range(at, len(data), 1024):
         piece = data[i : i + 1024]
         while piece:
+            before = tool.copy()
             try:
                 out = tool.decompress(piece, 1 << 20)
-            except zlib.error:
+            except zlib.error:  # what the piece holds before the damage comes byte by byte
+                yield from undamaged(before, piece)
                 yield None
                 return
             if out:
@@ -88,16 +107,22 @@ def inflated(data: bytes, at: int):
     yield None
 
 
+def last_break(data: bytearray, start: int) -> int:
+    """The place after the last byte from `start` on that no pattern can hold; 0 if there is none."""
+    return max(data.rfind(c, start) for c in BREAKS) + 1
+
+
 def streams(data: bytes):
     """Yield (content, whether it is a window of one larger than a layer) for the streams in `data`; members that
-    follow each other are one content. Windows overlap by OVERLAP bytes."""
-    at, end, held, large = 0, None, bytearray(), False
+    follow each other are one content. A window ends at a byte that no pattern can hold, so none is cut; where there is
+    none, it grows."""
+    at, end, held, large, seen = 0, None, bytearray(), False, 0
     first = bool(data) and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0
     while True:
         if end is None or data[end : end + 3] != b"\x1f\x8b\x08":
             if held:
                 yield bytes(held), large
-            held, large = bytearray(), False
+            held, large, seen = bytearray(), False, 0
             found = None if first and at == 0 else STREAM.search(data, at)
             if not (first and at == 0) and not found:
                 return
@@ -109,13 +134,28 @@ def streams(data: bytes):
             if isinstance(piece, bytes):
                 held += piece
                 if len(held) > LAYER_BYTES:
-                    yield bytes(held), True
-                    held, large = held[-OVERLAP:], True
+                    if cut := last_break(held, seen):
+                        yield bytes(held[:cut]), True
+                        held, large = held[cut:], True
+                    seen = len(held)
             else:
                 end = piece
         at = at + 1 if end is None else end
 
 
+def all_streams(data: bytes):
+    """`streams` of `data`, of their contents and so on, with their path; a content that was met before ends its branch."""
+    work, known = deque([(data, "compressed")]), set()
+    while work:
+        source, how = work.popleft()
+        for content, large in streams(source):
+            yield how, content, large
+            mark = hashlib.sha256(content).digest()
+            if mark not in known:
+                known.add(mark)
+                work.append((content, f"{how}/compressed"))
+
+
 def in_place(text: str, pattern: re.Pattern, decode):
     """`text` with every match of `pattern` replaced by its decoded characters, and the place of each character."""
     out, starts, ends, kept = [], [], [], 0
@@ -166,13 +206,13 @@ def unwrapped(text: str):
                 layer, offsets = got
                 place = at[shift:]
                 yield "base64", layer, place[offsets[:-1] * 4 // 3], place[np.minimum(-(-offsets[1:] * 4 // 3), len(place)) - 1] + 1
-            told = False
-            for content, large in streams(data):
-                if large and not told:
-                    told = True
-                    yield "compressed", None, m.start(), m.end()
+            told = set()
+            for how, content, large in all_streams(data):
+                if large and how not in told:
+                    told.add(how)
+                    yield how, None, m.start(), m.end()
                 if got := as_layer(content):
-                    yield "compressed", got[0], m.start(), m.end()
+                    yield how, got[0], m.start(), m.end()
 
 
 def scan(text: str) -> tuple:

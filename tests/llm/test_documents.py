@@ -330,6 +330,24 @@ def test_damaged_wrapped_and_large_layers(monkeypatch):
     assert {"compressed/oversize", "compressed/assign"} <= set(kinds)
 
 
+def test_nothing_of_compressed_content_is_left_out(monkeypatch):
+    encode = lambda data: base64.b64encode(data).decode()
+    secret = b" token=abcabcabc "
+    damaged = bytearray(gzip.compress(secret * 3))
+    damaged[-6] ^= 1  # the checksum
+    quine = gzip.compress(gzip.compress(gzip.compress(secret)))
+    for name, data in (("checksum", bytes(damaged)), ("nested", gzip.compress(zlib.compress(secret))), ("thrice", quine)):
+        _, kinds = masked_and_kinds(encode(data))
+        assert any(k.endswith("compressed/assign") for k in kinds), name
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 3000)
+    # Whatever is longer than a window lies whole in one.
+    value = b"password=" + b"a1" * 2000
+    text = encode(zlib.compress(b"x, " * 700 + value + b", y" * 700))
+    assert any(layer and value.decode() in layer for _, layer, _, _ in secrets.unwrapped(text))
+    *_, spans, _, _, _ = secrets.scan(text)
+    assert "compressed/assign" in spans and "oversize" in spans
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
