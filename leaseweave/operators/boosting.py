@@ -9,7 +9,7 @@ quantile of its rows' residuals, found in two counting rounds over the halves of
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from ..config import DEFAULT
 from ..sources.scratch import drop, keep
 
-#: Rows of a block.
-BLOCK = 8192
+#: Rows of a block, bytes of the blocks that a task reads at once, and residuals that it holds while it counts them.
+BLOCK, BATCH_BYTES, COUNTED = 8192, 16 << 20, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -167,6 +167,31 @@ def from_bits(bits: int) -> float:
     return float(np.array([raw], np.uint32).view(np.float32)[0])
 
 
+def tallied(parts: Iterable[np.ndarray], most: int | None = None):
+    """(numbers, how often each was met) of all `parts`. Numbers are told as soon as over half of `most` (COUNTED) different
+    ones are held, so one may be told several times."""
+    most = most or COUNTED
+    keys, n, waiting, more = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+    for part in parts:
+        waiting.append(part)
+        more += part.size
+        if keys.size + more >= most:
+            (keys, n), waiting, more = _merged(keys, n, waiting), [], 0
+            if keys.size > most // 2:
+                yield keys, n
+                keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, n = _merged(keys, n, waiting)
+    if keys.size:
+        yield keys, n
+
+
+def _merged(keys: np.ndarray, n: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate([keys, *parts]), return_inverse=True)
+    total = np.bincount(at[keys.size :], minlength=found.size).astype(np.int64)
+    total[at[: keys.size]] += n
+    return found, total
+
+
 class QuantileBoosting:
     """Three series of trees for three quantiles; `fit`, then `predict` adds q_lo, q_mid, q_hi."""
 
@@ -184,6 +209,7 @@ class QuantileBoosting:
         """Grow trees on `train`; with `valid` each quantile stops when its pinball loss there hasn't fallen for `patience`
         rounds, and keeps the trees up to its best round."""
         s, spark = self.settings, train.sparkSession
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # a row is a block of some 300 kB
         self.bins = measured_bins(train, self.features, s)
         self.start = [float(x or 0.0) for x in (train.agg(F.percentile_approx(self.target, list(s.quantiles), 100_000)).first()[0] or [0.0] * len(s.quantiles))]
         rows = self._blocks(train, True)
@@ -326,23 +352,25 @@ class QuantileBoosting:
 
             def count(batches, sent=sent, half=half):
                 trees, prefix = sent.value
-                total = {}
-                for batch in batches:
-                    for i in range(batch.num_rows):
-                        codes, y, f, _ = read(batch, i)
-                        for q, tree in trees.items():
-                            bits, leaf = ordered_bits(y - f[q]), tree.leaves(codes)
-                            part = (bits >> 16).astype(np.int64)
-                            if half:
-                                wanted = np.full(tree.feature.size, -1, np.int64)
-                                for (a, node), (high, _) in prefix.items():
-                                    if a == q:
-                                        wanted[node] = high
-                                kept = part == wanted[leaf]
-                                part, leaf = (bits[kept] & 0xFFFF).astype(np.int64), leaf[kept]
-                            for key, n in zip(*np.unique(leaf << 16 | part, return_counts=True)):
-                                total[q, int(key)] = total.get((q, int(key)), 0) + int(n)
-                yield pa.RecordBatch.from_pydict({"q": pa.array([k[0] for k in total], pa.int32()), "node": pa.array([k[1] >> 16 for k in total], pa.int32()), "part": pa.array([k[1] & 0xFFFF for k in total], pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
+
+                def met():
+                    for batch in batches:
+                        for i in range(batch.num_rows):
+                            codes, y, f, _ = read(batch, i)
+                            for q, tree in trees.items():
+                                bits, leaf = ordered_bits(y - f[q]), tree.leaves(codes)
+                                part = (bits >> 16).astype(np.int64)
+                                if half:
+                                    wanted = np.full(tree.feature.size, -1, np.int64)
+                                    for (a, node), (high, _) in prefix.items():
+                                        if a == q:
+                                            wanted[node] = high
+                                    kept = part == wanted[leaf]
+                                    part, leaf = (bits[kept] & 0xFFFF).astype(np.int64), leaf[kept]
+                                yield np.int64(q) << 48 | leaf << 16 | part
+
+                for keys, n in tallied(met()):
+                    yield pa.RecordBatch.from_pydict({"q": pa.array((keys >> 48).astype(np.int32)), "node": pa.array((keys >> 16 & 0xFFFFFFFF).astype(np.int32)), "part": pa.array((keys & 0xFFFF).astype(np.int32)), "n": pa.array(n)})
 
             counts = train.mapInArrow(count, "q int, node int, part int, n long").groupBy("q", "node", "part").agg(F.sum("n").alias("n"))
             by = Window.partitionBy("q", "node")  # 65,536 rows at most

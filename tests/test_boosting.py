@@ -105,3 +105,15 @@ def test_bits_keep_the_order_of_numbers():
     x = np.array([-np.inf, -5.5, -1e-30, 0.0, 1e-30, 2.0, 3e38], np.float32)
     bits = boosting.ordered_bits(x)
     assert (np.diff(bits.astype(np.int64)) > 0).all() and [boosting.from_bits(int(b)) for b in bits] == x.tolist()
+
+
+def test_residuals_are_counted_in_bounded_parts():
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 5000, 300) for _ in range(60)]
+    told = list(boosting.tallied(iter(parts), 1000))
+    assert len(told) > 5 and all(keys.size < 1300 for keys, _ in told)  # a task once held all different residuals
+    total = np.zeros(5000, np.int64)
+    for keys, n in told:
+        total[keys] += n
+    assert (total == np.bincount(np.concatenate(parts), minlength=5000)).all()
+    assert list(boosting.tallied(iter([]))) == []
