@@ -12,7 +12,7 @@ import base64
 from array import array
 from collections import Counter
 from itertools import islice
-from math import log10
+from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,11 @@ from .common import arrow_schema, bounded_batches, ddl, forget, partitions, stor
 WINDOW, STEP, BEFORE = 24, 16, 8
 #: Width of the model and of its feed-forward layer; classes, of which the last BANDS are shared, and groups of them.
 WIDTH, INNER, CLASSES, BANDS, GROUPS = 16, 32, 1024, 16, 32
-#: The network learns from one training text in so many, chosen by a checksum of the text, and there from one window in so
-#: many. Counts cover all training texts.
-TEXTS, EVERY = 8, 4
 #: Shares of the windows, in 64ths, that the rounds of training go through. Each ends by averaging the tasks' models, the
 #: first ones soon, while these are still alike.
 SHARES = (1, 1, 2, 4, 8, 16, 32)
-#: Windows that a small corpus is learned from at least, if need be all of its windows and again, but so often at most.
+#: Windows that a task learns from at least. A corpus of fewer is gone through again until there were so many, but so often
+#: at most. Every corpus is learned from whole.
 LEAST_WINDOWS, MOST_PASSES = 100_000, 6
 #: Words sent to every task: as many as are at least so long in count, of at most so many bytes. The rarer ones are joined.
 SENT_WORDS, SENT_BYTES = 200_000, 64
@@ -398,11 +396,11 @@ def subword_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
     return found
 
 
-def training_windows(texts: DataFrame, path: str, classes, every: int = EVERY) -> DataFrame:
-    """(n, slots, goal, part): windows of all texts, one in `every` by turns, in blocks."""
+def training_windows(texts: DataFrame, path: str, classes) -> DataFrame:
+    """(n, slots, goal, part): all windows of all texts, in blocks."""
     def cut(batches):
         known, found = subwords(path), classes.value
-        slots, goal, held, turn = [], [], 0, 0
+        slots, goal, held = [], [], 0
 
         def told():
             return {"n": [held], "slots": [np.concatenate(slots).astype(np.int16).tobytes()], "goal": [np.concatenate(goal).astype(np.int16).tobytes()]}
@@ -410,11 +408,9 @@ def training_windows(texts: DataFrame, path: str, classes, every: int = EVERY) -
         for batch in batches:
             for _, _, ids in known.cut(batch.column(0).to_pylist()):
                 rows, g = windows(ids, found)
-                at = np.arange(turn % every, len(g), every)
-                turn += len(g) * 7 + 3
-                slots.append(joined(rows, at))
-                goal.append(g[at])
-                held += at.size
+                slots.append(joined(rows, np.arange(len(g))))
+                goal.append(g)
+                held += len(g)
                 if held >= LEARNED * 8:
                     yield told()
                     slots, goal, held = [], [], 0
@@ -440,10 +436,11 @@ def together(batches, most: int | None):
         yield np.concatenate(slots), np.concatenate(goal)
 
 
-def train(blocks: DataFrame, w: dict, classes, passes: int) -> tuple[dict, list[float]]:
-    """The weights after all rounds, and each round's mean loss. A round's tasks each go through their windows from the
-    same weights, `passes` times; what they come to is averaged by windows, in two steps, so the driver gets a bounded
-    number of models."""
+def train(blocks: DataFrame, w: dict, classes, n_windows: int) -> tuple[dict, list[float]]:
+    """The weights after all rounds, and each round's mean loss. A round's tasks, one for LEAST_WINDOWS of the `n_windows`,
+    each go through their windows from the same weights; what they come to is averaged by windows, in two steps, so the
+    driver gets a bounded number of models. Fewer windows than LEAST_WINDOWS are gone through again, the last time in
+    part, so the number of steps has no jump there."""
     spark = blocks.sparkSession
     names = list(w)
     shapes = {k: w[k].shape for k in names}
@@ -459,8 +456,8 @@ def train(blocks: DataFrame, w: dict, classes, passes: int) -> tuple[dict, list[
         return out
 
     losses = []
-    if passes > 1:  # fewer than LEAST_WINDOWS windows: one task, with nothing to average
-        blocks = blocks.coalesce(1)
+    passes = min(MOST_PASSES, max(1.0, LEAST_WINDOWS / max(1, n_windows)))
+    blocks = blocks.coalesce(max(1, n_windows // LEAST_WINDOWS))
     for number, share in enumerate(SHARES):
         first = sum(SHARES[:number])
         sent = spark.sparkContext.broadcast(w)
@@ -470,8 +467,8 @@ def train(blocks: DataFrame, w: dict, classes, passes: int) -> tuple[dict, list[
             model, n, loss = Adam(sent.value, rate), 0, 0.0
             rng = np.random.default_rng(number)
             for slots, goal in together(batches, MIXED if passes == 1 else None):
-                for _ in range(passes):
-                    order = rng.permutation(len(slots))
+                for turn in range(ceil(passes)):
+                    order = rng.permutation(len(slots))[: ceil(len(slots) * min(1.0, passes - turn))]
                     for i in range(0, len(slots), LEARNED):
                         at = order[i : i + LEARNED]
                         lost, d = gradients(model.w, classes.value, slots[at], goal[at])
@@ -529,7 +526,7 @@ class Model:
         self.distinct = counts.count() + (docs > 0)
 
 
-def learn(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, most_sent: int = SENT_WORDS) -> Model:
+def learn(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_sent: int = SENT_WORDS) -> Model:
     """Count the words and subwords of all training texts, and train the attention model on their windows."""
     spark = df.sparkSession
     texts = df.where(in_training(df, id_col)).select(df[text_col].cast("string").alias("t"))
@@ -538,14 +535,10 @@ def learn(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     size = subwords(path).size
     found = np.append(subword_counts(counts, path, size), docs)
     classes = Classes(found)
-    enough = max(1, int(found.sum()) // STEP // LEAST_WINDOWS)  # how many times what a small corpus must have
-    some = max(1, min(TEXTS, enough // every))
     sent = spark.sparkContext.broadcast(classes)
-    read = texts.where(F.pmod(F.xxhash64("t"), F.lit(some)) == 0)
-    blocks = stored(training_windows(read, path, sent, min(every, enough)))
+    blocks = stored(training_windows(texts, path, sent))
     n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    passes = min(MOST_PASSES, max(1, -(-LEAST_WINDOWS // max(1, n))))
-    weights, losses = train(blocks, first_weights(classes), sent, passes)
+    weights, losses = train(blocks, first_weights(classes), sent, n)
     forget(blocks)
     common, least = sent_words(counts, most_sent)
     return Model(path, counts, common, least, docs, classes, weights, losses)

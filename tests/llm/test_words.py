@@ -298,3 +298,18 @@ def test_model_of_odd_tables(spark):
     assert attention.score(none, empty).count() == 0 and empty.total == 0
     rest = attention.score(docs(spark, ["a b", "a b"], [1, 1]), empty).collect()
     assert len(rest) == 2 and rest[0]["n_known"] == 0 and rest[0]["base_score"] == 0 and rest[0]["score"] < -10
+
+
+def test_model_learns_from_all_windows_at_any_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"w{(i * 7 + j) % 50}" for j in range(90)) for i in range(60)]
+    df = docs(spark, texts)
+    monkeypatch.setattr(attention, "LEAST_WINDOWS", 20)  # of a corpus of 32 times as many one window in 4 was taken, of one text in 8
+    seen = []
+    train = attention.train
+    monkeypatch.setattr(attention, "train", lambda blocks, *more: (seen.append(blocks.agg(F.sum("n")).first()[0]), train(blocks, *more))[1])
+    attention.learn(df, vocabulary())
+    known = attention.subwords(vocabulary())
+    own = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    assert seen == [sum(-(-ids.size // attention.STEP) for *_, ids in known.cut(own))] and seen[0] > 20 * 32
