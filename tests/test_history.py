@@ -194,3 +194,19 @@ def test_rechecks_of_all_rows_need_no_global_order(spark, sample, monkeypatch):
     wrong = df.withColumn("n", F.col("n") + (F.col("tx_id") % 7 == 2).cast("int")).withColumn("m", F.when(F.col("tx_id") % 5 != 1, F.col("m")))
     bad = df.where("tx_id % 7 = 2 OR tx_id % 5 = 1 AND m IS NOT NULL").count()
     assert sample < 1000 or tuple(quality.recheck_windows(wrong, [key], 17, "n", "m", 3, sample, value).first())[1] == bad
+
+
+def test_sweep_of_the_horizon_table_holds_only_what_windows_reach(monkeypatch):
+    """Seven horizons over one group of ten years, with stretches of 50 rows: no stretch is swept with the whole group."""
+    import pyarrow as pa
+
+    n, held = 4000, []
+    swept = history.rolling.swept
+    monkeypatch.setattr(history, "SWEEP_ROWS", 50)
+    monkeypatch.setattr(history.rolling, "swept", lambda table, *more: (held.append(table.num_rows), swept(table, *more))[1])
+    specs = [PastWindow(("g",), "v", 90, {"median": f"m{h}"}, h + 30) for h in range(0, 181, 30)]
+    day = np.arange(n, dtype=np.int32)
+    rows = pa.RecordBatch.from_pydict({"g": pa.array(["u"] * n), "v": pa.array(day.astype(float)), "_day": day, "_own": np.zeros(n, np.int32), "_slice": np.zeros(n, np.int32)})
+    out = pa.Table.from_batches(history._streamed([rows.slice(at, 100) for at in range(0, n, 100)], ["g"], specs, 2, [f"m{h}" for h in range(0, 181, 30)]))
+    assert out.num_rows == n and max(held) <= 2 * (90 + 210 + 51) + 100
+    assert out.column("m180")[n - 1].as_py() == pytest.approx(n - 1 - 210 - 45.5)
