@@ -18,7 +18,8 @@ How a large group stays linear:
    pairs of words). A rare word has a small bucket, so a passage that many documents share makes no pairs of them. Every pair that shares a
    sketch or is short is thus compared, or ruled out by a bound on its edit distance, whatever the size of a bucket.
    Only texts that mostly consist of passages which very many components share are still compared each with each, by
-   blocks of bounded size.
+   blocks of bounded size. Pairs are aligned where their bucket is; what comes out is links of a forest, fewer than its
+   members.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from itertools import groupby
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,9 @@ WORDS, SKETCHES, MINIMA, SIMILAR = 5, 64, 2, 0.8
 #: Texts of up to so many words are found without fail; members of a bucket whose pairs are all looked at; members of a
 #: block; bins of the word counts; buckets of a text in which it is told whether a pair met before. The last four don't
 #: change the classes but for links that no sketch stands for.
-SHORT, FEW, BLOCK, BINS, FIRST = 64, 256, 1024, 1024, 16
+SHORT, FEW, BLOCK, BINS, FIRST = 64, 256, 1024, 1024, 64
+#: Pairs that are aligned together; words and pairs of a group beyond which its members are cut into pieces.
+ALIGNED, MOST_WORDS, MOST_PAIRS = 256, 1 << 22, 1 << 12
 #: Ids broadcast to the documents at most (12 MB); more are joined by key.
 BROADCAST_IDS = 1_000_000
 NO_ID = -(1 << 63)
@@ -321,12 +325,19 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def alike(n: np.ndarray, bins: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
-    """Those of `js` whose lengths and counted words allow the edit similarity with `i`."""
+def alike(n: np.ndarray, bins: tuple, i: int, js: np.ndarray) -> np.ndarray:
+    """Those of `js` whose lengths and counted words allow the edit similarity with `i`; `bins` are those of `folded`."""
     js = js[np.minimum(n[js], n[i]) >= SIMILAR * np.maximum(n[js], n[i]) - 1e-9]
-    step = bins[js] - bins[i]
-    more = np.maximum(step, 0).sum(axis=1)
-    return js[np.maximum(more, more - step.sum(axis=1)) <= (1 - SIMILAR) * np.maximum(n[js], n[i]) + 1e-9]
+    for table in bins:
+        step = table[js] - table[i]
+        more = np.maximum(step, 0).sum(axis=1)
+        js = js[np.maximum(more, more - step.sum(axis=1)) <= (1 - SIMILAR) * np.maximum(n[js], n[i]) + 1e-9]
+    return js
+
+
+def folded(bins: np.ndarray) -> tuple:
+    """The counts in BINS bins after those in a sixteenth as many, which rule out most pairs and never more."""
+    return bins.reshape(len(bins), 16, -1).sum(axis=1, dtype=np.int16), bins.astype(np.int16)
 
 
 def lower_keys(key: int, keys: tuple) -> np.ndarray:
@@ -341,17 +352,42 @@ def lower_keys(key: int, keys: tuple) -> np.ndarray:
     return np.packbits(held, axis=1)
 
 
-def group_pairs(root: np.ndarray, part: np.ndarray, n: np.ndarray, bins: np.ndarray, lower: np.ndarray):
-    """Yield the index pairs of a group that are in different components, `alike` and meet in no bucket of a lower key;
-    a group of two blocks has pairs across them only."""
-    across = bool((part != part[0]).any())
-    for i in range(root.size - 1):
-        js = np.arange(i + 1, root.size)
-        js = js[(root[js] != root[i]) & ((part[js] != part[i]) | (not across)) & ~(lower[js] & lower[i]).any(axis=1)]
+def group_pairs(label: np.ndarray, sides: tuple, n: np.ndarray, bins: tuple, lower: np.ndarray):
+    """Yield (i, js): the index pairs of a group that have different labels, are `alike` and meet in no bucket of a lower
+    key. A group that differs in one of the `sides` (its blocks, its pieces) has pairs across that side only. Labels that
+    change meanwhile count as they are then."""
+    sides = [side for side in sides if (side != side[0]).any()]
+    for i in range(label.size - 1):
+        js = np.arange(i + 1, label.size)
+        ok = label[js] != label[i]
+        for side in sides:
+            ok &= side[js] != side[i]
+        js = alike(n, bins, i, js[ok])
         if js.size:
-            for j in alike(n, bins, i, js).tolist():
+            js = js[~(lower[js] & lower[i]).any(axis=1)]
+        if js.size:
+            yield i, js
+
+
+def forest(label: np.ndarray, pairs, words: list[np.ndarray]):
+    """Yield those of the `pairs` (i, js) that are links and join two labels, which then become one; so a group has fewer
+    links than members."""
+    waiting: list[tuple[int, int]] = []
+
+    def aligned():
+        apart = [(i, j) for i, j in waiting if label[i] != label[j]]
+        waiting.clear()
+        for (i, j), good in zip(apart, align([(words[i], words[j]) for i, j in apart])):
+            if good and label[i] != label[j]:
+                label[label == label[j]] = label[i]
                 yield i, j
 
+    for i, js in pairs:
+        waiting.extend((i, j) for j in js.tolist())
+        if len(waiting) >= ALIGNED:
+            yield from aligned()
+    yield from aligned()
+
 
 def blocked(entries: DataFrame) -> DataFrame:
     """The rows of buckets of more than BLOCK members dealt to groups (key, x, y) of two blocks, or of one, in which all
@@ -373,42 +409,110 @@ def blocked(entries: DataFrame) -> DataFrame:
     return rows.drop("owner").join(pairs, ["key", "part"])
 
 
-def bucket_pairs(entries: DataFrame, words: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of one bucket in different components, as far as `alike` allows, each once.
+def bucket_rows(entries: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows of IN_GROUP, dealt by group and sorted. All groups are of bounded size.
 
-    `entries` is (key, id, root, m), m the members of the bucket, a stored table. All groups of rows are of bounded
-    size. A row carries its text's FIRST lowest keys: a pair that shares one of these is left to that bucket, so texts
-    that meet in many buckets are compared in one.
+    `entries` is (key, id, root, m), m the members of the bucket, a stored table. A row carries its text's FIRST lowest
+    keys: a pair that shares one of these is left to that bucket, so texts that meet in many buckets are compared in one.
     """
-    columns = ("key", "x", "y", "part", "id", "root")
     zero = F.lit(0).cast("long")
     few = entries.where(f"m <= {BLOCK}").select("key", zero.alias("x"), zero.alias("y"), zero.alias("part"), "id", "root")
-    rows = few.union(blocked(entries.where(f"m > {BLOCK}")).select(*columns))
+    rows = few.union(blocked(entries.where(f"m > {BLOCK}")).select("key", "x", "y", "part", "id", "root"))
     nth = F.dense_rank().over(Window.partitionBy("id").orderBy("key"))
     firsts = F.sort_array(F.collect_set(F.when(F.col("_nth") <= FIRST, F.col("key"))).over(Window.partitionBy("id")))
     rows = rows.withColumn("_nth", nth).withColumn("keys", firsts).join(words.select("id", "n", "bins"), "id")
     rows = rows.repartition(partitions(rows.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
     bounded_batches(rows.sparkSession)
+    return rows.select(*IN_GROUP)
+
+
+IN_GROUP = ("key", "x", "y", "part", "id", "root", "n", "bins", "keys")
+
+
+def groups(batches, names: tuple, by: int):
+    """The columns `names` of each group of rows that follow each other and agree in the first `by` of them."""
+    def each():
+        for batch in batches:
+            columns = batch.to_pydict()
+            yield from zip(*(columns[k] for k in names))
+
+    for _, group in groupby(each(), lambda r: r[:by]):
+        yield tuple(zip(*group))
+
+
+def candidates(batches):
+    """(columns of IN_GROUP, i, j) of each group with pairs that may be similar; i < j are the pairs' places in it."""
+    for group in groups(batches, IN_GROUP, 3):
+        key, _, _, part, _, root, n, bins, keys = group
+        if len(set(root)) < 2:
+            continue
+        part, root, n = (np.array(v, np.int64) for v in (part, root, n))
+        bins = folded(np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS))
+        found = list(group_pairs(root, (part,), n, bins, lower_keys(key[0], keys)))
+        if found:
+            yield group, np.repeat([i for i, _ in found], [js.size for _, js in found]), np.concatenate([js for _, js in found])
+
+
+def bucket_pairs(entries: DataFrame, words: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of one bucket in different components, as far as `alike` allows, each once. There may be as
+    many as the square of a bucket's size; `bucket_links` tells which of them join what."""
     schema = [("a", "long"), ("b", "long")]
 
     def run(batches):
-        def each():
-            for batch in batches:
-                names = batch.to_pydict()
-                yield from zip(*(names[k] for k in (*columns, "n", "bins", "keys")))
+        for group, i, j in candidates(batches):
+            ids = np.array(group[IN_GROUP.index("id")], np.int64)
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}, schema=arrow_schema(schema))
 
-        for (key, _, _), group in groupby(each(), lambda r: r[:3]):
-            *_, part, ids, root, n, bins, keys = zip(*group)
-            if len(set(root)) < 2:
-                continue
-            part, ids, root, n = (np.array(v, np.int64) for v in (part, ids, root, n))
-            bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS).astype(np.int16)
-            pairs = list(group_pairs(root, part, n, bins, lower_keys(key, keys)))
-            if pairs:
-                i, j = np.array(pairs).T
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}, schema=arrow_schema(schema))
+    return bucket_rows(entries, words).mapInArrow(run, ddl(schema)).distinct()
+
+
+def bucket_links(entries: DataFrame, words: DataFrame) -> DataFrame:
+    """(a, b): links that join the same components as all similar ones of `bucket_pairs` do.
+
+    Pairs are aligned where their group is and only links of a forest come out, so what is passed on grows with the
+    members, whatever pairs they make. First the members that have such a pair at all are told, to which alone the words
+    are joined. Where they have over MOST_WORDS words or make over MOST_PAIRS pairs, they are cut into pieces, every two of
+    which make a group of their own.
+    """
+    spark = entries.sparkSession
+    names = ("key", "x", "y", "u", "v", "piece", "part", "id", "root", "keys")
+    schema = [(name, "array<long>" if name == "keys" else "long") for name in names]
+    most_words, most_pairs = MOST_WORDS, MOST_PAIRS
+
+    def members(batches):
+        for group, i, j in candidates(batches):
+            columns = dict(zip(IN_GROUP, group))
+            n = np.array(columns["n"], np.int64)
+            some = np.unique(np.concatenate([i, j]))
+            total = int(n[some].sum())
+            cuts = max(ceil(sqrt(2 * i.size / most_pairs)), ceil(total / most_words))
+            piece = np.zeros(n.size, np.int64)
+            piece[some] = (np.cumsum(n[some]) - n[some]) * cuts // total
+            for u, v in np.unique(np.stack([piece[i], piece[j]], 1), axis=0).tolist():
+                here = (piece[i] == u) & (piece[j] == v)
+                at = np.unique(np.concatenate([i[here], j[here]])).tolist()
+                out = {name: [columns[name][k] for k in at] for name in names if name in columns}
+                yield pa.RecordBatch.from_pydict({**out, "u": [u] * len(at), "v": [v] * len(at), "piece": piece[at]}, schema=arrow_schema(schema))
+
+    told = bucket_rows(entries, words).mapInArrow(members, ddl(schema))
+    rows = told.join(words.select("id", "words"), "id").select(*names, "words")
+    rows = rows.repartition(partitions(spark), *names[:5]).sortWithinPartitions(*names[:5], "id")
+    bounded_batches(spark)
+    links = [("a", "long"), ("b", "long")]
+
+    def run(batches):
+        for key, _, _, _, _, piece, part, ids, root, keys, data in groups(batches, (*names, "words"), 5):
+            piece, part, ids = (np.array(v, np.int64) for v in (piece, part, ids))
+            texts = [np.frombuffer(x, np.uint32) for x in data]
+            label = np.unique(np.array(root, np.int64), return_inverse=True)[1]
+            bins = folded(np.stack([counted(w) for w in texts]))
+            pairs = group_pairs(label, (part, piece), np.array([w.size for w in texts]), bins, lower_keys(key[0], keys))
+            found = list(forest(label, pairs, texts))
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}, schema=arrow_schema(links))
 
-    return rows.select(*columns, "n", "bins", "keys").mapInArrow(run, ddl(schema)).distinct()
+    return rows.mapInArrow(run, ddl(links))
 
 
 def must_look_up(n: int, width: int) -> int:
@@ -474,16 +578,16 @@ def medoid_pairs(members: DataFrame) -> DataFrame:
     return rows.select(medoid.alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
 
 
-def residual_pairs(members: DataFrame, short: DataFrame, roots: DataFrame, words: DataFrame) -> DataFrame:
+def residual_pairs(members: DataFrame, short: DataFrame, roots: DataFrame, words: DataFrame, find=bucket_pairs) -> DataFrame:
     """(a, b), each once: all pairs in different components that share a bucket of `members` or are `short`, but for
-    those that a bound rules out."""
+    those that a bound rules out. With `bucket_links`, links that join the same components as theirs."""
     def with_root(rows):
         return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     split = stored(split_buckets(with_root(members.select("key", "id", "n"))))
     exact = stored(with_root(split.where(f"m > {FEW}").select("id").union(short).distinct()))
     entries = stored(split.where(f"m <= {FEW}").union(rare_runs(exact, words)).distinct())
-    pairs = stored(bucket_pairs(entries, words))
+    pairs = stored(find(entries, words))
     forget(split, exact, entries)
     return pairs
 
@@ -506,9 +610,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = stored(word_table(df, id_col, text_col, ids))
     links = stored(verified(medoid_pairs(members), words))
     roots = components(links)
-    pairs = residual_pairs(members, short, roots.select("id", "root"), words)
-    more = stored(verified(pairs, words))
-    forget(copies, ids, members, pairs, words, links)
+    more = residual_pairs(members, short, roots.select("id", "root"), words, bucket_links)
+    forget(copies, ids, members, words, links)
     # The further links join components, each of which is now its root.
     root_of = roots.select(F.col("id").alias("_id"), "root")
     joined = more.join(root_of.select(F.col("_id").alias("a"), F.col("root").alias("_a")), "a", "left").join(root_of.select(F.col("_id").alias("b"), F.col("root").alias("_b")), "b", "left")

@@ -497,6 +497,51 @@ def test_pairs_of_buckets_of_every_size(spark, monkeypatch, block):
     assert expected <= found and len(expected) > 50 and all(root.get(a, a) != root.get(b, b) for a, b in found)
 
 
+@pytest.mark.parametrize("most_words, most_pairs", [(1 << 22, 1 << 16), (900, 1 << 16), (1 << 22, 40)])
+def test_links_of_large_groups_are_a_forest(spark, monkeypatch, most_words, most_pairs):
+    monkeypatch.setattr(ordered, "MOST_WORDS", most_words)
+    monkeypatch.setattr(ordered, "MOST_PAIRS", most_pairs)
+    r = random.Random(23)
+    common = [f"c{x}" for x in range(60)]
+    texts = []
+    for g in range(12):  # groups of links; across them the texts have equal words in another order, which no bound tells
+        own = [f"o{x}" for x in range(30)]
+        r.shuffle(own)
+        for _ in range(8):
+            at = r.randrange(0, 29)
+            texts.append(common + own[:at] + own[at + 1 :] + [own[at]])
+    code = [np.array([int(w[1:]) + 100 * (w[0] == "o") for w in t], np.uint32) for t in texts]
+    df = docs(spark, [" ".join(t) for t in texts])
+    words = ordered.stored(ordered.word_table(df, "doc_id", "text", df.select(F.col("doc_id").alias("id"))))
+    entries = ordered.stored(spark.createDataFrame([(key, i, i, len(texts)) for key in (5, 9) for i in range(len(texts))], "key long, id long, root long, m long"))
+    pairs = [(x["a"], x["b"]) for x in ordered.bucket_pairs(entries, words).collect()]
+    links = [(x["a"], x["b"]) for x in ordered.bucket_links(entries, words).collect()]
+
+    def classes(some):
+        root = list(range(len(texts)))
+        for a, b in some:
+            root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+        return root
+
+    good = ordered.align([(code[a], code[b]) for a, b in pairs])
+    assert all(ordered.align([(code[a], code[b]) for a, b in links]))
+    assert classes(links) == classes([p for p, ok in zip(pairs, good) if ok]) and len(set(classes(links))) < len(texts) / 2
+    assert len(pairs) > 20 * len(texts) and (len(links) < len(texts) or most_words < 1000 or most_pairs < 1000)
+
+
+def test_near_duplicates_pass_on_links_only(spark, monkeypatch):
+    passed, stored = [], ordered.stored
+    monkeypatch.setattr(ordered, "stored", lambda df: passed.append((df.columns, table := stored(df))) or table)
+    monkeypatch.setattr(ordered, "forget", lambda *tables: None)
+    r = random.Random(24)
+    common, own = [f"c{x}" for x in range(60)], [f"o{x}" for x in range(60)]
+    texts = [" ".join(common + r.sample(own, len(own))) for _ in range(100)]  # no two are links, and no bound tells
+    out = by_id(ordered.near_duplicates(docs(spark, texts)))
+    assert {i: x["class_id"] for i, x in out.items()} == {i: i for i in range(100)}
+    sizes = [table.count() for columns, table in passed if columns == ["a", "b"]]
+    assert sizes and sum(sizes) < 200
+
+
 def test_components_of_a_long_path(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 103), (103, 101)]
     roots = {r["id"]: r["root"] for r in ordered.components(spark.createDataFrame(path, "a long, b long")).collect()}
