@@ -73,15 +73,15 @@ def past_windows(df: DataFrame, specs: Sequence[PastWindow], date: str = "contra
         sweeps.append(together)
         specs = [s for s in specs if s not in together]
     columns = [F.col(f"`{c}`") for c in df.columns]
-    for together in sweeps:
-        df = _sweep(df, together, date, slice_days)
+    # Sizes are told before the first sweep: a sweep adds no rows, and to count its rows would be to run it once more.
+    cut = [measured_slice(df, together, date) if slice_days == "auto" else slice_days for together in sweeps]
+    for together, days in zip(sweeps, cut):
+        df = _sweep(df, together, date, days)
     return df.select(*columns, *[F.col(f"`{name}`") for name in names])
 
 
-def _sweep(df: DataFrame, specs: Sequence[PastWindow], date: str, slice_days: int | str | None) -> DataFrame:
+def _sweep(df: DataFrame, specs: Sequence[PastWindow], date: str, slice_days: int | None) -> DataFrame:
     keys, reach = list(specs[0].keys), max(s.days + s.offset for s in specs)
-    if slice_days == "auto":
-        slice_days = measured_slice(df, specs, date)
     rows = df.withColumn("_day", F.unix_date(F.col(date)))
     if slice_days is None:
         rows = rows.withColumns({"_own": F.lit(0), "_slice": F.lit(0)})
@@ -146,12 +146,12 @@ def past_window(df: DataFrame, keys: Sequence[str], value: str | None, window_da
     return past_windows(df, [PastWindow(tuple(keys), value, window_days, {s: f"{prefix}{s}" for s in stats}, offset_days, min_count)], date)
 
 
-def previous_event(df: DataFrame, keys: Sequence[str], value: str, offset_days: int = 0, date: str = "contract_date", tie: str = "tx_id", names: tuple[str, str] = ("prev_value", "prev_date")) -> DataFrame:
+def previous_event(df: DataFrame, keys: Sequence[str], value: str, offset_days: int = 0, date: str = "contract_date", tie: str = "tx_id", names: tuple[str, str] = ("prev_value", "prev_date"), slice_days: int | str | None = "auto") -> DataFrame:
     """`df` with value and date of the latest row of the group before day - offset that has a value.
 
     Of several on that day the one with the largest `tie` counts.
     """
-    return previous_events(df, keys, value, {offset_days: names}, date, tie)
+    return previous_events(df, keys, value, {offset_days: names}, date, tie, slice_days)
 
 
 def previous_events(df: DataFrame, keys: Sequence[str], value: str, names: dict[int, tuple[str, str]], date: str = "contract_date", tie: str = "tx_id", slice_days: int | str | None = "auto") -> DataFrame:
@@ -243,7 +243,8 @@ def history_at_offsets(df: DataFrame, offsets: dict[int, int], cfg: EngineConfig
                 specs.append(PastWindow(s.keys, s.value, s.days, kept, s.offset, s.min_count))
     rows = past_windows(rows, specs)
     if "property_last_price" in wanted:
-        rows = previous_events(rows, cfg.property_keys, "price_10k", {o: (f"property_last_price@{v}", f"property_last_date@{v}") for v, o in offsets.items()})
+        last = {o: (f"property_last_price@{v}", f"property_last_date@{v}") for v, o in offsets.items()}
+        rows = previous_events(rows, cfg.property_keys, "price_10k", last, slice_days=slice_of(df, cfg.property_keys, max(last) + 1, "contract_date"))
     for value, offset in offsets.items():
         tag = f"@{value}"
         derived = _derived(offset, tag)
@@ -253,14 +254,16 @@ def history_at_offsets(df: DataFrame, offsets: dict[int, int], cfg: EngineConfig
 
 def history_at_offset(df: DataFrame, offset: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """History features known `offset` days before the contract; the district count is of priced rows."""
-    df = previous_event(past_windows(df, _specs(offset, cfg)), cfg.property_keys, "price_10k", offset, names=("property_last_price", "property_last_date"))
+    cut = slice_of(df, cfg.property_keys, offset + 1, "contract_date")
+    df = previous_event(past_windows(df, _specs(offset, cfg)), cfg.property_keys, "price_10k", offset, names=("property_last_price", "property_last_date"), slice_days=cut)
     return df.withColumns(_derived(offset)).drop("property_last_date", "_dong_before", "_comp_before", "_gu_before", "_gu_year")
 
 
 def add_history(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """History features as of the contract day; the district count is of all rows, priced or not."""
     specs = [s for s in _specs(0, cfg) if s.keys != cfg.gu_keys] + [PastWindow(cfg.gu_keys, None, 90, {"count": "gu_tx_count_90d"}, 0, cfg.min_count)]
-    df = previous_event(past_windows(df, specs), cfg.property_keys, "price_10k", names=("property_last_price", "property_last_date"))
+    cut = slice_of(df, cfg.property_keys, 1, "contract_date")
+    df = previous_event(past_windows(df, specs), cfg.property_keys, "price_10k", names=("property_last_price", "property_last_date"), slice_days=cut)
     derived = {name: c for name, c in _derived(0).items() if not name.startswith("gu_")}
     return df.withColumns(derived).drop("_dong_before", "_comp_before")
 

@@ -210,3 +210,12 @@ def test_sweep_of_the_horizon_table_holds_only_what_windows_reach(monkeypatch):
     out = pa.Table.from_batches(history._streamed([rows.slice(at, 100) for at in range(0, n, 100)], ["g"], specs, 2, [f"m{h}" for h in range(0, 181, 30)]))
     assert out.num_rows == n and max(held) <= 2 * (90 + 210 + 51) + 100
     assert out.column("m180")[n - 1].as_py() == pytest.approx(n - 1 - 210 - 45.5)
+
+
+def test_group_sizes_are_counted_before_the_sweeps(spark, monkeypatch):
+    seen, slice_of = [], history.slice_of
+    monkeypatch.setattr(history, "slice_of", lambda df, *rest: seen.append(set(df.columns)) or slice_of(df, *rest))
+    df = spark.createDataFrame([(1, "g", "d", "f", "c", "0-15", "p", dt.date(2024, 1, 1), 5.0, 1.0)], "tx_id long, gu string, dong string, rent_type string, housing_category string, area_bin string, property_id string, contract_date date, price_10k double, deposit_10k double")
+    plans = [history.add_history(df), history.history_at_offset(df, 3), history.history_at_offsets(df, {0: 0, 90: 90})]
+    assert len(seen) >= 6 and all(x <= set(df.columns) for x in seen)  # rows of a sweep are not counted: that runs it again
+    assert [p.count() for p in plans] == [1, 1, 2]
