@@ -565,6 +565,19 @@ def split_buckets(entries: DataFrame) -> DataFrame:
     return whole.where("_low <> _high").select(F.xxhash64("_set1", "_set2", "m").alias("key"), "id", "root", "m")
 
 
+def needed_buckets(entries: DataFrame) -> DataFrame:
+    """The rows (key, id, root, m) of buckets that have pairs of their own.
+
+    Where all members of a bucket have the same other one as their largest, each of its pairs meets there too, so the
+    bucket is left out. A text's largest bucket always stays: it has a member whose largest it is. So a large group whose
+    texts meet under many keys is dealt under a few.
+    """
+    home = F.max_by("key", F.struct("m", "key")).over(Window.partitionBy("id"))
+    bucket = Window.partitionBy("key")
+    rows = entries.withColumn("_home", home).select("key", "id", "root", "m", F.min("_home").over(bucket).alias("_low"), F.max("_home").over(bucket).alias("_high"))
+    return rows.where("_low <> _high OR _low = key").select("key", "id", "root", "m")
+
+
 def sketch_buckets(copies: DataFrame) -> DataFrame:
     """(key, id, n, m): the members of all buckets of several documents; `copies` is (id, n, keys)."""
     entries = copies.select("id", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
@@ -586,7 +599,7 @@ def residual_pairs(members: DataFrame, short: DataFrame, roots: DataFrame, words
 
     split = stored(split_buckets(with_root(members.select("key", "id", "n"))))
     exact = stored(with_root(split.where(f"m > {FEW}").select("id").union(short).distinct()))
-    entries = stored(split.where(f"m <= {FEW}").union(rare_runs(exact, words)).distinct())
+    entries = stored(needed_buckets(split.where(f"m <= {FEW}").union(rare_runs(exact, words)).distinct()))
     pairs = stored(find(entries, words))
     forget(split, exact, entries)
     return pairs

@@ -497,6 +497,28 @@ def test_pairs_of_buckets_of_every_size(spark, monkeypatch, block):
     assert expected <= found and len(expected) > 50 and all(root.get(a, a) != root.get(b, b) for a, b in found)
 
 
+def test_a_group_is_dealt_under_few_of_its_keys(spark):
+    r = random.Random(31)
+    passage = [f"c{x}" for x in range(80)]
+    texts = [passage + [f"{i}-{x}" for x in range(r.randint(3, 16))] for i in range(40)]  # as many of the passage's words as their own leave are looked up
+    texts += [[f"{i}+{x}" for x in range(20)] + passage[:60] for i in range(3)] + [[f"d{x}" for x in range(50)], [f"d{x}" for x in range(1, 51)]]
+    df = docs(spark, [" ".join(t) for t in texts])
+    ids = df.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("root"))
+    words = ordered.stored(ordered.word_table(df, "doc_id", "text", ids.select("id")))
+    every = ordered.stored(ordered.rare_runs(ids, words).distinct())
+    dealt = []
+    ordered.residual_pairs(spark.createDataFrame([], "key long, id long, n int"), ids.select("id"), ids, words, lambda entries, words: dealt.extend(entries.collect()) or ordered.bucket_pairs(entries, words))
+
+    def pairs(rows):
+        buckets = {}
+        for x in rows:
+            buckets.setdefault(x["key"], set()).add(x["id"])
+        return {(a, b) for bucket in buckets.values() for a in bucket for b in bucket if a < b}
+
+    assert pairs(dealt) == pairs(every.collect()) and (43, 44) in pairs(dealt)
+    assert len(dealt) < every.count() / 3
+
+
 @pytest.mark.parametrize("most_words, most_pairs", [(1 << 22, 1 << 16), (900, 1 << 16), (1 << 22, 40)])
 def test_links_of_large_groups_are_a_forest(spark, monkeypatch, most_words, most_pairs):
     monkeypatch.setattr(ordered, "MOST_WORDS", most_words)
