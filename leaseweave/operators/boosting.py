@@ -1,6 +1,7 @@
 """Gradient boosting of quantiles over binned features.
 
-Rows are kept in blocks of binned features with their target and the values reached so far. A level of the trees of all
+Rows are kept in blocks of binned features with their target and the values reached so far. Few rows are grown on in one
+task; of more, a level of the trees of all
 quantiles is one Spark job: tasks add up gradients and rows per (tree, node, feature, bin), one aggregate sums them, and
 the best split of each node is searched where its histogram is; the driver gets splits only. A leaf's value is the exact
 quantile of its rows' residuals, found in two counting rounds over the halves of their bits.
@@ -9,6 +10,7 @@ quantile of its rows' residuals, found in two counting rounds over the halves of
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
@@ -25,6 +27,8 @@ from ..sources.scratch import drop, keep
 
 #: Rows of a block, bytes of the blocks that a task reads at once, and residuals that it holds while it counts them.
 BLOCK, BATCH_BYTES, COUNTED = 8192, 16 << 20, 1 << 18
+#: Rows up to which one task grows all trees, as a round's jobs take longer than its work (some 30 MB of blocks).
+ALONE = 64 * BLOCK
 
 
 @dataclass(frozen=True)
@@ -192,6 +196,110 @@ def _merged(keys: np.ndarray, n: np.ndarray, parts: list[np.ndarray]) -> tuple[n
     return found, total
 
 
+def histograms(codes: np.ndarray, gradient: np.ndarray, leaf: np.ndarray, nodes: Sequence[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of gradients and numbers of rows of each of `nodes` (rows) and bin (columns)."""
+    slot = np.full(max(int(leaf.max(initial=0)), max(nodes)) + 1, -1, np.int64)
+    slot[list(nodes)] = np.arange(len(nodes))
+    mine = slot[leaf]
+    if (mine < 0).any():
+        there = np.flatnonzero(mine >= 0)
+        codes, gradient, mine = codes[there], gradient[there], mine[there]
+    at, shape = (codes + mine[:, None] * size).ravel(), (len(nodes), size)
+    count = lambda weights=None: np.bincount(at, weights, shape[0] * size).reshape(shape)
+    return count(np.repeat(gradient, codes.shape[1])), count()
+
+
+def chosen_features(s: Settings, features: int, growing: Sequence[int], number: int) -> dict[int, np.ndarray]:
+    """Which features the trees of a round may split on."""
+    rng = np.random.default_rng([s.seed, number])
+    some = {q: rng.permutation(features)[: max(1, round(s.features_share * features))] for q in growing}
+    return {q: np.isin(np.arange(features), x) for q, x in some.items()}
+
+
+def sampled(s: Settings, number: int, seed: int, n: int) -> np.ndarray:
+    """Which of the rows of a block a round grows on."""
+    return np.random.default_rng([s.seed, number, seed]).random(n) < s.rows_share
+
+
+def boosted(s: Settings, grow, move, valid: bool) -> tuple[list[list[Tree]], list[int], list[list[float]]]:
+    """Trees, best rounds and losses of all quantiles: `grow` makes a round's trees, `move` adds their values and tells the
+    number of validation rows and their losses."""
+    trees, best, losses = [[] for _ in s.quantiles], [0] * len(s.quantiles), [[] for _ in s.quantiles]
+    rounds = list(s.rounds) if isinstance(s.rounds, tuple) else [s.rounds] * len(s.quantiles)
+    growing = [q for q in range(len(s.quantiles)) if rounds[q] > 0]
+    least, number = [np.inf] * len(s.quantiles), 0
+    while growing:
+        new = grow(growing, number)
+        for q, tree in new.items():
+            trees[q].append(tree)
+        lost = move(new)
+        number += 1
+        for q in list(growing):
+            if valid and lost[0]:
+                losses[q].append(float(lost[q + 1] / lost[0]))
+                if losses[q][-1] < least[q]:
+                    least[q], best[q] = losses[q][-1], number
+            else:
+                best[q] = number
+            if number >= rounds[q] or number - best[q] >= s.patience or new[q].feature[0] < 0:
+                growing.remove(q)
+    return [series[:n] for series, n in zip(trees, best)], best, losses
+
+
+def grown_alone(blocks: list[tuple], s: Settings, bins: Bins, valid: bool):
+    """What `boosted` gives and the gain by feature, of blocks (train, codes, y, f, seed) held at once."""
+    size, gain = int(bins.first[-1]), np.zeros(len(bins.features))
+    train = [b for b in blocks if b[0]]
+    every = np.concatenate([codes for _, codes, *_ in train]) if train else np.empty((0, len(bins.features)), np.int32)
+
+    def grow(growing, number):
+        used = [sampled(s, number, seed, y.size) for _, _, y, _, seed in train]
+        codes, allowed, trees = every[np.concatenate([*used, np.empty(0, bool)])], chosen_features(s, len(bins.features), growing, number), {}
+        for q in growing:
+            tree = trees[q] = Tree.empty(s.depth, size)
+            left_over = np.concatenate([np.empty(0, np.float32), *[y - f[q] for _, _, y, f, _ in train]])
+            above = np.concatenate([np.empty(0, bool), *[(y >= f[q])[u] for (_, _, y, f, _), u in zip(train, used)]])
+            gradient = np.where(above, s.quantiles[q], s.quantiles[q] - 1)
+            node, nodes = np.zeros(len(codes), np.int64), [0]
+            for _ in range(s.depth):
+                if not nodes:
+                    break
+                split = []
+                for at, g, c in zip(nodes, *histograms(codes, gradient, node, nodes, size)):
+                    if found := best_split(g, c, bins, allowed[q], s):
+                        tree.feature[at] = found[1]
+                        tree.left[at, bins.first[found[1]] : bins.first[found[1] + 1]] = found[2]
+                        split += [2 * at + 1, 2 * at + 2]
+                        if q == len(s.quantiles) // 2:
+                            gain[found[1]] += found[0]
+                moving = np.flatnonzero(tree.feature[node] >= 0)
+                at = node[moving]
+                node[moving] = 2 * at + 2 - tree.left[at, codes[moving, tree.feature[at]]]
+                nodes = split
+            leaf = tree.leaves(every)
+            order = np.lexsort((left_over, leaf))
+            ends, n = np.unique(leaf, return_counts=True)
+            rank = np.maximum(np.ceil(s.quantiles[q] * n).astype(np.int64) - 1, 0)
+            tree.value[ends] = left_over[order[np.cumsum(n) - n + rank]]
+            tree.value *= np.float32(s.rate)
+        return trees
+
+    def move(new):
+        lost = np.zeros(len(s.quantiles) + 1)
+        for is_train, codes, y, f, _ in blocks:
+            for q, tree in new.items():
+                f[q] += tree.value[tree.leaves(codes)]
+            if not is_train:
+                lost += [y.size, *pinball_losses(s, y, f)]
+        return lost
+
+    return *boosted(s, grow, move, valid), gain
+
+
+def pinball_losses(s: Settings, y: np.ndarray, f: np.ndarray) -> list[float]:
+    return [float(np.maximum(a * (y - x), (a - 1) * (y - x)).sum(dtype=float)) for a, x in zip(s.quantiles, f)]
+
+
 class QuantileBoosting:
     """Three series of trees for three quantiles; `fit`, then `predict` adds q_lo, q_mid, q_hi."""
 
@@ -216,32 +324,32 @@ class QuantileBoosting:
         if valid is not None:
             rows = rows.union(self._blocks(valid, False))
         rows, path = keep(rows)
-        rounds = list(s.rounds) if isinstance(s.rounds, tuple) else [s.rounds] * len(s.quantiles)
-        growing = [q for q in range(len(s.quantiles)) if rounds[q] > 0]
-        self.best, self.losses = [0] * len(s.quantiles), [[] for _ in s.quantiles]
-        least = [np.inf] * len(s.quantiles)
-        number = 0
-        while growing:
-            new = self._grow(rows, growing, number)
-            for q, tree in new.items():
-                self.trees[q].append(tree)
+        if (rows.agg(F.sum("n")).first()[0] or 0) <= ALONE:
+            read, bins, watched = self._reader(), self.bins, valid is not None
+
+            def alone(batches):
+                blocks = []
+                for batch in batches:
+                    for i in range(batch.num_rows):
+                        codes, y, f, seed = read(batch, i)
+                        blocks.append((batch.column("train")[i].as_py(), codes, y, f.copy(), seed))
+                yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(grown_alone(blocks, s, bins, watched))], pa.binary())})
+
+            made = rows.coalesce(1).mapInArrow(alone, "model binary").first()
+            self.trees, self.best, self.losses, self.gain = pickle.loads(made[0]) if made else grown_alone([], s, bins, False)
+            drop(spark, path)
+            return self
+
+        def move(new):
+            nonlocal rows, path
             (rows, fresh), old = keep(self._moved(rows, new)), path
             path = fresh
             drop(spark, old)
-            number += 1
             if valid is not None:
-                lost = rows.where("NOT train").agg(F.sum("n"), *[F.sum(F.get("loss", F.lit(q))) for q in range(len(s.quantiles))]).first()
-            for q in list(growing):
-                if valid is not None and lost[0]:
-                    self.losses[q].append(lost[q + 1] / lost[0])
-                    if self.losses[q][-1] < least[q]:
-                        least[q], self.best[q] = self.losses[q][-1], number
-                else:
-                    self.best[q] = number
-                if number >= rounds[q] or number - self.best[q] >= s.patience or new[q].feature[0] < 0:
-                    growing.remove(q)
+                return rows.where("NOT train").agg(F.sum("n"), *[F.sum(F.get("loss", F.lit(q))) for q in range(len(s.quantiles))]).first()
+
+        self.trees, self.best, self.losses = boosted(s, lambda growing, number: self._grow(rows, growing, number), move, valid is not None)
         drop(spark, path)
-        self.trees = [trees[:n] for trees, n in zip(self.trees, self.best)]
         return self
 
     def _blocks(self, df: DataFrame, train: bool) -> DataFrame:
@@ -285,14 +393,9 @@ class QuantileBoosting:
         s, bins, spark = self.settings, self.bins, rows.sparkSession
         size = int(bins.first[-1])
         trees = {q: Tree.empty(s.depth, size) for q in growing}
-        rng = np.random.default_rng([s.seed, number])
-        allowed = {}
-        for q in growing:
-            some = rng.permutation(len(self.features))[: max(1, round(s.features_share * len(self.features)))]
-            allowed[q] = np.isin(np.arange(len(self.features)), some)
+        allowed = chosen_features(s, len(self.features), growing, number)
         open_nodes = {q: {0} for q in growing}
         train, read = rows.where("train").select("codes", "y", "f"), self._reader()
-        sampled = lambda seed, n: np.random.default_rng([s.seed, number, seed]).random(n) < s.rows_share
         for level in range(s.depth):
             if not any(open_nodes.values()):
                 break
@@ -304,16 +407,14 @@ class QuantileBoosting:
                 for batch in batches:
                     for i in range(batch.num_rows):
                         codes, y, f, seed = read(batch, i)
-                        used = sampled(seed, y.size)
+                        used = sampled(s, number, seed, y.size)
                         codes = codes[used]
                         for q, nodes in open_nodes.items():
-                            gradient = np.where((y >= f[q])[used], s.quantiles[q], s.quantiles[q] - 1)
-                            leaf = trees[q].leaves(codes)
-                            for node in nodes:
-                                mine = leaf == node
-                                at = codes[mine].ravel()
-                                both = np.bincount(at, np.repeat(gradient[mine], codes.shape[1]), size), np.bincount(at, minlength=size)
-                                sums[q, node] = sums[q, node] + both if (q, node) in sums else np.array(both)
+                            if nodes:
+                                order = sorted(nodes)
+                                gradient = np.where((y >= f[q])[used], s.quantiles[q], s.quantiles[q] - 1)
+                                for node, *both in zip(order, *histograms(codes, gradient, trees[q].leaves(codes), order, size)):
+                                    sums[q, node] = sums[q, node] + both if (q, node) in sums else np.array(both)
                 if sums:
                     yield pa.RecordBatch.from_pydict({"q": [k[0] for k in sums], "node": [k[1] for k in sums], "sums": [x.tobytes() for x in sums.values()]})
 
@@ -405,7 +506,7 @@ class QuantileBoosting:
                     for q, tree in sent.value.items():
                         f[q] += tree.value[tree.leaves(codes)]
                     values.append(f.tobytes())
-                    losses.append([float(np.maximum(a * (y - x), (a - 1) * (y - x)).sum(dtype=float)) for a, x in zip(s.quantiles, f)])
+                    losses.append(pinball_losses(s, y, f))
                 at = {name: batch.column(name) for name in ("train", "n", "codes", "y")}
                 yield pa.RecordBatch.from_pydict(at | {"f": pa.array(values, pa.binary()), "loss": pa.array(losses, pa.list_(pa.float64()))})
 

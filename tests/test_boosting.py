@@ -117,3 +117,29 @@ def test_residuals_are_counted_in_bounded_parts():
         total[keys] += n
     assert (total == np.bincount(np.concatenate(parts), minlength=5000)).all()
     assert list(boosting.tallied(iter([]))) == []
+
+
+def test_one_task_grows_what_many_grow(spark, monkeypatch):
+    train, valid = (spark.createDataFrame(rows_of(seed, n), SCHEMA).repartition(3).cache() for seed, n in ((2, 1500), (3, 500)))
+    fit = lambda: QuantileBoosting(["k", "x", "z"], rounds=3, depth=3, min_rows=20).fit(train, valid)
+    alone = fit()
+    monkeypatch.setattr(boosting, "ALONE", -1)
+    many = fit()
+    assert alone.best == many.best and np.allclose(alone.losses, many.losses) and np.allclose(alone.gain, many.gain)
+    # A split may be told with its sides changed: their gains are equal but for rounding.
+    assert all((a.feature == b.feature).all() for a, b in zip(sum(alone.trees, []), sum(many.trees, [])))
+    told = lambda fitted: np.array(sorted(map(tuple, fitted.predict(train).select("z", "_y", "q_lo", "q_mid", "q_hi").collect())))
+    assert np.allclose(told(alone), told(many))
+    assert not any(QuantileBoosting(["k", "x", "z"]).fit(train.limit(0)).trees[0][0].value)
+
+
+def test_the_query_is_grown_until_validation_gains_nothing(spark, monkeypatch):
+    """It once stopped after 6 rounds of trees of depth 3 on one horizon, with a patience of 20."""
+    from leaseweave.plans import catalog
+
+    seen, fit = [], QuantileBoosting.fit
+    monkeypatch.setattr(QuantileBoosting, "fit", lambda self, train, valid: seen.append(self) or fit(self, train, valid))
+    rows = catalog.queries()["quantile_boosting"](spark, "/root/testdata/sf0.001").groupBy("horizon_days").count().collect()
+    model, s = seen[0], boosting.Settings()
+    assert model.settings == s and len(rows) == len(catalog.CFG.horizons)
+    assert all(len(x) >= min(s.rounds, n + s.patience) or not series[-1].feature[0] >= 0 for x, n, series in zip(model.losses, model.best, model.trees))
